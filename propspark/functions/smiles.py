@@ -73,10 +73,10 @@ def counts(smiles: Column) -> dict[str, Column]:
     return {name: out[name] for name in COUNT_NAMES}
 
 
-def check(smiles: Column, mass: Column | None = None) -> Column:
-    """``struct(valid, error)``; the first failing rule names the error."""
+def parse_error(smiles: Column) -> Column:
+    """Message of the first failing text rule, null when the string parses."""
     outer = _outside(smiles)
-    error = (
+    return (
         F.when(smiles.isNull() | (smiles == ""), F.lit("SMILES must be a non-empty string"))
         .when(~smiles.rlike(ALLOWED), F.lit("Invalid characters in SMILES"))
         .when(
@@ -86,13 +86,19 @@ def check(smiles: Column, mass: Column | None = None) -> Column:
             F.lit("Invalid SMILES: could not parse molecular structure"),
         )
     )
+
+
+def error(smiles: Column, mass: Column | None = None) -> Column:
+    """The message of the first failing rule, null for a valid molecule."""
+    rules = [parse_error(smiles)]
     if mass is not None:
         m = mass.cast("double")
-        error = error.when((m <= 0) | (m > MAX_MASS) | F.isnan(m), F.lit("Unreasonable molecular weight"))
-    error = error.when(heavy_atoms(smiles) < MIN_ATOMS, F.lit("Molecule must have at least 2 atoms"))
-    return F.struct(error.isNull().alias("valid"), error.alias("error"))
+        rules.append(F.when((m <= 0) | (m > MAX_MASS) | F.isnan(m), F.lit("Unreasonable molecular weight")))
+    rules.append(F.when(heavy_atoms(smiles) < MIN_ATOMS, F.lit("Molecule must have at least 2 atoms")))
+    return F.coalesce(*rules)
 
 
-def error(smiles: Column, mass: Column | None = None) -> Column:
-    """The message of the first failing rule, null for a valid string."""
-    return check(smiles, mass)["error"]
+def check(smiles: Column, mass: Column | None = None) -> Column:
+    """``struct(valid, error)``."""
+    err = error(smiles, mass)
+    return F.struct(err.isNull().alias("valid"), err.alias("error"))

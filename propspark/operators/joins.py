@@ -34,3 +34,16 @@ def select_features_long(long: DataFrame, names: Sequence[str], key: str, defaul
     return long.groupBy(key).agg(*[
         F.coalesce(F.max(F.when(F.col("feature") == n, F.col("value"))), F.lit(default)).alias(n) for n in names
     ])
+
+
+def project_available(df: DataFrame, features: Sequence[str], targets: Sequence[str],
+                      key: str | None = None) -> tuple[DataFrame, dict]:
+    """The wanted columns that exist, and what was found."""
+    have_f = [c for c in features if c in df.columns]
+    have_t = [c for c in targets if c in df.columns]
+    meta = {
+        "feature_columns": have_f, "target_columns": have_t, "n_features": len(have_f), "n_targets": len(have_t),
+        "missing": sorted((set(features) | set(targets)) - set(df.columns)),
+        "key": key,
+    }
+    return df.select(*([key] if key else []), *have_f, *have_t), meta

@@ -12,9 +12,6 @@ from propspark.operators.cleaning import dedup_by_key
 from propspark.operators.joins import lookup_synonyms
 from propspark.sources.tables import require_rows, write_csv
 
-ONE_ATOM = "Molecule must have at least 2 atoms"
-
-
 def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None = None, min_mass: float = 50.0,
                        max_mass: float = 1000.0, require_smiles: bool = True, order: Sequence[str] = ("batch", "pos"),
                        noise_sd: tuple[float, float] = (20.0, 0.5), seed: int = 42, output_path: str | None = None,
@@ -27,8 +24,7 @@ def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
     df = df.where(F.col("molecular_weight").between(min_mass, max_mass))
     if require_smiles:
-        err = sm.error(F.col("smiles"))
-        df = df.where(F.col("smiles").isNotNull() & (err.isNull() | (err == ONE_ATOM)))
+        df = df.where(sm.parse_error(F.col("smiles")).isNull())
     df = dedup_by_key(df, ["cid"], order)
     if synonyms is not None:
         df = lookup_synonyms(df, synonyms)

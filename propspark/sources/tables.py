@@ -64,10 +64,7 @@ def read_solubility_csv(spark: SparkSession, path: str, schema: str = "smiles st
     df = df.withColumnRenamed("target", "solubility")
     extra = [c for c in df.columns if c not in ("smiles", "solubility")]
     df = df.select("smiles", "solubility", *(extra if heuristic_targets else []))
-    text = F.col("smiles")
-    # a one-atom molecule parses, so only the text rules apply here
-    bad = sm.error(text).isNotNull() & (sm.error(text) != "Molecule must have at least 2 atoms")
-    df = drop_missing(df, ["smiles"]).where(~bad)
+    df = drop_missing(df, ["smiles"]).where(sm.parse_error(F.col("smiles")).isNull())
     if n is not None:
         df = df.orderBy(*order).limit(n)
     if heuristic_targets:
