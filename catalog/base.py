@@ -52,7 +52,7 @@ def molecule(key: str) -> str:
 def compound_columns(key: str, price: str, a: str, b: str) -> dict[str, str]:
     return {
         "cid": key,
-        "molecular_weight": f"CASE WHEN {a} % 17 = 0 THEN NULL ELSE {price} / 97.0E0 END",
+        "molecular_weight": f"CASE WHEN {a} % 17 = 0 THEN NULL ELSE sqrt({price}) * 3.1E0 END",
         "xlogp": f"CASE WHEN {a} % 13 = 0 THEN NULL ELSE ({a} % 90) / 9.7E0 - 1.5E0 END",
         "tpsa": f"({a} % 83) * 1.7E0",
         "hbd": f"CAST({a} % 7 AS INT)",
