@@ -138,14 +138,12 @@ def pca_scores(spark, sf_dir):
     return selection.FeatureSelector("pca").fit(wide, FEATURES).transform(wide, ["vec_id"])
 
 
-# the variance of the scores must fall from one component to the next and add up to the explained share
-@query("pca_explained", "SELECT CAST(3 AS BIGINT) AS components, true AS falling, true AS matches")
+@query("pca_explained")
 def pca_explained(spark, sf_dir):
+    """Explained share per component next to the variance of its scores."""
     wide = embedding_wide(spark, sf_dir)
     m = selection.fit_pca(wide, FEATURES, 3)
-    out = m.transform(wide, ["vec_id", "label"])
-    v = out.agg(*[F.var_pop(n).alias(n) for n in m.names])
-    names, p = m.names, len(FEATURES)
-    falling = (F.col(names[0]) >= F.col(names[1])) & (F.col(names[1]) >= F.col(names[2]))
-    close = [F.abs(F.col(n) / p - F.lit(e)) < 1e-6 for n, e in zip(names, m.explained)]
-    return v.select(F.lit(len(names)).cast("bigint").alias("components"), falling.alias("falling"), (close[0] & close[1] & close[2]).alias("matches"))
+    scores = m.transform(wide).unpivot([], m.names, "component", "value")
+    measured = scores.groupBy("component").agg((F.var_pop("value") / len(FEATURES)).alias("measured"))
+    named = m.variance_table(spark).select(F.concat(F.lit("PC_"), F.col("component")).alias("component"), F.col("variance").alias("explained"))
+    return named.join(measured, "component")
