@@ -21,12 +21,12 @@ NUMBERS = ["quantity", "price", "discount"]
 
 def messy(spark, sf_dir):
     once = proxy(spark, sf_dir, "lineitem", MESSY)
-    return once.unionAll(once.where("cid % 10 = 0"))
+    return once.unionAll(once)
 
 
 MESSY_CLEAN = f"""
 once AS ({proxy_sql('lineitem', MESSY)}),
-messy AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE cid % 10 = 0),
+messy AS (SELECT * FROM once UNION ALL SELECT * FROM once),
 uniq AS (SELECT DISTINCT * FROM messy),
 med AS (SELECT median(price) AS m FROM uniq),
 top AS (SELECT flag AS f FROM uniq WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1),
@@ -82,12 +82,12 @@ def clean_audit(spark, sf_dir):
 
 # --- rows ---------------------------------------------------------------------------------------
 
-TWICE = "twice AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 10 = 0)"
+TWICE = "twice AS (SELECT * FROM events UNION ALL SELECT * FROM events)"
 
 
 def twice(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return ev.unionAll(ev.where("event_id % 10 = 0"))
+    return ev.unionAll(ev)
 
 
 @query("drop_duplicate_rows", f"WITH {TWICE} SELECT DISTINCT event_id, user_id, event_type, value, props FROM twice")

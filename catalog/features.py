@@ -139,10 +139,15 @@ def circular_fingerprint(spark, sf_dir):
 # --- joins and assembly -------------------------------------------------------------------------
 
 
-@query("synonym_lookup", """SELECT o_orderkey, o_custkey AS cid, coalesce(c_mktsegment || ',' || c_name, '') AS synonyms, coalesce(c_mktsegment, '') AS common_name
-  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c_custkey = o_custkey""")
+# every fourth customer is keyed so that no order matches it
+UNMATCHED = "CASE WHEN c_custkey % 4 = 0 THEN -c_custkey - 1 ELSE c_custkey END"
+NAMED_CUSTOMERS = f"SELECT *, {UNMATCHED} AS c_id FROM customer"
+
+
+@query("synonym_lookup", f"""SELECT o_orderkey, o_custkey AS cid, coalesce(c_mktsegment || ',' || c_name, '') AS synonyms, coalesce(c_mktsegment, '') AS common_name
+  FROM orders LEFT JOIN ({NAMED_CUSTOMERS}) c ON c_id = o_custkey""")
 def synonym_lookup(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("cid"), F.array("c_mktsegment", "c_name").alias("synonyms"))
+    names = table(spark, sf_dir, "customer").select(F.expr(UNMATCHED).alias("cid"), F.array("c_mktsegment", "c_name").alias("synonyms"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cid"))
     out = joins.lookup_synonyms(orders, names)
     return out.select("o_orderkey", "cid", F.array_join("synonyms", ",").alias("synonyms"), F.coalesce("common_name", F.lit("")).alias("common_name"))
@@ -178,20 +183,20 @@ def attach_targets(spark, sf_dir):
 
 
 RAW = {**ORDER_COMPOUNDS, "cid": "o_custkey", "pos": "o_orderkey"}
-COLLECT_SQL = f"""WITH batches AS (SELECT 0 AS batch, * FROM ({proxy_sql('orders', RAW)}) WHERE pos % 2 = 0 UNION ALL
-  SELECT 1 AS batch, * FROM ({proxy_sql('orders', RAW)}) WHERE pos % 2 = 1),
+COLLECT_SQL = f"""WITH batches AS (SELECT 0 AS batch, * FROM ({proxy_sql('orders', RAW)}) UNION ALL
+  SELECT 1 AS batch, * REPLACE (molecular_weight + 300 AS molecular_weight) FROM ({proxy_sql('orders', RAW)})),
   kept AS (SELECT * FROM batches WHERE molecular_weight BETWEEN 50 AND 1000 AND {sq.parse_error('smiles')} IS NULL),
   one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY cid ORDER BY batch, pos) = 1)
   SELECT cid, pos, smiles, coalesce(c_mktsegment || ',' || c_name, '') AS synonyms, coalesce(c_mktsegment, '') AS common_name, {COUNTS_SQL},
   {tox_sql(TOX_SCORE)} AS toxicity_category, {BOIL_SQL} AS boiling_point, {SOL_SQL} AS solubility
-  FROM one LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c_custkey = cid"""
+  FROM one LEFT JOIN ({NAMED_CUSTOMERS}) c ON c_id = cid"""
 
 
 @query("collect_compounds", COLLECT_SQL)
 def collect_compounds(spark, sf_dir):
     raw = proxy(spark, sf_dir, "orders", RAW)
-    batches = [raw.where(f"pos % 2 = {b}").withColumn("batch", F.lit(b)) for b in (0, 1)]
-    names = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("cid"), F.array("c_mktsegment", "c_name").alias("synonyms"))
+    batches = [raw.withColumn("batch", F.lit(0)), raw.withColumn("batch", F.lit(1)).withColumn("molecular_weight", F.col("molecular_weight") + 300)]
+    names = table(spark, sf_dir, "customer").select(F.expr(UNMATCHED).alias("cid"), F.array("c_mktsegment", "c_name").alias("synonyms"))
     out = assemble_compounds(batches, names, noise_sd=(0.0, 0.0))
     return as_long(out.select("cid", "pos", "smiles", F.array_join("synonyms", ",").alias("synonyms"), F.coalesce("common_name", F.lit("")).alias("common_name"),
                               *NAMES, "toxicity_category", "boiling_point", "solubility"))

@@ -67,9 +67,9 @@ def value_range(spark, sf_dir):
 
 
 @query("comparison_grid", f"""WITH m AS ({METRIC_ROWS}) SELECT model_type, coalesce(max(value) FILTER (WHERE metric = 'r2'), 0) AS r2, coalesce(max(value) FILTER (WHERE metric = 'mae'), 0) AS mae,
-  CAST(0 AS DOUBLE) AS rmse FROM m WHERE target = 'F' GROUP BY 1""")
+  CAST(0 AS DOUBLE) AS rmse, target FROM m GROUP BY 1, target""")
 def comparison_grid(spark, sf_dir):
-    return evaluation.comparison_grid(metric_rows(spark, sf_dir).where("target = 'F'"), ["r2", "mae", "rmse"])
+    return evaluation.comparison_grid(metric_rows(spark, sf_dir), ["r2", "mae", "rmse"], ["target", "model_type"])
 
 
 @query("model_catalogue", f"""WITH m AS ({METRIC_ROWS}) SELECT target, model_type, max(value) FILTER (WHERE metric = 'r2') AS r2, max(value) FILTER (WHERE metric = 'mae') AS mae FROM m GROUP BY 1, 2""")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from propspark.errors import DataError
 from propspark.operators.joins import ordered_features
 from propspark.operators.learning import ModelBundle
-from propspark.operators.quantiles import exact_quantiles
+from propspark.operators.quantiles import count_edges, exact_quantiles, literal_edges
 from propspark.operators.ranking import sort_importance, top_features, top_per_row
 from propspark.session import new_path
 
@@ -174,7 +174,7 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     zs = [list(r["z"]) for r in marks.orderBy("_h").limit(background_rows).collect()]
     if not zs:
         raise DataError("background rows are required")
-    bank = F.array(*[F.array(*[F.lit(float(v)) for v in z]) for z in zs])
+    bank = df.sparkSession.createDataFrame(list(enumerate(zs)), "_b int, z array<double>")
 
     walks = df.select(F.col(key).alias("_k"), F.array(*ordered_features(df, names)).alias("x")).select(
         "_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
@@ -184,8 +184,8 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
                                  lambda j: F.struct(F.xxhash64(text, j).alias("h"), j.alias("j")))),
         lambda c: c["j"])
     walks = walks.select(
-        "_k", "s", "x", F.element_at(bank, (F.pmod(F.xxhash64(text, F.lit("row")), F.lit(len(zs))) + 1).cast("int")).alias("z"),
-        order.alias("ord"))
+        "_k", "s", "x", order.alias("ord"), F.pmod(F.xxhash64(text, F.lit("row")), F.lit(len(zs))).cast("int").alias("_b"),
+    ).join(F.broadcast(bank), "_b")  # at most `background_rows` rows
     steps = walks.select("_k", "s", "x", "z", "ord", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("step"))
     mixed = F.transform(F.col("x"), lambda v, j: F.when(
         F.array_position("ord", j) <= F.col("step"), v).otherwise(F.element_at("z", j + 1)))
@@ -234,8 +234,8 @@ def interaction_strength(long: DataFrame, key: str, feature: str, bins: int = 10
     """
     main = long.where(F.col("feature") == feature)
     q = exact_quantiles(main.select("feature", F.col("feature_value").alias("value")), [i / bins for i in range(1, bins)])
-    cuts = F.array(*[F.lit(e) for e in q[feature]])
-    main = main.select(key, F.size(F.filter(cuts, lambda e: e <= F.col("feature_value"))).alias("bin"), F.col("shap").alias("s"))
+    spot = count_edges(F.col("feature_value"), literal_edges(q[feature]), True)
+    main = main.select(key, spot.alias("bin"), F.col("shap").alias("s"))
     others = long.where(F.col("feature") != feature).select(key, "feature", F.col("feature_value").alias("v"))
     per_bin = others.join(main, key).groupBy("feature", "bin").agg(F.corr("v", "s").alias("r"))
     return per_bin.groupBy("feature").agg(F.sum(F.abs(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))).alias("strength"))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from propspark.columns import require_columns
 from propspark.functions import formulas, smiles as sm
-from propspark.operators.joins import merge_by_key
 from propspark.session import materialize
 
 # fixed values: fingerprint sizes, feature-name groups
@@ -21,8 +20,8 @@ PHYSICOCHEMICAL = (
     "NumRotatableBonds", "NumRings", "NumAromaticRings",
 )
 
-# A molecule with more atoms than this takes the join-based distance sum.
-SMALL_GRAPH_ATOMS = 600
+LARGEST_GRAPH = 20_000  # bonds of a molecule that is walked in memory
+SOURCES_PER_CHUNK = 256  # starting atoms per task row
 
 
 def key_bits(text: Column, patterns: Sequence[str], slots: int = KEY_BITS) -> Column:
@@ -74,39 +73,47 @@ class DescriptorSet:
         return list(self.columns(F.lit(""))) + list(extra)
 
 
-def compute_descriptors(df: DataFrame, key: str, smiles: str = "smiles",
-                        spec: DescriptorSet | None = None) -> DataFrame:
-    """``key, descriptors..., error``: bad rows carry an error and null descriptors."""
+def compute_descriptors(df: DataFrame, key: str, smiles: str = "smiles", spec: DescriptorSet | None = None,
+                        keep: Sequence[str] = ()) -> DataFrame:
+    """``key, keep..., descriptors..., error``: bad rows carry an error and null descriptors.
+
+    Descriptors are functions of the row, so columns to keep stay beside them and no
+    join is needed.
+    """
     require_columns(df, [key, smiles])
     spec = spec or DescriptorSet()
-    err = sm.error(F.col(smiles))
-    exprs = [F.when(F.col("error").isNull(), c).alias(n) for n, c in spec.columns(F.col(smiles)).items()]
-    out = df.select(key, smiles, err.alias("error")).select(key, smiles, *exprs, "error")
-    if spec.descriptor_fn is None:
-        return out.drop(smiles)
-    return _apply_custom(out, key, smiles, spec)
-
-
-def _apply_custom(df: DataFrame, key: str, smiles: str, spec: DescriptorSet) -> DataFrame:
+    source = list(dict.fromkeys([key, *keep]))
+    names = list(spec.columns(F.lit("")))
+    clash = [c for c in source if c in names]
+    if clash:
+        raise ValueError(f"columns already present: {clash}")
+    parts = df.select(*source, F.col(smiles).alias("_smiles")).withColumn("error", sm.error(F.col("_smiles")))
+    exprs = [F.when(F.col("error").isNull(), c).alias(n) for n, c in spec.columns(F.col("_smiles")).items()]
+    out = parts.select(*source, "_smiles", *exprs, "error")
+    return (out if spec.descriptor_fn is None else _apply_custom(out, smiles, spec)).drop("_smiles")
+
+
+def _apply_custom(df: DataFrame, smiles: str, spec: DescriptorSet) -> DataFrame:
     """Run the user's function batch by batch; a failing batch is retried row by row."""
     extra = T._parse_datatype_string(spec.descriptor_schema)
     fn, names = spec.descriptor_fn, extra.names
-    schema = T.StructType([f for f in df.schema.fields if f.name not in ("error", smiles)] + extra.fields
+    schema = T.StructType([f for f in df.schema.fields if f.name != "error"] + extra.fields
                           + [T.StructField("error", T.StringType())])
     order = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = pdf["error"].isna()
+            given = pdf.drop(columns=[c for c in (smiles,) if c != "_smiles" and c in pdf]).rename(columns={"_smiles": smiles})
             result = pd.DataFrame(index=pdf.index, columns=names, dtype="object")
             errors = pdf["error"].copy()
             try:
                 if good.any():
-                    result.loc[good, names] = fn(pdf[good])[names].to_numpy()
+                    result.loc[good, names] = fn(given[good])[names].to_numpy()
             except Exception:
                 for i in pdf.index[good]:
                     try:
-                        result.loc[[i], names] = fn(pdf.loc[[i]])[names].to_numpy()
+                        result.loc[[i], names] = fn(given.loc[[i]])[names].to_numpy()
                     except Exception as exc:
                         errors.loc[i] = f"descriptor failed: {exc}"
             out = pdf.drop(columns=["error"]).join(result.infer_objects())
@@ -118,9 +125,10 @@ def _apply_custom(df: DataFrame, key: str, smiles: str, spec: DescriptorSet) ->
 
 def describe_dataframe(df: DataFrame, key: str, smiles: str = "smiles", spec: DescriptorSet | None = None,
                        merge: bool = True) -> DataFrame:
-    """Descriptors of the valid rows, joined back to the source columns by key."""
-    good = compute_descriptors(df, key, smiles, spec).where("error is null").drop("error")
-    return merge_by_key(df, good, key) if merge else good
+    """Descriptors beside the source columns (null for failed rows), or of the valid rows alone."""
+    if merge:
+        return compute_descriptors(df, key, smiles, spec, df.columns).drop("error")
+    return compute_descriptors(df, key, smiles, spec).where("error is null").drop("error")
 
 
 def attach_heuristic_targets(df: DataFrame, key: str, mw: str = "molecular_weight", logp: str = "xlogp",
@@ -155,43 +163,52 @@ def zagreb_index(bonds: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
 
 
 def _distance_sum():
+    per_chunk = SOURCES_PER_CHUNK
+
     @F.pandas_udf("long")
-    def distance_sum(src: pd.Series, dst: pd.Series) -> pd.Series:
-        def one(a, b) -> int:
+    def distance_sum(src: pd.Series, dst: pd.Series, chunk: pd.Series) -> pd.Series:
+        def one(a, b, c) -> int:
             near: dict = {}
             for x, y in zip(a, b):
                 near.setdefault(x, set()).add(y)
                 near.setdefault(y, set()).add(x)
             total = 0
-            for start in near:
+            for start in sorted(near)[c * per_chunk:(c + 1) * per_chunk]:
                 seen, front, depth = {start}, [start], 0
                 while front:
                     depth += 1
-                    front = list({v for u in front for v in near[u]} - seen)
+                    front = list({v for u in front for v in near[u] if v not in seen})
                     seen.update(front)
                     total += depth * len(front)
-            return total // 2
+            return total
 
-        return pd.Series([one(a, b) for a, b in zip(src, dst)])
+        return pd.Series([one(a, b, c) for a, b, c in zip(src, dst, chunk)])
 
     return distance_sum
 
 
-def wiener_index(bonds: DataFrame, atoms: DataFrame | None = None, small: int = SMALL_GRAPH_ATOMS) -> DataFrame:
+def wiener_index(bonds: DataFrame, atoms: DataFrame | None = None, largest: int = LARGEST_GRAPH) -> DataFrame:
     """Sum of shortest path lengths over unordered atom pairs, per molecule.
 
-    Molecules of up to ``small`` bonds are walked in memory, many per Arrow batch.
-    Larger ones are expanded level by level with joins keyed on (molecule, source,
-    atom), which spreads one molecule over all tasks. Pairs without a path add 0.
+    A plausible molecule (at most 5000 mass units) has a few thousand atoms, so its
+    bonds fit one row. The starting atoms are cut into chunks that run as separate
+    rows, so a large molecule spreads over tasks; a chunk returns one number and no
+    pair is ever written. Graphs above ``largest`` bonds are beyond any valid
+    molecule; they are expanded level by level with joins keyed on (molecule,
+    source, atom). Pairs without a path add 0.
     """
     bonds = bonds.select("mol_id", "src", "dst").where("src <> dst")
     sizes = bonds.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_bonds"))
-    big = sizes.where(F.col("n_bonds") > small)
+    big = sizes.where(F.col("n_bonds") > largest)
     has_big = bool(big.take(1))
     rest = bonds.join(big, "mol_id", "left_anti") if has_big else bonds
+    lists = rest.groupBy("mol_id").agg(F.collect_list("src").alias("s"), F.collect_list("dst").alias("d"))
+    # a graph has at most twice as many atoms as bonds; chunks past the last atom add 0
+    last = F.floor((F.size("s") * 2 - 1) / SOURCES_PER_CHUNK).cast("int")
+    chunks = lists.select("mol_id", "s", "d", F.explode(F.sequence(F.lit(0), last)).alias("c"))
     out = (
-        rest.groupBy("mol_id").agg(F.collect_list("src").alias("s"), F.collect_list("dst").alias("d"))
-        .select("mol_id", _distance_sum()("s", "d").alias("wiener"))
+        chunks.repartition("mol_id", "c").select("mol_id", _distance_sum()("s", "d", "c").alias("part"))
+        .groupBy("mol_id").agg((F.sum("part") / 2).cast("long").alias("wiener"))
     )
     if has_big:
         out = out.unionByName(_wiener_by_joins(bonds.join(big.select("mol_id"), "mol_id", "left_semi")))

@@ -84,9 +84,9 @@ def value_range(df: DataFrame, y: str, pred: str) -> DataFrame:
                   m["r2"].alias("r2"), m["rmse"].alias("rmse"))
 
 
-def comparison_grid(metrics: DataFrame, names: Sequence[str], row: str = "model_type") -> DataFrame:
+def comparison_grid(metrics: DataFrame, names: Sequence[str], rows: Sequence[str] = ("model_type",)) -> DataFrame:
     """Models by metrics; a missing metric shows as 0."""
-    return metrics.groupBy(row).pivot("metric", list(names)).agg(F.first("value")).fillna(0.0)
+    return metrics.groupBy(*rows).pivot("metric", list(names)).agg(F.first("value")).fillna(0.0)
 
 
 def learning_curve_summary(scores: DataFrame) -> DataFrame:

@@ -181,6 +181,10 @@ class ModelTrainer:
         make = SparkXGBRegressor if self.problem_type == "regression" else SparkXGBClassifier
         return make(label_col="label", features_col="features", random_state=self.seed, **params)
 
+    def _many_fits(self) -> bool:
+        """A single fit keeps its own binned copy of the rows; one-vs-rest fits once per class."""
+        return self.problem_type == "classification" and self.engine != "random_forest"
+
     @property
     def scoring(self) -> str:
         return "r2" if self.problem_type == "regression" else "f1_score"
@@ -203,8 +207,9 @@ class ModelTrainer:
               scaler: Scaler | None = None, key: str | None = None, tune: bool = False, grid: dict | None = None,
               tune_rows: int | None = None) -> ModelBundle:
         """Fit on all training rows; metrics come from ``val``, or from the training rows without one."""
-        table = self._labelled(train, features, target, scaler).select(
-            *([key] if key else []), "label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+        table = self._labelled(train, features, target, scaler).select(*([key] if key else []), "label", "features")
+        if tune or self._many_fits():
+            table.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             classes = self._classes(table)
             best = self._search(table, key, grid, tune_rows, classes) if tune else None

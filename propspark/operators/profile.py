@@ -10,10 +10,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from propspark.columns import WIDE_AGG_LIMIT, clean_double, numeric_columns, to_long
+from propspark.columns import WIDE_AGG_LIMIT, clean_double, numeric_columns, present, to_long
 from propspark.operators.cleaning import missing_counts
-from propspark.operators.quantiles import exact_quantiles
+from propspark.operators.quantiles import exact_quantiles, head_columns, with_sample
 
+STATS = ("feature", "count", "mean", "std", "min", "max", "missing", "missing_pct", "skewness", "kurtosis")
 PAIR_CHUNK = 150  # correlation pairs per aggregate
 
 
@@ -33,18 +34,23 @@ def profile_long(long: DataFrame) -> DataFrame:
     """One row of statistics per feature of a long table ``feature, value``."""
     v = F.col("value")
     n = F.count(v).cast("double")
-    stats = long.groupBy("feature").agg(
+    probs = [0.25, 0.5, 0.75]
+    # one row per feature: the statistics and the first quantile pass share a scan
+    stats = with_sample(long).groupBy("feature").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"),
         (F.count(F.lit(1)) - F.count(v)).alias("missing"),
         (F.lit(100.0) * (F.count(F.lit(1)) - F.count(v)) / F.count(F.lit(1))).alias("missing_pct"),
         corrected_skewness(v, n).alias("skewness"), corrected_kurtosis(v, n).alias("kurtosis"),
-    )
-    q = exact_quantiles(long, [0.25, 0.5, 0.75])
+        *head_columns(probs),
+    ).collect()
+    q = exact_quantiles(long, probs, heads=stats)
     kind = long.schema["feature"].dataType.simpleString()
-    quartiles = long.sparkSession.createDataFrame(
-        [(k, *vals) for k, vals in q.items()], f"feature {kind}, q25 double, q50 double, q75 double")
-    return stats.join(quartiles, "feature", "left")
+    none = [None] * len(probs)
+    return long.sparkSession.createDataFrame(
+        [(*[r[c] for c in STATS], *q.get(r["feature"], none)) for r in stats],
+        f"feature {kind}, count long, mean double, std double, min double, max double, missing long, "
+        "missing_pct double, skewness double, kurtosis double, q25 double, q50 double, q75 double")
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -61,10 +67,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def target_counts(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Rows with a value, per target."""
-    gaps = missing_counts(df, targets)
-    total = df.count()
+    row = df.agg(F.count(F.lit(1)).alias("total"),
+                 *[F.count_if(present(df, t)).alias(f"n{i}") for i, t in enumerate(targets)]).first()
     return df.sparkSession.createDataFrame(
-        [(t, total - gaps[t], total) for t in targets], "target string, present long, total long")
+        [(t, row[f"n{i}"], row["total"]) for i, t in enumerate(targets)], "target string, present long, total long")
 
 
 def problem_type(df: DataFrame, target: str, max_classes: int = 10) -> tuple[str, int]:

@@ -1,10 +1,11 @@
 """Exact quantiles without gathering a column in one task.
 
 ``percentile`` and ``median`` keep every distinct value of a group in one buffer.
-Here a bounded sketch brackets each wanted rank, one counting pass checks the
-bracket, and only the few values inside are sorted. Brackets that are still too
-full are narrowed again. Each pass is a scan with a partial aggregate; the driver
-holds a handful of numbers per feature.
+Here a bounded sketch over a row sample brackets each wanted rank, one counting
+pass over all rows locates the ranks, and only the few values inside a bracket are
+sorted. Brackets that are still too full are narrowed again, so the sample only
+affects the number of passes, never the result. Each pass is a scan with a partial
+aggregate; the driver holds a handful of numbers per feature.
 """
 
 from __future__ import annotations
@@ -18,26 +19,44 @@ from propspark.columns import to_long
 
 BUDGET = 1 << 18  # most values one bracket may hold before it is sorted
 ACCURACY = 4000  # sketch accuracy: rank error at most n / ACCURACY
+SAMPLE = 1 / 16  # share of rows that enter the sketch
+MARGINS = (0.0005, 0.004, 0.02)  # bracket half-widths around a wanted rank, as shares
 GRID = 200  # sub-brackets per narrowing round
 
 
-def _edges_frame(df: DataFrame, edges: dict) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("feature", df.schema["feature"].dataType),
-        T.StructField("edges", T.ArrayType(T.DoubleType())),
-    ])
-    return df.sparkSession.createDataFrame([(k, v) for k, v in edges.items()], schema)
+def count_edges(value: Column, edges: Sequence[Column], inclusive: bool) -> Column:
+    """How many edges lie below the value (or at it); null edges count nothing."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + F.when((e <= value) if inclusive else (e < value), 1).otherwise(0)
+    return out
+
+
+def literal_edges(edges: Sequence[float]) -> list[Column]:
+    return [F.lit(float(e)) for e in edges]
 
 
-def _with_bucket(df: DataFrame, edges: dict) -> DataFrame:
+def with_edges(long: DataFrame, edges: dict) -> tuple[DataFrame, list[Column]]:
+    """Attach each feature's edges as plain columns, padded with nulls.
+
+    The edge table has one short row per feature, so its size follows the number of
+    columns and not the number of rows; features without edges drop out.
+    """
+    width = max((len(v) for v in edges.values()), default=0)
+    names = [f"_e{i}" for i in range(width)]
+    schema = T.StructType([T.StructField("feature", long.schema["feature"].dataType)]
+                          + [T.StructField(n, T.DoubleType()) for n in names])
+    rows = [(k, *v, *[None] * (width - len(v))) for k, v in edges.items()]
+    frame = long.sparkSession.createDataFrame(rows, schema)
+    return long.join(F.broadcast(frame), "feature"), [F.col(n) for n in names]
+
+
+def _with_bucket(long: DataFrame, edges: dict) -> DataFrame:
     """Number the gaps between edges 0, 2, 4, ... and the edges themselves 1, 3, 5, ..."""
-    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    tie = F.array_contains("edges", F.col("value")).cast("int")
-    # one short array per feature: bounded by the number of columns, not by rows
-    return (
-        df.join(F.broadcast(_edges_frame(df, edges)), "feature")
-        .select("feature", "value", (below * 2 + tie).alias("bucket"))
-    )
+    rows, cols = with_edges(long, edges)
+    v = F.col("value")
+    bucket = count_edges(v, cols, False) + count_edges(v, cols, True)
+    return rows.select("feature", "value", bucket.alias("bucket"))
 
 
 def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = BUDGET) -> dict:
@@ -46,10 +65,9 @@ def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = B
     edges = {k: sorted(set(v)) for k, v in edges.items()}
     open_ranks = {k: sorted(set(v)) for k, v in wanted.items() if v}
     while open_ranks:
-        part = long.where(F.col("feature").isin(list(open_ranks)))
         edges = {k: edges[k] for k in open_ranks}
         counts: dict = {k: {} for k in open_ranks}
-        for r in _with_bucket(part, edges).groupBy("feature", "bucket").count().collect():
+        for r in _with_bucket(long, edges).groupBy("feature", "bucket").count().collect():
             counts[r["feature"]][r["bucket"]] = r["count"]
         gather, narrow = {}, {}
         for k, ranks in open_ranks.items():
@@ -63,40 +81,36 @@ def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = B
                         (gather if n <= budget else narrow).setdefault((k, b), []).append((rank, rank - before, n))
                 before += n
         if gather:
-            found.update(_sorted_inside(part, edges, gather))
+            found.update(_sorted_inside(long, edges, gather))
         open_ranks = {}
         if narrow:
-            for k, cuts in _narrow(part, edges, narrow).items():
+            for k, cuts in _narrow(long, edges, narrow).items():
                 edges[k] = sorted(set(edges[k]) | set(cuts))
             for (k, _), items in narrow.items():
                 open_ranks.setdefault(k, []).extend(rank for rank, _, _ in items)
     return found
 
 
-def _inside(part: DataFrame, edges: dict, cells) -> DataFrame:
-    by_feature: dict = {}
-    for k, b in cells:
-        by_feature.setdefault(k, []).append(b)
-    schema = T.StructType([
-        T.StructField("feature", part.schema["feature"].dataType),
-        T.StructField("wanted", T.ArrayType(T.IntegerType())),
-    ])
-    keep = part.sparkSession.createDataFrame(list(by_feature.items()), schema)
-    rows = _with_bucket(part.where(F.col("feature").isin(list(by_feature))), {k: edges[k] for k in by_feature})
-    return rows.join(F.broadcast(keep), "feature").where(F.array_contains("wanted", F.col("bucket")))
+def _inside(long: DataFrame, edges: dict, cells) -> DataFrame:
+    """Rows of the given (feature, bucket) cells."""
+    schema = T.StructType([T.StructField("feature", long.schema["feature"].dataType),
+                           T.StructField("bucket", T.IntegerType())])
+    keep = long.sparkSession.createDataFrame(list(cells), schema)
+    rows = _with_bucket(long, {k: edges[k] for k, _ in cells})
+    return rows.join(F.broadcast(keep), ["feature", "bucket"])  # a few cells per feature
 
 
-def _sorted_inside(part: DataFrame, edges: dict, gather: dict) -> dict:
+def _sorted_inside(long: DataFrame, edges: dict, gather: dict) -> dict:
     schema = T.StructType([
-        T.StructField("feature", part.schema["feature"].dataType),
+        T.StructField("feature", long.schema["feature"].dataType),
         T.StructField("bucket", T.IntegerType()),
         T.StructField("offsets", T.ArrayType(T.IntegerType())),
     ])
-    offsets = part.sparkSession.createDataFrame(
+    offsets = long.sparkSession.createDataFrame(
         [(k, b, sorted({o for _, o, _ in items})) for (k, b), items in gather.items()], schema)
     # at most `budget` values per group: counted just before
     picked = (
-        _inside(part, edges, gather).groupBy("feature", "bucket")
+        _inside(long, edges, gather).groupBy("feature", "bucket")
         .agg(F.sort_array(F.collect_list("value")).alias("vals"))
         .join(offsets, ["feature", "bucket"])
         .select("feature", "bucket", "offsets",
@@ -110,11 +124,11 @@ def _sorted_inside(part: DataFrame, edges: dict, gather: dict) -> dict:
     return out
 
 
-def _narrow(part: DataFrame, edges: dict, narrow: dict) -> dict:
+def _narrow(long: DataFrame, edges: dict, narrow: dict) -> dict:
     grid = [i / GRID for i in range(GRID + 1)]
     cuts: dict = {}
     rows = (
-        _inside(part, edges, narrow).groupBy("feature", "bucket")
+        _inside(long, edges, narrow).groupBy("feature", "bucket")
         .agg(F.percentile_approx("value", grid, ACCURACY).alias("cuts")).collect()
     )
     for r in rows:
@@ -124,29 +138,35 @@ def _narrow(part: DataFrame, edges: dict, narrow: dict) -> dict:
     return cuts
 
 
-def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGET) -> dict:
+def with_sample(long: DataFrame) -> DataFrame:
+    """Add ``_pick``: the value for a share of the rows, else null."""
+    return long.withColumn("_pick", F.when(F.rand(7) < SAMPLE, F.col("value")))
+
+
+def head_columns(probs: Sequence[float]) -> list[Column]:
+    """First-pass aggregates over ``with_sample``: count and sampled bracket edges."""
+    cuts = sorted({min(1.0, max(0.0, p + s * m)) for p in probs for m in MARGINS for s in (-1, 1)})
+    return [F.count("value").alias("n"), F.percentile_approx("_pick", cuts, ACCURACY).alias("cuts")]
+
+
+def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGET, heads=None) -> dict:
     """``{feature: [quantile, ...]}`` of a long table ``feature, value``.
 
     Linear interpolation between neighbouring ranks; nulls are ignored. A feature
-    without values gets nulls.
+    without values is absent from the result. ``heads`` are the collected rows of a
+    first pass that already held ``head_columns(probs)``.
     """
     long = long.select("feature", "value").where("value is not null")
-    eps = 2.0 / ACCURACY
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-    heads = long.groupBy("feature").agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", cuts, ACCURACY).alias("cuts"),
-    ).collect()
-    n = {r["feature"]: r["n"] for r in heads}
-    small = [k for k, c in n.items() if c <= budget]
+    if heads is None:
+        heads = with_sample(long).groupBy("feature").agg(*head_columns(probs)).collect()
+    n = {r["feature"]: r["n"] for r in heads if r["n"]}
     out: dict = {}
+    small = {k for k, c in n.items() if c <= budget}
     if small:
-        direct = (
-            long.where(F.col("feature").isin(small)).groupBy("feature")
-            .agg(F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).collect()
-        )
-        out.update({r["feature"]: list(r["q"]) for r in direct})
-    large = {r["feature"]: list(r["cuts"]) for r in heads if r["n"] > budget}
+        rows = long if len(small) == len(n) else long.where(F.col("feature").isin(list(small)))
+        direct = rows.groupBy("feature").agg(F.percentile("value", F.array(*literal_edges(probs))).alias("q"))
+        out.update({r["feature"]: list(r["q"]) for r in direct.collect()})
+    large = {r["feature"]: list(r["cuts"] or []) for r in heads if r["n"] > budget}
     if large:
         spots = {k: [(n[k] - 1) * p for p in probs] for k in large}
         ranks = {k: {f(h) for h in hs for f in (math.floor, math.ceil)} for k, hs in spots.items()}
@@ -166,9 +186,3 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         return {}
     got = exact_quantiles(to_long(df, columns), probs, budget)
     return {c: got.get(c, [None] * len(probs)) for c in columns}
-
-
-def bin_index(col: Column, edges: Sequence[float]) -> Column:
-    """0-based bin of a value between ascending inner edges (upper edge exclusive)."""
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= col))
-

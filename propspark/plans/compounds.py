@@ -27,7 +27,8 @@ def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None
         df = df.where(sm.parse_error(F.col("smiles")).isNull())
     df = dedup_by_key(df, ["cid"], order)
     if synonyms is not None:
-        df = lookup_synonyms(df, synonyms)
+        # one list per compound, so the lookup cannot repeat rows
+        df = lookup_synonyms(df, synonyms.groupBy("cid").agg(F.max("synonyms").alias("synonyms")))
     mw, lp, hba, hbd = F.col("molecular_weight"), F.col("xlogp"), F.col("hba"), F.col("hbd")
     key = F.col("cid")
     df = df.withColumns(sm.counts(F.col("smiles"))).withColumns({
