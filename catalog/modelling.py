@@ -113,7 +113,7 @@ def _fit(model_type, kind, target):
         df = split(order_study(spark, sf_dir), "cid")
         parts = {s: df.where(F.col("split") == s) for s in ("train", "test")}
         trainer = learning.ModelTrainer(model_type, kind, SMALL)
-        bundle = trainer.train(parts["train"], INPUTS, target, parts["test"], fit_scaler(parts["train"], INPUTS))
+        bundle = trainer.train(parts["train"], INPUTS, target, parts["test"], fit_scaler(parts["train"], INPUTS), "cid")
         return learning.metrics_table(bundle, bundle.metrics, spark)
     return run
 
@@ -125,7 +125,7 @@ for _m in learning.MODEL_TYPES:
 
 def small_forest(spark, sf_dir, target="boiling_point", kind="regression", model_type="random_forest"):
     df = order_study(spark, sf_dir)
-    return df, learning.ModelTrainer(model_type, kind, SMALL).train(df, INPUTS, target, scaler=fit_scaler(df, INPUTS))
+    return df, learning.ModelTrainer(model_type, kind, SMALL).train(df, INPUTS, target, scaler=fit_scaler(df, INPUTS), key="cid")
 
 
 @query("model_reload")

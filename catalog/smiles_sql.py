@@ -1,7 +1,11 @@
-"""The SMILES text rules in DuckDB SQL."""
+"""The SMILES text rules in DuckDB SQL, token by token."""
 
 from propspark.functions import smiles as sm
 
+HYDROGEN_TOKEN = r"^\[[0-9]*H[0-9+\-:@]*\]$"
+CARBON_TOKEN = r"^(?:[Cc]|\[[0-9]*[Cc](?:[^a-z].*)?\])$"
+AROMATIC_TOKEN = r"^(?:[bcnops]|\[[0-9]*(?:b|c|n|o|p|s|se|as)(?:[^a-z].*)?\])$"
+
 
 def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
@@ -16,11 +20,11 @@ def _matching(s: str, pattern: str) -> str:
 
 
 def _outside(s: str) -> str:
-    return f"regexp_replace({s}, '{sm.BRACKET}', '', 'g')"
+    return f"regexp_replace({s}, '{sm.BRACKET}', ' ', 'g')"
 
 
 def heavy(s: str) -> str:
-    return f"({_count(s, sm.ATOM)} - {_matching(s, sm.HYDROGEN_ATOM)})"
+    return f"({_count(s, sm.ATOM)} - {_matching(s, HYDROGEN_TOKEN)})"
 
 
 def parse_error(s: str) -> str:
@@ -54,8 +58,8 @@ def counts(s: str) -> dict[str, str]:
     )
     out = {
         "heavy_atoms": heavy(s),
-        "heteroatoms": f"{heavy(s)} - {_matching(s, sm.CARBON_ATOM)}",
-        "aromatic_atoms": _matching(s, sm.AROMATIC_ATOM),
+        "heteroatoms": f"{heavy(s)} - {_matching(s, CARBON_TOKEN)}",
+        "aromatic_atoms": _matching(s, AROMATIC_TOKEN),
         "ring_closures": rings,
         "components": parts,
         "branches": f"length({o}) - length(replace({o}, '(', ''))",

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from propspark.errors import DataError
 from propspark.operators.joins import ordered_features
 from propspark.operators.learning import ModelBundle
-from propspark.operators.quantiles import count_edges, exact_quantiles, literal_edges
+from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges
 from propspark.operators.ranking import sort_importance, top_features, top_per_row
 from propspark.session import new_path
 
@@ -137,7 +137,8 @@ def tree_shap(df: DataFrame, key: str, bundle: ModelBundle, label: int | None =
     cols = ordered_features(df, names)
     if bundle.scaler is not None:
         cols = [bundle.scaler.expr(n, c) if n in bundle.scaler.scale else c for n, c in zip(names, cols)]
-    rows = df.select(F.col(key), F.array(*cols).alias("x"))
+    # a row costs far more to explain than to move: spread rows evenly (AQE sizes the partitions)
+    rows = df.select(F.col(key), F.array(*cols).alias("x")).repartition(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -176,7 +177,9 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
         raise DataError("background rows are required")
     bank = df.sparkSession.createDataFrame(list(enumerate(zs)), "_b int, z array<double>")
 
-    walks = df.select(F.col(key).alias("_k"), F.array(*ordered_features(df, names)).alias("x")).select(
+    # every row becomes samples x (features + 1) predictions: spread rows evenly first
+    rows = df.select(F.col(key).alias("_k"), F.array(*ordered_features(df, names)).alias("x")).repartition("_k")
+    walks = rows.select(
         "_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
     text = F.concat_ws("#", F.col("_k").cast("string"), F.col("s").cast("string"), F.lit(str(seed)))
     order = F.transform(
@@ -186,9 +189,11 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     walks = walks.select(
         "_k", "s", "x", order.alias("ord"), F.pmod(F.xxhash64(text, F.lit("row")), F.lit(len(zs))).cast("int").alias("_b"),
     ).join(F.broadcast(bank), "_b")  # at most `background_rows` rows
-    steps = walks.select("_k", "s", "x", "z", "ord", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("step"))
-    mixed = F.transform(F.col("x"), lambda v, j: F.when(
-        F.array_position("ord", j) <= F.col("step"), v).otherwise(F.element_at("z", j + 1)))
+    # place of every feature in the order: computed once per walk, before the steps multiply the rows
+    rank = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.array_position("ord", j))
+    walks = walks.select("_k", "x", "z", "ord", rank.alias("rank"))
+    steps = walks.select("*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("step"))
+    mixed = F.transform("x", lambda v, j: F.when(F.get("rank", j) <= F.col("step"), v).otherwise(F.get("z", j)))
     raw = steps.select("_k", "step", "ord", mixed.alias("v"))
     if bundle.scaler is not None:
         centers = F.array(*[F.lit(bundle.scaler.center.get(n, 0.0)) for n in names])
@@ -234,7 +239,7 @@ def interaction_strength(long: DataFrame, key: str, feature: str, bins: int = 10
     """
     main = long.where(F.col("feature") == feature)
     q = exact_quantiles(main.select("feature", F.col("feature_value").alias("value")), [i / bins for i in range(1, bins)])
-    spot = count_edges(F.col("feature_value"), literal_edges(q[feature]), True)
+    spot = edges_upto(F.col("feature_value"), literal_edges(q[feature]))
     main = main.select(key, spot.alias("bin"), F.col("shap").alias("s"))
     others = long.where(F.col("feature") != feature).select(key, "feature", F.col("feature_value").alias("v"))
     per_bin = others.join(main, key).groupBy("feature", "bin").agg(F.corr("v", "s").alias("r"))

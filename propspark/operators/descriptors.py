@@ -62,8 +62,8 @@ class DescriptorSet:
         self.include_keys = include_keys and bool(patterns)
         self.descriptor_fn, self.descriptor_schema = descriptor_fn, descriptor_schema
 
-    def columns(self, smiles: Column) -> dict[str, Column]:
-        out = dict(sm.counts(smiles)) if self.counts else {}
+    def columns(self, smiles: Column, outer: Column | None = None) -> dict[str, Column]:
+        out = dict(sm.counts(smiles, outer)) if self.counts else {}
         if self.include_keys:
             out["key_bits"] = key_bits(smiles, self.patterns)
         return out
@@ -87,8 +87,11 @@ def compute_descriptors(df: DataFrame, key: str, smiles: str = "smiles", spec: D
     clash = [c for c in source if c in names]
     if clash:
         raise ValueError(f"columns already present: {clash}")
-    parts = df.select(*source, F.col(smiles).alias("_smiles")).withColumn("error", sm.error(F.col("_smiles")))
-    exprs = [F.when(F.col("error").isNull(), c).alias(n) for n, c in spec.columns(F.col("_smiles")).items()]
+    # the bracket-free text and the error are used many times, so they are columns of their own
+    text, outer = F.col("_smiles"), F.col("_outer")
+    parts = df.select(*source, F.col(smiles).alias("_smiles")).withColumn("_outer", sm.outside(text)).withColumn(
+        "error", sm.error(text, outer=outer))
+    exprs = [F.when(F.col("error").isNull(), c).alias(n) for n, c in spec.columns(text, outer).items()]
     out = parts.select(*source, "_smiles", *exprs, "error")
     return (out if spec.descriptor_fn is None else _apply_custom(out, smiles, spec)).drop("_smiles")
 

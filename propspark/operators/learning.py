@@ -208,6 +208,8 @@ class ModelTrainer:
               tune_rows: int | None = None) -> ModelBundle:
         """Fit on all training rows; metrics come from ``val``, or from the training rows without one."""
         table = self._labelled(train, features, target, scaler).select(*([key] if key else []), "label", "features")
+        if key:  # many passes follow: an even spread is worth one shuffle of the narrow table
+            table = table.repartition(key)
         if tune or self._many_fits():
             table.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -256,7 +258,7 @@ class ModelTrainer:
         """``fold, score`` with folds from the key hash."""
         table = self._labelled(df, features, target, scaler).select(
             key, "label", "features", keyed_fold(F.col(key), self.cv_folds, self.seed).alias("fold")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        ).repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             classes = self._classes(table)
             rows = []

@@ -20,16 +20,34 @@ from propspark.columns import to_long
 BUDGET = 1 << 18  # most values one bracket may hold before it is sorted
 ACCURACY = 4000  # sketch accuracy: rank error at most n / ACCURACY
 SAMPLE = 1 / 16  # share of rows that enter the sketch
-MARGINS = (0.0005, 0.004, 0.02)  # bracket half-widths around a wanted rank, as shares
+MARGINS = (0.001, 0.005, 0.02)  # bracket half-widths around a wanted rank, as shares
 GRID = 200  # sub-brackets per narrowing round
 
 
-def count_edges(value: Column, edges: Sequence[Column], inclusive: bool) -> Column:
-    """How many edges lie below the value (or at it); null edges count nothing."""
-    out = F.lit(0)
-    for e in edges:
-        out = out + F.when((e <= value) if inclusive else (e < value), 1).otherwise(0)
-    return out
+def edges_upto(value: Column, edges: Sequence[Column]) -> Column:
+    """How many of the ascending edges lie at or below the value, by binary search.
+
+    Null edges may pad the end and count nothing.
+    """
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value >= edges[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(edges))
+
+
+def _gap_or_edge(value: Column, edges: Sequence[Column]) -> Column:
+    """Gaps between edges are numbered 0, 2, 4, ... and the edges themselves 1, 3, 5, ..."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(2 * lo)
+        mid = (lo + hi) // 2
+        return (F.when(value > edges[mid], search(mid + 1, hi)).when(value == edges[mid], 2 * mid + 1)
+                .otherwise(search(lo, mid)))
+
+    return search(0, len(edges))
 
 
 def literal_edges(edges: Sequence[float]) -> list[Column]:
@@ -52,11 +70,8 @@ def with_edges(long: DataFrame, edges: dict) -> tuple[DataFrame, list[Column]]:
 
 
 def _with_bucket(long: DataFrame, edges: dict) -> DataFrame:
-    """Number the gaps between edges 0, 2, 4, ... and the edges themselves 1, 3, 5, ..."""
     rows, cols = with_edges(long, edges)
-    v = F.col("value")
-    bucket = count_edges(v, cols, False) + count_edges(v, cols, True)
-    return rows.select("feature", "value", bucket.alias("bucket"))
+    return rows.select("feature", "value", _gap_or_edge(F.col("value"), cols).alias("bucket"))
 
 
 def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = BUDGET) -> dict:
@@ -143,10 +158,27 @@ def with_sample(long: DataFrame) -> DataFrame:
     return long.withColumn("_pick", F.when(F.rand(7) < SAMPLE, F.col("value")))
 
 
+def _cuts(probs: Sequence[float]) -> list[float]:
+    return sorted({_near(p, m, s) for p in probs for m in MARGINS for s in (-1, 1)})
+
+
+def _near(p: float, margin: float, side: int) -> float:
+    return min(1.0, max(0.0, p + side * margin))
+
+
 def head_columns(probs: Sequence[float]) -> list[Column]:
     """First-pass aggregates over ``with_sample``: count and sampled bracket edges."""
-    cuts = sorted({min(1.0, max(0.0, p + s * m)) for p in probs for m in MARGINS for s in (-1, 1)})
-    return [F.count("value").alias("n"), F.percentile_approx("_pick", cuts, ACCURACY).alias("cuts")]
+    return [F.count("value").alias("n"), F.percentile_approx("_pick", _cuts(probs), ACCURACY).alias("cuts")]
+
+
+def _first_edges(n: int, cuts: Sequence[float] | None, probs: Sequence[float]) -> list[float]:
+    """The bracket ends whose margin fits the sampling error at this row count."""
+    if not cuts:
+        return []
+    error = 1.5 / math.sqrt(n * SAMPLE) + 2.0 / ACCURACY  # three standard errors of a rank, plus the sketch
+    margin = next((m for m in MARGINS if m >= error), MARGINS[-1])
+    at = dict(zip(_cuts(probs), cuts))
+    return [at[_near(p, margin, s)] for p in probs for s in (-1, 1)]
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGET, heads=None) -> dict:
@@ -166,7 +198,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGE
         rows = long if len(small) == len(n) else long.where(F.col("feature").isin(list(small)))
         direct = rows.groupBy("feature").agg(F.percentile("value", F.array(*literal_edges(probs))).alias("q"))
         out.update({r["feature"]: list(r["q"]) for r in direct.collect()})
-    large = {r["feature"]: list(r["cuts"] or []) for r in heads if r["n"] > budget}
+    large = {r["feature"]: _first_edges(r["n"], r["cuts"], probs) for r in heads if r["n"] > budget}
     if large:
         spots = {k: [(n[k] - 1) * p for p in probs] for k in large}
         ranks = {k: {f(h) for h in hs for f in (math.floor, math.ceil)} for k, hs in spots.items()}

@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
 from propspark.errors import DataError
 from propspark.operators.profile import correlations
-from propspark.operators.quantiles import count_edges, exact_quantiles, literal_edges, with_edges
+from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges, with_edges
 from propspark.operators.split_scale import Scaler, fit_scaler
 
 METHODS = ("variance", "correlation", "mutual_info", "f_statistic", "rfe", "pca", "combined")
@@ -59,14 +59,14 @@ def bin_edges(long: DataFrame, bins: int, binning: str) -> dict[str, list[float]
 def binned(long: DataFrame, edges: dict[str, list[float]], carry: Sequence[str]) -> DataFrame:
     """Bin number per value: how many edges lie at or below it."""
     rows, cols = with_edges(long.where("value is not null"), edges)
-    return rows.select("feature", *carry, count_edges(F.col("value"), cols, True).alias("bx"))
+    return rows.select("feature", *carry, edges_upto(F.col("value"), cols).alias("bx"))
 
 
 def _target_bin(df: DataFrame, target: str, problem: str, bins: int, binning: str) -> Column:
     if problem == "classification":
         return F.col(target).cast("double")
     edges = bin_edges(to_long(df, [target]), bins, binning)[target]
-    return count_edges(clean_double(df, target), literal_edges(edges), True).cast("double")
+    return edges_upto(clean_double(df, target), literal_edges(edges)).cast("double")
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, problem: str = "regression",

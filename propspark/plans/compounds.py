@@ -31,7 +31,8 @@ def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None
         df = lookup_synonyms(df, synonyms.groupBy("cid").agg(F.max("synonyms").alias("synonyms")))
     mw, lp, hba, hbd = F.col("molecular_weight"), F.col("xlogp"), F.col("hba"), F.col("hbd")
     key = F.col("cid")
-    df = df.withColumns(sm.counts(F.col("smiles"))).withColumns({
+    df = df.withColumn("_outer", sm.outside(F.col("smiles")))
+    df = df.withColumns(sm.counts(F.col("smiles"), F.col("_outer"))).drop("_outer").withColumns({
         "toxicity_category": formulas.toxicity_category(mw, lp, hbd, hba, F.col("complexity"), F.col("charge")),
         "boiling_point": formulas.boiling_point(mw, lp, hba, hbd, F.col("rotatable_bonds"), key, noise_sd[0], seed),
         "solubility": formulas.solubility_mol_per_l(mw, lp, hba, hbd, F.col("tpsa"), key, noise_sd[1], seed),

@@ -62,7 +62,7 @@ def run_study(df: DataFrame, spec: RunSpec, output: str | None = None) -> RunRes
         scored = test.where(F.col(target).isNotNull())
         for m in spec.model_types:
             trainer = ModelTrainer(m, kind, spec.hyperparameters.get(m), seed=spec.seed, profile=spec.profile)
-            bundle = bundles[target, m] = trainer.train(train, chosen, target, val, scaler)
+            bundle = bundles[target, m] = trainer.train(train, chosen, target, val, scaler, spec.key)
             got = evaluate(bundle.predict(scored, "_p"), target, "_p", kind).first().asDict()
             rows += [(target, m, k, float(v)) for k, v in got.items()]
             if output:
