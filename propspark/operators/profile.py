@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, numeric_columns, present, to_long
 from propspark.operators.cleaning import missing_counts
-from propspark.operators.quantiles import exact_quantiles, head_columns, with_sample
+from propspark.operators.quantiles import exact_quantiles
 
 STATS = ("feature", "count", "mean", "std", "min", "max", "missing", "missing_pct", "skewness", "kurtosis")
 PAIR_CHUNK = 150  # correlation pairs per aggregate
@@ -35,16 +35,15 @@ def profile_long(long: DataFrame) -> DataFrame:
     v = F.col("value")
     n = F.count(v).cast("double")
     probs = [0.25, 0.5, 0.75]
-    # one row per feature: the statistics and the first quantile pass share a scan
-    stats = with_sample(long).groupBy("feature").agg(
+    # plain aggregates only: a sketch among them would take all of them out of generated code
+    stats = long.groupBy("feature").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"),
         (F.count(F.lit(1)) - F.count(v)).alias("missing"),
         (F.lit(100.0) * (F.count(F.lit(1)) - F.count(v)) / F.count(F.lit(1))).alias("missing_pct"),
         corrected_skewness(v, n).alias("skewness"), corrected_kurtosis(v, n).alias("kurtosis"),
-        *head_columns(probs),
     ).collect()
-    q = exact_quantiles(long, probs, heads=stats)
+    q = exact_quantiles(long, probs, n={r["feature"]: r["count"] for r in stats})
     kind = long.schema["feature"].dataType.simpleString()
     none = [None] * len(probs)
     return long.sparkSession.createDataFrame(

@@ -153,11 +153,6 @@ def _narrow(long: DataFrame, edges: dict, narrow: dict) -> dict:
     return cuts
 
 
-def with_sample(long: DataFrame) -> DataFrame:
-    """Add ``_pick``: the value for a share of the rows, else null."""
-    return long.withColumn("_pick", F.when(F.rand(7) < SAMPLE, F.col("value")))
-
-
 def _cuts(probs: Sequence[float]) -> list[float]:
     return sorted({_near(p, m, s) for p in probs for m in MARGINS for s in (-1, 1)})
 
@@ -166,9 +161,19 @@ def _near(p: float, margin: float, side: int) -> float:
     return min(1.0, max(0.0, p + side * margin))
 
 
-def head_columns(probs: Sequence[float]) -> list[Column]:
-    """First-pass aggregates over ``with_sample``: count and sampled bracket edges."""
-    return [F.count("value").alias("n"), F.percentile_approx("_pick", _cuts(probs), ACCURACY).alias("cuts")]
+def _heads(long: DataFrame, probs: Sequence[float]) -> tuple[dict, dict]:
+    """Row count and sampled bracket cuts per feature, in one pass."""
+    picked = long.withColumn("_pick", F.when(F.rand(7) < SAMPLE, F.col("value")))
+    rows = picked.groupBy("feature").agg(
+        F.count("value").alias("n"), F.percentile_approx("_pick", _cuts(probs), ACCURACY).alias("cuts")).collect()
+    return {r["feature"]: r["n"] for r in rows if r["n"]}, {r["feature"]: r["cuts"] for r in rows}
+
+
+def _sampled_cuts(long: DataFrame, probs: Sequence[float]) -> dict:
+    """Bracket cuts per feature when the row counts are known already."""
+    rows = long.where(F.rand(7) < SAMPLE).groupBy("feature").agg(
+        F.percentile_approx("value", _cuts(probs), ACCURACY).alias("cuts")).collect()
+    return {r["feature"]: r["cuts"] for r in rows}
 
 
 def _first_edges(n: int, cuts: Sequence[float] | None, probs: Sequence[float]) -> list[float]:
@@ -181,24 +186,26 @@ def _first_edges(n: int, cuts: Sequence[float] | None, probs: Sequence[float]) -
     return [at[_near(p, margin, s)] for p in probs for s in (-1, 1)]
 
 
-def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGET, heads=None) -> dict:
+def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGET, n: dict | None = None) -> dict:
     """``{feature: [quantile, ...]}`` of a long table ``feature, value``.
 
     Linear interpolation between neighbouring ranks; nulls are ignored. A feature
-    without values is absent from the result. ``heads`` are the collected rows of a
-    first pass that already held ``head_columns(probs)``.
+    without values is absent from the result. ``n`` gives the non-null row count per
+    feature if an earlier pass has it.
     """
     long = long.select("feature", "value").where("value is not null")
-    if heads is None:
-        heads = with_sample(long).groupBy("feature").agg(*head_columns(probs)).collect()
-    n = {r["feature"]: r["n"] for r in heads if r["n"]}
+    if n is None:
+        n, cuts = _heads(long, probs)
+    else:
+        n = {k: c for k, c in n.items() if c}
+        cuts = _sampled_cuts(long, probs) if any(c > budget for c in n.values()) else {}
     out: dict = {}
     small = {k for k, c in n.items() if c <= budget}
     if small:
         rows = long if len(small) == len(n) else long.where(F.col("feature").isin(list(small)))
         direct = rows.groupBy("feature").agg(F.percentile("value", F.array(*literal_edges(probs))).alias("q"))
         out.update({r["feature"]: list(r["q"]) for r in direct.collect()})
-    large = {r["feature"]: _first_edges(r["n"], r["cuts"], probs) for r in heads if r["n"] > budget}
+    large = {k: _first_edges(c, cuts.get(k), probs) for k, c in n.items() if c > budget}
     if large:
         spots = {k: [(n[k] - 1) * p for p in probs] for k in large}
         ranks = {k: {f(h) for h in hs for f in (math.floor, math.ceil)} for k, hs in spots.items()}
