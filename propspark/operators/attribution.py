@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionMode
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from propspark.errors import DataError
+from propspark.functions import moments
 from propspark.operators.joins import ordered_features
 from propspark.operators.learning import ModelBundle
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges
@@ -242,8 +243,8 @@ def interaction_strength(long: DataFrame, key: str, feature: str, bins: int = 10
     spot = edges_upto(F.col("feature_value"), literal_edges(q[feature]))
     main = main.select(key, spot.alias("bin"), F.col("shap").alias("s"))
     others = long.where(F.col("feature") != feature).select(key, "feature", F.col("feature_value").alias("v"))
-    per_bin = others.join(main, key).groupBy("feature", "bin").agg(F.corr("v", "s").alias("r"))
-    return per_bin.groupBy("feature").agg(F.sum(F.abs(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))).alias("strength"))
+    per_bin = others.join(main, key).groupBy("feature", "bin").agg(moments.correlation(F.col("v"), F.col("s")).alias("r"))
+    return per_bin.groupBy("feature").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)))).alias("strength"))
 
 
 def dependence(long: DataFrame, key: str, feature: str, interaction: str | None = None) -> DataFrame:

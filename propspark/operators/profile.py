@@ -8,9 +8,10 @@ from itertools import combinations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, numeric_columns, present, to_long
+from propspark.functions import moments
 from propspark.operators.cleaning import missing_counts
 from propspark.operators.quantiles import exact_quantiles
 
@@ -18,18 +19,6 @@ STATS = ("feature", "count", "mean", "std", "min", "max", "missing", "missing_pc
 PAIR_CHUNK = 150  # correlation pairs per aggregate
 
 
-def corrected_skewness(value: Column, n: Column) -> Column:
-    """Bias-corrected skewness from Spark's population value; null below 3 rows."""
-    g1 = F.skewness(value)
-    return F.when(n >= 3, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)) * g1)
-
-
-def corrected_kurtosis(value: Column, n: Column) -> Column:
-    """Bias-corrected excess kurtosis; null below 4 rows."""
-    g2 = F.kurtosis(value)
-    return F.when(n >= 4, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)) * ((n + 1) * g2 + 6))
-
-
 def profile_long(long: DataFrame) -> DataFrame:
     """One row of statistics per feature of a long table ``feature, value``."""
     v = F.col("value")
@@ -41,7 +30,7 @@ def profile_long(long: DataFrame) -> DataFrame:
         F.min(v).alias("min"), F.max(v).alias("max"),
         (F.count(F.lit(1)) - F.count(v)).alias("missing"),
         (F.lit(100.0) * (F.count(F.lit(1)) - F.count(v)) / F.count(F.lit(1))).alias("missing_pct"),
-        corrected_skewness(v, n).alias("skewness"), corrected_kurtosis(v, n).alias("kurtosis"),
+        moments.skewness(v, n).alias("skewness"), moments.kurtosis(v, n).alias("kurtosis"),
     ).collect()
     q = exact_quantiles(long, probs, n={r["feature"]: r["count"] for r in stats})
     kind = long.schema["feature"].dataType.simpleString()
@@ -144,9 +133,7 @@ def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str
         chunk = pairs[at:at + PAIR_CHUNK]
         aggs = []
         for i, (a, b) in enumerate(chunk):
-            x, y = clean_double(df, a), clean_double(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            aggs.append(F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}"))
+            aggs.append(moments.correlation(clean_double(df, a), clean_double(df, b)).alias(f"r{i}"))
         row = df.agg(*aggs).first()
         out.update({p: row[f"r{i}"] for i, p in enumerate(chunk)})
     return out

@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
 from propspark.errors import DataError
+from propspark.functions import moments
 from propspark.operators.profile import correlations
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges, with_edges
 from propspark.operators.split_scale import Scaler, fit_scaler
@@ -92,7 +93,7 @@ def f_statistic(df: DataFrame, features: Sequence[str], target: str, problem: st
     long = to_long(df.where(F.col(target).isNotNull()), features, [target]).where("value is not null")
     if problem == "regression":
         y = F.col(target).cast("double")
-        r = long.groupBy("feature").agg(F.corr("value", y).alias("r"), F.count(F.lit(1)).alias("n"))
+        r = long.groupBy("feature").agg(moments.correlation(F.col("value"), y).alias("r"), F.count(F.lit(1)).alias("n"))
         r2 = F.col("r") * F.col("r")
         return r.select("feature", F.when(r2 < 1, r2 / F.nullif(1 - r2, F.lit(0.0)) * (F.col("n") - 2))
                         .when(r2 >= 1, float("inf")).alias("score"))

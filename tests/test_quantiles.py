@@ -74,3 +74,18 @@ def test_profile_short_columns(spark):
     got = {r["feature"]: r for r in profile.feature_stats(df).collect()}
     assert got["a"]["skewness"] is None and got["b"]["std"] is None and got["c"]["count"] == 0 and got["c"]["q50"] is None
     assert got["b"]["missing_pct"] == 50.0
+
+
+def test_profile_of_constant_column(spark):
+    row = profile.feature_stats(spark.createDataFrame([(2.0,)] * 6, "x double")).first()
+    assert row["std"] == 0.0 and row["q25"] == 2.0 and row["skewness"] in (None, 0.0) and row["kurtosis"] is None
+
+
+def test_distribution_tables(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]] + [(None,)], "x double")
+    box = profile.box_stats(df, ["x"]).first()
+    assert (box["whisker_lo"], box["whisker_hi"], box["outliers"], box["median"]) == (1.0, 4.0, 1, 3.0)
+    hist = profile.histogram(df, "x", 4).orderBy("bin").collect()
+    assert [r["count"] for r in hist] == [4, 0, 0, 1]
+    flat = profile.histogram(spark.createDataFrame([(5.0,)] * 3, "x double"), "x", 2).orderBy("bin").collect()
+    assert [r["count"] for r in flat] == [0, 3]
