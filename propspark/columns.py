@@ -46,14 +46,28 @@ def clean_double(df: DataFrame, name: str) -> Column:
     return col
 
 
+def _cell(value: Column) -> Column:
+    return F.when(~F.isnan(value), value + F.lit(0.0))
+
+
 def to_long(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """Long form ``carry..., feature, value`` of numeric columns; nulls are kept."""
-    wide = df.select(*[F.col(f"`{c}`") for c in carry], *[clean_double(df, c).alias(c) for c in columns])
-    return wide.unpivot(list(carry), list(columns), "feature", "value")
+    """Long form ``carry..., feature, value`` of numeric columns as doubles; nulls are kept.
+
+    A few columns go through ``unpivot``; for many, one array per row and
+    ``posexplode`` keep the plan and the generated code small.
+    """
+    keep = [F.col(f"`{c}`") for c in carry]
+    raw = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    if len(raw) <= WIDE_AGG_LIMIT:
+        long = df.select(*keep, *[v.alias(c) for c, v in raw.items()]).unpivot(list(carry), list(raw), "feature", "value")
+    else:
+        cells = df.select(*keep, F.posexplode(F.array(*raw.values())).alias("_i", "value"))
+        label = F.get(F.array(*[F.lit(c) for c in raw]), F.col("_i"))
+        long = cells.select(*keep, label.alias("feature"), "value")
+    return long.withColumn("value", _cell(F.col("value")))
 
 
 def array_to_long(df: DataFrame, array_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """Long form of an array column; ``feature`` is the position."""
     out = df.select(*[F.col(c) for c in carry], F.posexplode(array_col).alias("feature", "value"))
-    value = F.col("value").cast("double") + F.lit(0.0)
-    return out.withColumn("value", F.when(F.isnan(value), None).otherwise(value))
+    return out.withColumn("value", _cell(F.col("value").cast("double")))

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from propspark.errors import DataError
 from propspark.functions import moments
-from propspark.operators.joins import ordered_features
-from propspark.operators.learning import ModelBundle
+from propspark.operators.learning import ModelBundle, feature_array
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges
 from propspark.operators.ranking import sort_importance, top_features, top_per_row
 from propspark.session import new_path
@@ -135,11 +134,8 @@ def tree_shap(df: DataFrame, key: str, bundle: ModelBundle, label: int | None =
     flat = tree_paths(df.sparkSession, last, label)
     names = list(bundle.feature_names)
     shap_values = _path_shap(len(names), flat.paths)
-    cols = ordered_features(df, names)
-    if bundle.scaler is not None:
-        cols = [bundle.scaler.expr(n, c) if n in bundle.scaler.scale else c for n, c in zip(names, cols)]
     # a row costs far more to explain than to move: spread rows evenly (AQE sizes the partitions)
-    rows = df.select(F.col(key), F.array(*cols).alias("x")).repartition(key)
+    rows = df.select(F.col(key), feature_array(df, names, bundle.scaler).alias("x")).repartition(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -172,14 +168,14 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     p = len(names)
     marks = background.select(
         F.md5(F.concat(F.col(background_key).cast("string"), F.lit(f"#{seed}"))).alias("_h"),
-        F.array(*ordered_features(background, names)).alias("z"))
+        feature_array(background, names).alias("z"))
     zs = [list(r["z"]) for r in marks.orderBy("_h").limit(background_rows).collect()]
     if not zs:
         raise DataError("background rows are required")
     bank = df.sparkSession.createDataFrame(list(enumerate(zs)), "_b int, z array<double>")
 
     # every row becomes samples x (features + 1) predictions: spread rows evenly first
-    rows = df.select(F.col(key).alias("_k"), F.array(*ordered_features(df, names)).alias("x")).repartition("_k")
+    rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition("_k")
     walks = rows.select(
         "_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
     text = F.concat_ws("#", F.col("_k").cast("string"), F.col("s").cast("string"), F.lit(str(seed)))

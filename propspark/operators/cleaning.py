@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from propspark.columns import (
-    FLOATING, WIDE_AGG_LIMIT, clean_double, numeric_columns, present, require_columns, string_columns,
+    FLOATING, WIDE_AGG_LIMIT, clean_double, numeric_columns, present, require_columns, string_columns, to_long,
 )
 from propspark.operators.quantiles import column_quantiles
 from propspark.session import materialize
 
 # fixed values: identifier-like columns that outlier removal leaves alone
 OUTLIER_EXEMPT = ("cid", "charge")
+MISSING_CHUNK = 100  # columns per aggregate when counting gaps in other than numeric columns
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -40,12 +41,19 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return {}
-    if len(columns) <= WIDE_AGG_LIMIT:
-        row = df.agg(*[F.count_if(~present(df, c)).alias(c) for c in columns]).first()
-        return {c: row[c] for c in columns}
-    flags = df.select(*[(~present(df, c)).alias(c) for c in columns])
-    got = flags.unpivot([], columns, "feature", "gone").groupBy("feature").agg(F.count_if("gone").alias("n"))
-    return {c: 0 for c in columns} | {r["feature"]: r["n"] for r in got.collect()}
+    many = [c for c in numeric_columns(df) if c in set(columns)]
+    if len(many) <= WIDE_AGG_LIMIT:
+        many = []
+    few = [c for c in columns if c not in set(many)]
+    out: dict[str, int] = {}
+    for at in range(0, len(few), MISSING_CHUNK):
+        chunk = few[at:at + MISSING_CHUNK]
+        row = df.agg(*[F.count_if(~present(df, c)).alias(f"n{i}") for i, c in enumerate(chunk)]).first()
+        out.update({c: row[f"n{i}"] for i, c in enumerate(chunk)})
+    if many:
+        gone = to_long(df, many).groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n"))
+        out.update({c: 0 for c in many} | {r["feature"]: r["n"] for r in gone.collect()})
+    return out
 
 
 def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from propspark.columns import numeric_columns
+from propspark.columns import WIDE_AGG_LIMIT, numeric_columns
 from propspark.errors import DataError, NotFittedError
 from propspark.functions.hashing import keyed_fold, keyed_uniform
 from propspark.operators.evaluation import (
@@ -83,12 +83,26 @@ def _spark_params(engine: str, params: dict) -> tuple[dict, list[str]]:
     return out, ignored
 
 
+def feature_array(df: DataFrame, names: Sequence[str], scaler: Scaler | None = None) -> Column:
+    """The named columns in order as one array; absent or null as 0, then scaled."""
+    if len(names) <= WIDE_AGG_LIMIT:
+        cols = ordered_features(df, names)
+        if scaler is not None:
+            cols = [scaler.expr(n, c) if n in scaler.scale else c for n, c in zip(names, cols)]
+        return F.array(*cols)
+    # many columns: a single expression over the array instead of one per column
+    have = set(df.columns)
+    raw = F.array(*[F.col(f"`{n}`").cast("double") if n in have else F.lit(0.0) for n in names])
+    if scaler is None:
+        return F.transform(raw, lambda v: F.coalesce(v, F.lit(0.0)))
+    center = F.array(*[F.lit(scaler.center.get(n, 0.0)) for n in names])
+    scale = F.array(*[F.lit(scaler.scale.get(n, 1.0)) for n in names])
+    return F.transform(raw, lambda v, i: (F.coalesce(v, F.lit(0.0)) - F.get(center, i)) / F.get(scale, i))
+
+
 def assemble(df: DataFrame, names: Sequence[str], scaler: Scaler | None = None) -> DataFrame:
-    """Add the ``features`` vector: named columns in order, absent or null as 0, then scaled."""
-    cols = ordered_features(df, names)
-    if scaler is not None:
-        cols = [scaler.expr(n, c) if n in scaler.scale else c for n, c in zip(names, cols)]
-    return df.withColumn("features", array_to_vector(F.array(*cols)))
+    """Add the ``features`` vector."""
+    return df.withColumn("features", array_to_vector(feature_array(df, names, scaler)))
 
 
 @dataclass
@@ -283,7 +297,7 @@ def learning_curve(trainer: ModelTrainer, train: DataFrame, val: DataFrame, feat
     for f in fractions:
         for r in range(repeats):
             part = train.where(keyed_uniform(F.col(key), f"curve{r}") < f)
-            bundle = trainer.train(part, features, target, val)
+            bundle = trainer.train(part, features, target, val, key=key)
             rows += [(round(f * total), "train", r, bundle.evaluate(part)[trainer.scoring]),
                      (round(f * total), "val", r, bundle.metrics[trainer.scoring])]
     return train.sparkSession.createDataFrame(rows, "train_size long, split string, repeat int, score double")

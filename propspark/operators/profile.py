@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
@@ -119,11 +120,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | str):
 
     ``columns`` is a list of columns, or the name of one array column.
     """
-    if isinstance(columns, str):
-        vec = df.select(array_to_vector(F.col(columns).cast("array<double>")).alias("v"))
-    else:
-        vec = VectorAssembler(inputCols=list(columns), outputCol="v").transform(
-            df.select(*[clean_double(df, c).alias(c) for c in columns])).select("v")
+    values = F.col(columns) if isinstance(columns, str) else F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    vec = df.select(array_to_vector(values.cast("array<double>")).alias("v"))
     return Correlation.corr(vec, "v").first()[0].toArray()
 
 
@@ -131,38 +129,37 @@ def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str
     out = {}
     for at in range(0, len(pairs), PAIR_CHUNK):
         chunk = pairs[at:at + PAIR_CHUNK]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            aggs.append(moments.correlation(clean_double(df, a), clean_double(df, b)).alias(f"r{i}"))
-        row = df.agg(*aggs).first()
+        row = df.agg(*[moments.correlation(clean_double(df, a), clean_double(df, b)).alias(f"r{i}")
+                       for i, (a, b) in enumerate(chunk)]).first()
         out.update({p: row[f"r{i}"] for i, p in enumerate(chunk)})
     return out
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ("cid",)) -> dict:
-    """``{(earlier, later): r}`` over all column pairs; rows with gaps drop out pair by pair.
+def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson matrix with NaN where undefined; rows with gaps drop out pair by pair.
 
-    Few columns or columns with gaps: ``corr`` aggregates. Many complete columns:
-    one Gramian pass.
+    Few columns or columns with gaps: correlation aggregates over pairs. Many
+    complete columns: one Gramian pass.
     """
-    columns = list(columns or numeric_columns(df, exclude))
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return {}
-    if len(columns) <= WIDE_AGG_LIMIT or any(missing_counts(df, columns).values()):
-        return _pairwise(df, pairs)
-    m = correlation_matrix(df, columns)
-    return {(a, b): _finite(m[i, j]) for (i, a), (j, b) in combinations(enumerate(columns), 2)}
-
-
-def _finite(x) -> float | None:
-    return None if x != x else float(x)
+    columns = list(columns)
+    if len(columns) > WIDE_AGG_LIMIT and not any(missing_counts(df, columns).values()):
+        return correlation_matrix(df, columns)
+    m = np.eye(len(columns))
+    at = {c: i for i, c in enumerate(columns)}
+    for (a, b), r in _pairwise(df, list(combinations(columns, 2))).items():
+        m[at[a], at[b]] = m[at[b], at[a]] = np.nan if r is None else r
+    return m
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ("cid",)) -> DataFrame:
-    """Strict lower triangle in long form: ``f1, f2, r`` with f1 after f2."""
-    rows = [(b, a, r) for (a, b), r in correlations(df, columns, exclude).items()]
-    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
+    """Strict lower triangle in long form: ``f1, f2, r`` with f1 after f2 in column order."""
+    columns = list(columns or numeric_columns(df, exclude))
+    m = correlations(df, columns)
+    i, j = np.tril_indices(len(columns), -1)
+    names = np.array(columns, dtype=object)
+    table = pd.DataFrame({"f1": names[i], "f2": names[j], "r": m[i, j]})
+    out = df.sparkSession.createDataFrame(table, "f1 string, f2 string, r double")
+    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def top_correlated(df: DataFrame, target: str, top_n: int = 30, columns: Sequence[str] | None = None) -> DataFrame:

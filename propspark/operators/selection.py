@@ -41,8 +41,11 @@ def keep_varying(df: DataFrame, features: Sequence[str], threshold: float = 0.01
 
 def keep_uncorrelated(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> list[str]:
     """Drop a column when any earlier one (kept or not) correlates above the threshold."""
-    dropped = {b for (_, b), r in correlations(df, features, exclude=()).items() if r is not None and abs(r) > threshold}
-    return [c for c in features if c not in dropped]
+    if not features:
+        return []
+    with np.errstate(invalid="ignore"):
+        above = np.triu(np.abs(correlations(df, features)) > threshold, 1)  # an undefined value is not above
+    return [c for c, drop in zip(features, above.any(axis=0)) if not drop]
 
 
 def bin_edges(long: DataFrame, bins: int, binning: str) -> dict[str, list[float]]:

@@ -80,11 +80,12 @@ def test_correlations_pairwise_and_gramian_agree(spark):
     rng = np.random.default_rng(3)
     f = pd.DataFrame(rng.normal(size=(200, 40)), columns=[f"c{i}" for i in range(40)])
     f["c7"] = f["c3"] * 2 + 1
-    got = profile.correlations(spark.createDataFrame(f))
-    want = f.corr()
-    assert got["c3", "c7"] == pytest.approx(1.0)
-    assert all(abs(r - want.loc[a, b]) < 1e-9 for (a, b), r in got.items()) and len(got) == 780
+    got = profile.correlations(spark.createDataFrame(f), list(f))
+    np.testing.assert_allclose(got, f.corr(), atol=1e-9)
+    table = profile.correlation_table(spark.createDataFrame(f))
+    assert table.count() == 780 and table.where("f1 = 'c7' AND f2 = 'c3'").first()["r"] == pytest.approx(1.0)
     f.loc[::5, "c1"] = np.nan
-    gaps = profile.correlations(spark.createDataFrame(f))
-    want = f.corr()
-    assert all(abs(r - want.loc[a, b]) < 1e-9 for (a, b), r in gaps.items())
+    np.testing.assert_allclose(profile.correlations(spark.createDataFrame(f), list(f)), f.corr(), atol=1e-9)
+    f["flat"] = 2.0
+    few = profile.correlation_table(spark.createDataFrame(f[["c0", "flat"]])).first()
+    assert few["r"] is None
