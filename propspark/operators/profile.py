@@ -15,6 +15,7 @@ from propspark.columns import WIDE_AGG_LIMIT, clean_double, numeric_columns, pre
 from propspark.functions import moments
 from propspark.operators.cleaning import missing_counts
 from propspark.operators.quantiles import exact_quantiles
+from propspark.session import small_table
 
 STATS = ("feature", "count", "mean", "std", "min", "max", "missing", "missing_pct", "skewness", "kurtosis")
 PAIR_CHUNK = 150  # correlation pairs per aggregate
@@ -34,12 +35,10 @@ def profile_long(long: DataFrame) -> DataFrame:
         moments.skewness(v, n).alias("skewness"), moments.kurtosis(v, n).alias("kurtosis"),
     ).collect()
     q = exact_quantiles(long, probs, n={r["feature"]: r["count"] for r in stats})
-    kind = long.schema["feature"].dataType.simpleString()
     none = [None] * len(probs)
-    return long.sparkSession.createDataFrame(
-        [(*[r[c] for c in STATS], *q.get(r["feature"], none)) for r in stats],
-        f"feature {kind}, count long, mean double, std double, min double, max double, missing long, "
-        "missing_pct double, skewness double, kurtosis double, q25 double, q50 double, q75 double")
+    rows = [(*[r[c] for c in STATS], *q.get(r["feature"], none)) for r in stats]
+    kinds = {"feature": long.schema["feature"].dataType.simpleString(), "count": "bigint", "missing": "bigint"}
+    return small_table(long.sparkSession, rows, **{c: kinds.get(c, "double") for c in (*STATS, "q25", "q50", "q75")})
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -100,11 +99,9 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def box_stats(df: DataFrame, columns: Sequence[str], whisker: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends, points beyond them, mean and population std per column."""
     long = to_long(df, columns).where("value is not null")
-    spark = df.sparkSession
     q = exact_quantiles(long, [0.25, 0.5, 0.75])
-    fences = spark.createDataFrame(
-        [(k, *v, v[0] - whisker * (v[2] - v[0]), v[2] + whisker * (v[2] - v[0])) for k, v in q.items()],
-        "feature string, q25 double, median double, q75 double, lo double, hi double")
+    rows = [(k, *v, v[0] - whisker * (v[2] - v[0]), v[2] + whisker * (v[2] - v[0])) for k, v in q.items()]
+    fences = small_table(df.sparkSession, rows, feature="string", **dict.fromkeys(("q25", "median", "q75", "lo", "hi"), "double"))
     v = F.col("value")
     kept = v.between(F.col("lo"), F.col("hi"))
     return (

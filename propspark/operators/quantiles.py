@@ -13,9 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.columns import to_long
+from propspark.session import small_table
 
 BUDGET = 1 << 18  # most values one bracket may hold before it is sorted
 ACCURACY = 4000  # sketch accuracy: rank error at most n / ACCURACY
@@ -54,6 +55,10 @@ def literal_edges(edges: Sequence[float]) -> list[Column]:
     return [F.lit(float(e)) for e in edges]
 
 
+def _kind(long: DataFrame) -> str:
+    return long.schema["feature"].dataType.simpleString()
+
+
 def with_edges(long: DataFrame, edges: dict) -> tuple[DataFrame, list[Column]]:
     """Attach each feature's edges as plain columns, padded with nulls.
 
@@ -62,10 +67,8 @@ def with_edges(long: DataFrame, edges: dict) -> tuple[DataFrame, list[Column]]:
     """
     width = max((len(v) for v in edges.values()), default=0)
     names = [f"_e{i}" for i in range(width)]
-    schema = T.StructType([T.StructField("feature", long.schema["feature"].dataType)]
-                          + [T.StructField(n, T.DoubleType()) for n in names])
     rows = [(k, *v, *[None] * (width - len(v))) for k, v in edges.items()]
-    frame = long.sparkSession.createDataFrame(rows, schema)
+    frame = small_table(long.sparkSession, rows, feature=_kind(long), **dict.fromkeys(names, "double"))
     return long.join(F.broadcast(frame), "feature"), [F.col(n) for n in names]
 
 
@@ -108,26 +111,19 @@ def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = B
 
 def _inside(long: DataFrame, edges: dict, cells) -> DataFrame:
     """Rows of the given (feature, bucket) cells."""
-    schema = T.StructType([T.StructField("feature", long.schema["feature"].dataType),
-                           T.StructField("bucket", T.IntegerType())])
-    keep = long.sparkSession.createDataFrame(list(cells), schema)
+    keep = small_table(long.sparkSession, list(cells), feature=_kind(long), bucket="int")
     rows = _with_bucket(long, {k: edges[k] for k, _ in cells})
     return rows.join(F.broadcast(keep), ["feature", "bucket"])  # a few cells per feature
 
 
 def _sorted_inside(long: DataFrame, edges: dict, gather: dict) -> dict:
-    schema = T.StructType([
-        T.StructField("feature", long.schema["feature"].dataType),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("offsets", T.ArrayType(T.IntegerType())),
-    ])
-    offsets = long.sparkSession.createDataFrame(
-        [(k, b, sorted({o for _, o, _ in items})) for (k, b), items in gather.items()], schema)
+    rows = [(k, b, sorted({o for _, o, _ in items})) for (k, b), items in gather.items()]
+    offsets = small_table(long.sparkSession, rows, feature=_kind(long), bucket="int", offsets="array<int>")
     # at most `budget` values per group: counted just before
     picked = (
         _inside(long, edges, gather).groupBy("feature", "bucket")
         .agg(F.sort_array(F.collect_list("value")).alias("vals"))
-        .join(offsets, ["feature", "bucket"])
+        .join(F.broadcast(offsets), ["feature", "bucket"])
         .select("feature", "bucket", "offsets",
                 F.transform("offsets", lambda o: F.element_at("vals", o + 1)).alias("picked"))
     )

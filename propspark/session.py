@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_TYPES = {
+    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(),
+    "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
@@ -37,3 +44,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], **kinds: str) -> DataFrame:
+    """A driver-made table of a few rows (one per feature or so) with declared column types.
+
+    It arrives as Arrow and becomes a local relation: reading it starts no job and
+    its size is known to the planner.
+    """
+    columns = {name: pa.array([r[i] for r in rows], ARROW_TYPES[kind]) for i, (name, kind) in enumerate(kinds.items())}
+    return spark.createDataFrame(pa.table(columns))
