@@ -77,6 +77,15 @@ def model_catalogue(spark, sf_dir):
     return learning.pivot_metrics(metric_rows(spark, sf_dir), ["r2", "mae"], ("target", "model_type"))
 
 
+@query("metrics_report", f"WITH m AS ({METRIC_ROWS}) SELECT target || '_' || model_type AS model, metric, value, (SELECT count(*) FROM orders) AS n_rows FROM m")
+def metrics_report(spark, sf_dir):
+    """Write the JSON report and flatten it again."""
+    path = tables.write_metrics_report(spark, new_path(spark, "report"), metric_rows(spark, sf_dir), n_rows=table(spark, sf_dir, "orders").count())
+    report = spark.read.schema("n_rows bigint, metrics map<string, map<string, double>>").json(path)
+    models = report.select("n_rows", F.explode("metrics").alias("model", "m"))
+    return models.select("model", "n_rows", F.explode("m").alias("metric", "value"))
+
+
 @query("learning_curve_summary", """SELECT CAST(o_custkey % 20 AS BIGINT) AS train_size, o_orderstatus AS split, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, count(*) AS n FROM orders GROUP BY 1, 2""")
 def learning_curve_summary(spark, sf_dir):
     scores = table(spark, sf_dir, "orders").selectExpr("o_custkey % 20 AS train_size", "o_orderstatus AS split", "o_totalprice AS score")
@@ -137,6 +146,14 @@ def model_reload(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_difference"))
 
 
+@query("predict_raw", f"SELECT cid, true AS predicted FROM ({proxy_sql('orders', ORDER_COMPOUNDS)})")
+def predict_raw(spark, sf_dir):
+    """Score raw columns in another order, one of them absent and one unknown."""
+    df, bundle = small_forest(spark, sf_dir)
+    raw = df.select("tpsa", "cid", F.lit(1).alias("unknown"), "hba", "hbd", "molecular_weight", "xlogp")
+    return bundle.predict(raw).select("cid", F.col("prediction").between(-100, 800).alias("predicted"))
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     return small_forest(spark, sf_dir)[1].importance(spark)

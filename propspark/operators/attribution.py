@@ -135,7 +135,7 @@ def tree_shap(df: DataFrame, key: str, bundle: ModelBundle, label: int | None =
     names = list(bundle.feature_names)
     shap_values = _path_shap(len(names), flat.paths)
     # a row costs far more to explain than to move: spread rows evenly (AQE sizes the partitions)
-    rows = df.select(F.col(key), feature_array(df, names, bundle.scaler).alias("x")).repartition(key)
+    rows = df.select(F.col(key), feature_array(df, names, bundle.scaler).alias("x")).repartition(F.xxhash64(key, "x"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,7 +175,7 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     bank = df.sparkSession.createDataFrame(list(enumerate(zs)), "_b int, z array<double>")
 
     # every row becomes samples x (features + 1) predictions: spread rows evenly first
-    rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition("_k")
+    rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition(F.xxhash64("_k", "x"))
     walks = rows.select(
         "_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
     text = F.concat_ws("#", F.col("_k").cast("string"), F.col("s").cast("string"), F.lit(str(seed)))

@@ -210,7 +210,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGE
             out[k] = []
             for h in hs:
                 lo, hi = found[k, math.floor(h)], found[k, math.ceil(h)]
-                out[k].append(lo + (hi - lo) * (h - math.floor(h)))
+                out[k].append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
     return out
 
 

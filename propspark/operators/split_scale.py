@@ -10,10 +10,12 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
+from propspark.errors import DataError
 from propspark.functions.hashing import keyed_long, keyed_uniform
 from propspark.operators.quantiles import column_quantiles, order_statistics
 
 SCALERS = ("standard", "minmax", "robust")
+MAX_TIES = 1000  # unique keys share a 52-bit hash far less often than this
 
 
 def split_column(key: Column, test_size: float = 0.2, val_size: float = 0.1, seed: int = 42) -> Column:
@@ -43,10 +45,12 @@ def split(df: DataFrame, key: str, test_size: float = 0.2, val_size: float = 0.1
         """Rows among the ``count`` smallest hashes; equal hashes go by key."""
         if count <= 0:
             return F.lit(False)
-        cut = cuts["h", min(count, n) - 1]
-        below = df.where(h < F.lit(int(cut))).count()
-        tied = [r[0] for r in df.where(h == F.lit(int(cut))).select(key).orderBy(key).limit(count - below).collect()]
-        return (h < F.lit(int(cut))) | ((h == F.lit(int(cut))) & F.col(key).isin(tied))
+        cut = F.lit(int(cuts["h", min(count, n) - 1]))
+        missing = count - df.where(h < cut).count()
+        if missing > MAX_TIES:
+            raise DataError(f"exact splits need a unique key: {key}")
+        tied = [r[0] for r in df.where(h == cut).select(key).orderBy(key).limit(missing).collect()]
+        return (h < cut) | ((h == cut) & F.col(key).isin(tied))
 
     return df.withColumn("split", F.when(upto(n_test), "test").when(upto(n_test + n_val), "val").otherwise("train"))
 

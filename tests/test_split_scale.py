@@ -57,3 +57,9 @@ def test_target_round_trip(spark):
     got = out.select("id", scaler.inverse("a", F.col("a")).alias("a"), scaler.inverse("zzz", F.col("k")).alias("k")).toPandas().sort_values("id")
     np.testing.assert_allclose(got["a"], f["a"])
     assert (got["k"] == 1.5).all() and "k" not in scaler.scale
+
+
+def test_exact_split_needs_a_unique_key(spark):
+    from propspark.errors import DataError
+    with pytest.raises(DataError):
+        split_scale.split(spark.range(9000).selectExpr("id % 2 AS id"), "id", exact=True)
