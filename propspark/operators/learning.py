@@ -17,7 +17,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from propspark.columns import WIDE_AGG_LIMIT, numeric_columns
 from propspark.errors import DataError, NotFittedError
@@ -28,6 +27,7 @@ from propspark.operators.evaluation import (
 from propspark.operators.joins import ordered_features
 from propspark.operators.split_scale import Scaler
 from propspark.operators.validation import record_errors
+from propspark.session import materialize
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "xgboost")
 PROBLEM_TYPES = ("regression", "classification")
@@ -225,13 +225,10 @@ class ModelTrainer:
         if key:  # many passes follow: an even spread is worth one shuffle of the narrow table
             table = table.repartition(key)
         if tune or self._many_fits():
-            table.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            classes = self._classes(table)
-            best = self._search(table, key, grid, tune_rows, classes) if tune else None
-            fitted = self.estimator(classes, **(best or {})).fit(table)
-        finally:
-            table.unpersist()
+            table = materialize(table, "fit")
+        classes = self._classes(table)
+        best = self._search(table, key, grid, tune_rows, classes) if tune else None
+        fitted = self.estimator(classes, **(best or {})).fit(table)
         bundle = ModelBundle(target, self.model_type, self.engine, self.problem_type, list(features),
                              PipelineModel([fitted]), scaler, best_params=best, ignored_params=list(self.ignored))
         bundle.metrics = bundle.evaluate(val if val is not None else train)
@@ -270,18 +267,15 @@ class ModelTrainer:
     def cross_validate(self, df: DataFrame, features: Sequence[str], target: str, key: str,
                        scaler: Scaler | None = None) -> DataFrame:
         """``fold, score`` with folds from the key hash."""
-        table = self._labelled(df, features, target, scaler).select(
-            key, "label", "features", keyed_fold(F.col(key), self.cv_folds, self.seed).alias("fold")
-        ).repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            classes = self._classes(table)
-            rows = []
-            for i in range(self.cv_folds):
-                fitted = self.estimator(classes).fit(table.where(F.col("fold") != i))
-                got = evaluate(fitted.transform(table.where(F.col("fold") == i)), "label", "prediction", self.problem_type)
-                rows.append((i, got.first()[self.scoring]))
-        finally:
-            table.unpersist()
+        fold = keyed_fold(F.col(key), self.cv_folds, self.seed).alias("fold")
+        table = self._labelled(df, features, target, scaler).select(key, "label", "features", fold)
+        table = materialize(table.repartition(key), "folds")
+        classes = self._classes(table)
+        rows = []
+        for i in range(self.cv_folds):
+            fitted = self.estimator(classes).fit(table.where(F.col("fold") != i))
+            got = evaluate(fitted.transform(table.where(F.col("fold") == i)), "label", "prediction", self.problem_type)
+            rows.append((i, got.first()[self.scoring]))
         return df.sparkSession.createDataFrame(rows, "fold int, score double")
 
 
@@ -334,15 +328,12 @@ class MultiTargetModel:
 
 def train_targets(train: DataFrame, features: Sequence[str], target_types: dict[str, str], val: DataFrame | None = None,
                   model_type: str = "random_forest", scaler: Scaler | None = None, **trainer_args) -> MultiTargetModel:
-    """One model per target from one cached feature table."""
-    train = train.select(*dict.fromkeys([*features, *target_types])).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return MultiTargetModel({
-            t: ModelTrainer(model_type, kind, **trainer_args).train(train, features, t, val, scaler)
-            for t, kind in target_types.items()
-        })
-    finally:
-        train.unpersist()
+    """One model per target from one written feature table."""
+    train = materialize(train.select(*dict.fromkeys([*features, *target_types])), "targets")
+    return MultiTargetModel({
+        t: ModelTrainer(model_type, kind, **trainer_args).train(train, features, t, val, scaler)
+        for t, kind in target_types.items()
+    })
 
 
 META_SCHEMA = (

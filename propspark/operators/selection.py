@@ -12,7 +12,6 @@ from pyspark.ml.feature import PCA, PCAModel, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
 from propspark.errors import DataError
@@ -20,6 +19,7 @@ from propspark.functions import moments
 from propspark.operators.profile import correlations
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges, with_edges
 from propspark.operators.split_scale import Scaler, fit_scaler
+from propspark.session import materialize
 
 METHODS = ("variance", "correlation", "mutual_info", "f_statistic", "rfe", "pca", "combined")
 NEEDS_TARGET = ("mutual_info", "f_statistic", "rfe")
@@ -133,28 +133,25 @@ def recursive_elimination(df: DataFrame, features: Sequence[str], target: str, n
     """
     make = RandomForestClassifier if problem == "classification" else RandomForestRegressor
     estimator = make(numTrees=trees, maxDepth=max_depth, seed=seed, labelCol="label", featuresCol="part")
-    table = df.select(
+    table = materialize(df.select(
         F.col(target).cast("double").alias("label"),
         array_to_vector(F.array(*[F.coalesce(clean_double(df, c), F.lit(0.0)) for c in features])).alias("features"),
-    ).where("label is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    ).where("label is not null"), "elimination")
     drop_n = max(1, int(step * len(features)))
     left, ranking, round_no = list(range(len(features))), [], 0
-    try:
-        while True:
-            slicer = VectorSlicer(inputCol="features", outputCol="part", indices=left)
-            weights = estimator.fit(slicer.transform(table)).featureImportances.toArray()
-            by_weight = sorted(range(len(left)), key=lambda i: (weights[i], -i))
-            cut = min(drop_n, len(left) - n_features)
-            if cut <= 0:
-                break
-            round_no += 1
-            ranking += [(features[left[i]], round_no, float(weights[i])) for i in by_weight[:cut]]
-            gone = {left[i] for i in by_weight[:cut]}
-            left = [i for i in left if i not in gone]
-        kept = [features[i] for i in left]
-        return kept, ranking + [(f, 0, float(w)) for f, w in zip(kept, weights)]
-    finally:
-        table.unpersist()
+    while True:
+        slicer = VectorSlicer(inputCol="features", outputCol="part", indices=left)
+        weights = estimator.fit(slicer.transform(table)).featureImportances.toArray()
+        by_weight = sorted(range(len(left)), key=lambda i: (weights[i], -i))
+        cut = min(drop_n, len(left) - n_features)
+        if cut <= 0:
+            break
+        round_no += 1
+        ranking += [(features[left[i]], round_no, float(weights[i])) for i in by_weight[:cut]]
+        gone = {left[i] for i in by_weight[:cut]}
+        left = [i for i in left if i not in gone]
+    kept = [features[i] for i in left]
+    return kept, ranking + [(f, 0, float(w)) for f, w in zip(kept, weights)]
 
 
 @dataclass
