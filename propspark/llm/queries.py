@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from propspark.llm import sharding, token_counts
+from propspark.llm import decontamination, sharding, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -31,3 +31,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     counted = token_counts.count_tokens(docs, new_path(spark, "counts"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.drop("text")
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to flat files and read back from them."""
+    manifest = token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(manifest)
+
+
+@query("op10_suffix_automaton")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words found in every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

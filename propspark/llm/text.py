@@ -100,17 +100,29 @@ def word_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     if not len(first):
         return np.empty(0, np.uint64)
     n = len(raw)
-    power = np.full(n, _ODD, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, back = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    back = np.full(n, np.uint64(_inverse(int(_ODD))), np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
     return mix((sums[end] - sums[first]) * back[first] + (end - first).astype(np.uint64))
 
 
+_tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the odd base and of its inverse."""
+    global _tables
+    if len(_tables[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        made = []
+        for base in (_ODD, np.uint64(_inverse(int(_ODD)))):
+            power = np.full(size, base, np.uint64)
+            power[0] = 1
+            made.append(np.multiply.accumulate(power))
+        _tables = (made[0], made[1])
+    return _tables[0][:n], _tables[1][:n]
+
+
 def whole(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, as they are; a missing one is an error."""
     missing = [n for n in names if n not in df.columns]
