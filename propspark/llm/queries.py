@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from propspark.llm import decontamination, quality, sharding, token_counts, token_files
+from propspark.llm import decontamination, line_dedup, quality, sharding, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -54,3 +54,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.measure(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "clean_text")
+
+
+@query("op6_line_winnowing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines of every document, and what is left without them."""
+    cut = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed_lines", "runs", F.octet_length("clean_text").alias("kept_bytes"),
+                      F.sha2(content(F.col("clean_text")), 256).alias("kept_sha256"))
