@@ -112,7 +112,9 @@ class Encoder:
         return [b"".join(map(of, words)) + self.end for words in split]
 
 
-_encoder = functools.lru_cache(maxsize=2)(Encoder)
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, end_id: int | None) -> Encoder:
+    return Encoder(path, end_id)
 
 
 def write_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2,
