@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from propspark.llm import decontamination, line_dedup, quality, sharding, token_counts, token_files
+from propspark.llm import decontamination, line_dedup, quality, sharding, similarity_join, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -62,3 +62,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_removed_lines", "runs", F.octet_length("clean_text").alias("kept_bytes"),
                       F.sha2(content(F.col("clean_text")), 256).alias("kept_sha256"))
+
+
+@query("op9_bayesian_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return similarity_join.similar_documents(documents(spark, sf_dir)).drop("hi", "lo")
