@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from propspark.llm import decontamination, line_dedup, quality, sharding, similarity_join, token_counts, token_files
+from propspark.llm import bpe, decontamination, line_dedup, quality, sharding, similarity_join, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -68,3 +68,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return similarity_join.similar_documents(documents(spark, sf_dir)).drop("hi", "lo")
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by ranked merges and decoded again."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
