@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from propspark.llm import bpe, decontamination, line_dedup, quality, sharding, similarity_join, suffix_dedup, token_counts, token_files
+from propspark.llm import bpe, decontamination, line_dedup, pii, quality, sharding, similarity_join, suffix_dedup, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -81,3 +81,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document in strings of 400 bytes that occur twice."""
     return suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
+
+
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return pii.replace_entities(documents(spark, sf_dir).select("doc_id", "text"), key="corpus-v1")
