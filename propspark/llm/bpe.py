@@ -215,17 +215,17 @@ def _decoder(path: str) -> tuple[list[bytes], list[str]]:
     return pieces, [str(i) for i in range(size)]
 
 
-def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = False, keep: Sequence[str] | None = None,
-                     hot_words: int = HOT_WORDS) -> DataFrame:
+def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = False, with_bytes: bool = False,
+                     keep: Sequence[str] | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256`` (of the bytes that the ids
-    decode to) and with ``with_ids`` the ``ids`` and the ``decoded`` text to every row.
+    decode to), with ``with_ids`` the ``ids`` and with ``with_bytes`` the ``decoded`` bytes to every row.
 
     ``vocabulary`` is a ``.tiktoken`` file with all 256 single bytes. Every text is split by the rank files' pattern and
     each match encoded separately, without special tokens. Null is the empty text: no ids. ``keep`` names the columns
     of ``df`` that come back (all). Rows are independent; repeated rows get equal results.
     """
     spark, ranks = df.sparkSession, read_ranks(vocabulary)
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_bytes
     keep = list(df.columns if keep is None else keep)
     if set(added) & set(keep):
         raise ValueError(f"columns already there: {sorted(set(added) & set(keep))}")
@@ -255,7 +255,8 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
     encoded = cut.withColumn("symbols", let(maps, lambda m: F.transform("rare", lambda w: fold_merges(_first_symbols(ranks, w), m))))
     out = StructType([*(StructField(c, f.dataType) for c, f in zip(keep, fields)), StructField("n_tokens", LongType()),
                       StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()),
-                      *([StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())] if with_ids else [])])
+                      *([StructField("ids", ArrayType(IntegerType()))] if with_ids else []),
+                      *([StructField("decoded", BinaryType())] if with_bytes else [])])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (pieces, decimal) = _words(shared), _decoder(vocabulary)
@@ -278,17 +279,22 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
                         raise RuntimeError("rows out of order")
                     both = _Both(known, rare)
                     for words in _splitter.words(some.column("text").slice(i, j - i).to_pylist()):
-                        ids = token_ids("".join(map(both.__getitem__, words))).tolist()
+                        numbered = token_ids("".join(map(both.__getitem__, words)))
+                        ids = numbered.tolist()
                         back = b"".join(map(pieces.__getitem__, ids))
                         counts.append(len(ids))
                         ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                         text_sha.append(hashlib.sha256(back).hexdigest())
                         if with_ids:
-                            all_ids.append(ids)
+                            all_ids.append(numbered.astype(np.int32))
+                        if with_bytes:
                             decoded.append(back)
                 cols = [*(some.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+                    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *all_ids]))))
+                if with_bytes:
+                    cols.append(pa.array(decoded, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
     return encoded.mapInArrow(assemble, out)

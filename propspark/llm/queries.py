@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from propspark.llm import bpe, decontamination, line_dedup, pii, quality, sharding, similarity_join, suffix_dedup, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
@@ -87,3 +88,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by surrogates."""
     return pii.replace_entities(documents(spark, sf_dir).select("doc_id", "text"), key="corpus-v1")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -31,7 +31,7 @@ def test_odd_texts(spark):
     texts = ODD + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(150)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, block string").repartition(3)
     for hot in (0, 20, bpe.HOT_WORDS):
-        got = bpe.encode_documents(df, VOCABULARY, hot_words=hot, with_ids=hot == 20).orderBy("doc_id").collect()
+        got = bpe.encode_documents(df, VOCABULARY, hot_words=hot, with_ids=hot == 20, with_bytes=hot == 20).orderBy("doc_id").collect()
         assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got] == [expected(t) for t in texts]
         if hot == 20:
             assert [r.ids for r in got] == [MODEL.encode_ordinary(t or "") for t in texts]
