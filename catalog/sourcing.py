@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from catalog import smiles_sql as sq
 from catalog.base import ORDER_COMPOUNDS, molecule, proxy, proxy_sql, query, table
 from catalog.cleaning import BOIL_SQL, TOX_PLAIN, tox_sql
+from propspark.errors import DataError
 from propspark.operators import split_scale
 from propspark.session import new_path
 from propspark.sources import tables
@@ -16,6 +17,30 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_csv(spark, path, EVENT_SCHEMA)
 
 
+@query("csv_by_name", """SELECT event_id, value, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id,
+  CASE WHEN event_id % 3 = 0 THEN 'user_id' ELSE '' END AS unreadable FROM events""")
+def csv_by_name(spark, sf_dir):
+    """A file in another column order, with an unknown column and cells that are no numbers."""
+    df = table(spark, sf_dir, "events").selectExpr(
+        "event_type AS unknown", "CASE WHEN event_id % 3 = 0 THEN 'n/a' ELSE CAST(user_id AS STRING) END AS user_id", "value", "event_id")
+    path = tables.write_csv(df, new_path(spark, "csv"))
+    out = tables.read_csv(spark, path, "event_id bigint, value double, user_id bigint", unreadable="bad")
+    return out.select("event_id", "value", "user_id", F.array_join("bad", ",").alias("unreadable"))
+
+
+@query("csv_missing_column", "SELECT 'missing required columns: [''target'']' AS message, count(*) AS n FROM events")
+def csv_missing_column(spark, sf_dir):
+    """The error of a declared column that the header lacks."""
+    events = table(spark, sf_dir, "events")
+    path = tables.write_csv(events.select(F.col("event_type").alias("smiles"), F.col("value").alias("solubility")), new_path(spark, "csv"))
+    try:
+        tables.read_solubility_csv(spark, path)
+        message = ""
+    except DataError as exc:
+        message = str(exc)
+    return events.agg(F.lit(message).alias("message"), F.count(F.lit(1)).alias("n"))
+
+
 SOLUBLE = {
     "cid": "o_orderkey", "smiles": molecule("o_orderkey"), "target": "o_totalprice / 1.0E5 - 2.0E0",
     **{k: ORDER_COMPOUNDS[k] for k in ("molecular_weight", "xlogp", "hbd", "hba", "rotatable_bonds")},
@@ -63,6 +88,38 @@ def property_json(spark, sf_dir):
     return out.select("cid", "molecular_weight", "xlogp", F.col("hbd").cast("bigint").alias("hbd"), "smiles", F.col("charge").cast("bigint").alias("charge"), "Note", "volume_3d")
 
 
+# of the envelopes, some are cut off, some are faults, and numbers may be texts
+ODD_PROPS = """CASE WHEN event_id % 5 = 0 THEN concat('{"PropertyTable":{"Properties":[{"CID":', event_id) WHEN event_id % 5 = 1 THEN '{"Fault":{"Code":"x"}}'
+  ELSE concat('{"PropertyTable":{"Properties":[{"CID":"', event_id, '","HBondDonorCount":"', user_id, '.0","Charge":"high","Odd":"o', user_id, '"}]}}') END"""
+
+
+@query("property_json_odd", """SELECT event_id AS cid, user_id AS hbd, CAST(NULL AS BIGINT) AS charge, 'o' || user_id AS odd, 'charge' AS unreadable FROM events WHERE event_id % 5 > 1""")
+def property_json_odd(spark, sf_dir):
+    path = new_path(spark, "odd")
+    table(spark, sf_dir, "events").selectExpr(f"{ODD_PROPS} AS value").write.text(path)
+    out = tables.read_property_json(spark, path, others="more", unreadable="bad")
+    return out.select("cid", F.col("hbd").cast("bigint").alias("hbd"), F.col("charge").cast("bigint").alias("charge"),
+                      F.col("more")["Odd"].alias("odd"), F.array_join("bad", ",").alias("unreadable"))
+
+
+@query("property_json_broken", """SELECT CASE WHEN event_id % 5 = 0 THEN 'not JSON' ELSE 'no PropertyTable.Properties' END AS reason, count(*) AS n
+  FROM events WHERE event_id % 5 < 2 GROUP BY 1""")
+def property_json_broken(spark, sf_dir):
+    path = new_path(spark, "odd")
+    table(spark, sf_dir, "events").selectExpr(f"{ODD_PROPS} AS value").write.text(path)
+    return tables.broken_envelopes(spark, path).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("property_json_pretty", "SELECT CAST(n_nationkey AS BIGINT) AS cid, n_name AS smiles FROM nation")
+def property_json_pretty(spark, sf_dir):
+    """Envelopes written over several lines, one to a file."""
+    path = new_path(spark, "pretty")
+    nation = table(spark, sf_dir, "nation")
+    nation.selectExpr("""concat('{\n  "PropertyTable": {\n "Properties": [\n {"CID": ', n_nationkey, ',\n "CanonicalSMILES": "', n_name, '"}\n ]\n }\n}') AS value""",
+                      "n_nationkey").repartition(nation.count(), "n_nationkey").write.option("maxRecordsPerFile", 1).partitionBy("n_nationkey").text(path)
+    return tables.read_property_json(spark, f"{path}/*", multi_line=True).select("cid", "smiles")
+
+
 SYNS = """concat('{"InformationList":{"Information":[{"CID":', p_partkey, ',"Synonym":', CASE WHEN p_partkey % 5 = 0 THEN concat('"', p_name, '"')
   WHEN p_partkey % 7 = 0 THEN '[]' ELSE concat('["', p_name, '","', p_brand, '","', p_type, '","a","b","c"]') END, '}]}}')"""
 

@@ -24,6 +24,26 @@ def test_csv_round_trip_quotes_and_nulls(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_csv_by_name(spark):
+    path = tables.write_csv(spark.createDataFrame([("1.5", "CCO", "q"), ("x", "CC", None)], "target string, smiles string, more string"), new_path(spark, "csv"))
+    out = tables.read_csv(spark, path, "smiles string, target double", unreadable="bad").orderBy("smiles").collect()
+    assert [tuple(r) for r in out] == [("CC", None, ["target"]), ("CCO", 1.5, [])]
+    with pytest.raises(DataError, match="mass"):
+        tables.read_csv(spark, path, "smiles string, mass double")
+
+
+def test_odd_property_json(spark):
+    one = '{"PropertyTable":{"Properties":[{"CID":7,"MolecularWeight":"46.07","HBondDonorCount":"many","New":[1,2]}]}}'
+    path = land(spark, [one, '{"PropertyTable":{"Properties":[{"CID"', '{"Fault":{}}', ""])
+    (r,) = tables.read_property_json(spark, path, others="more", unreadable="bad").collect()
+    assert (r.cid, r.molecular_weight, r.hbd, r.more, r.bad) == (7, 46.07, None, {"New": "[1,2]"}, ["hbd"])
+    assert sorted(x.reason for x in tables.broken_envelopes(spark, path).collect()) == ["no PropertyTable.Properties", "not JSON"]
+    pretty = new_path(spark, "pretty")
+    spark.createDataFrame([(one.replace("{", "{\n"),)], "value string").coalesce(1).write.text(pretty)
+    assert tables.read_property_json(spark, pretty, multi_line=True).first().molecular_weight == 46.07
+    assert tables.read_property_json(spark, pretty).count() == 0 and tables.broken_envelopes(spark, pretty).count() > 0
+
+
 def test_solubility_loader(spark):
     df = spark.createDataFrame([("CCO", 0.5, 9), ("bad smiles", 1.0, 9), (None, 2.0, 9), ("[Na]", 3.0, 9), ("CC", -1.0, 9)], "smiles string, target double, x int")
     path = tables.write_csv(df, new_path(spark, "sol"))
