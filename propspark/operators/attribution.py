@@ -254,7 +254,12 @@ def dependence(long: DataFrame, key: str, feature: str, interaction: str | None
 
 
 def explanation_report(long: DataFrame, key: str, base: float, out: str, n: int = 20, dependence_n: int = 5) -> dict[str, str]:
-    """Write the global, first-row and dependence tables below ``out``; returns their paths."""
+    """Write the global, first-row and dependence tables below ``out``; returns their paths.
+
+    The attributions are written once beside them, so an expensive source is evaluated a single time.
+    """
+    long.write.parquet(f"{out}/attributions")
+    long = long.sparkSession.read.schema(long.schema).parquet(f"{out}/attributions")
     paths = {"global": f"{out}/importance", "local": f"{out}/local"}
     sort_importance(global_importance(long), "mean_shap").coalesce(1).write.option("header", True).csv(paths["global"])
     first = long.agg(F.min(key)).first()[0]

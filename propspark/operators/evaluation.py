@@ -61,10 +61,16 @@ def evaluate(df: DataFrame, y: str, pred: str, problem: str, by: Sequence[str] =
     raise ValueError(f"unknown problem type: {problem}")
 
 
-def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """All cells over the union of true and predicted labels, empty ones as 0, plus ``accuracy``."""
+def confusion_matrix(df: DataFrame, y: str, pred: str, max_labels: int = 1000) -> DataFrame:
+    """All cells over the union of true and predicted labels, empty ones as 0, plus ``accuracy``.
+
+    The table is labels x labels; a column with more than ``max_labels`` values is not a class and an error.
+    """
     cells = confusion_counts(df, y, pred)
-    labels = sorted({v for r in cells.select("actual", "predicted").distinct().collect() for v in r})
+    values = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
+    labels = sorted(r["label"] for r in values.limit(max_labels + 1).collect())
+    if len(labels) > max_labels:
+        raise ValueError(f"more than {max_labels} labels: {y} and {pred} are not classes")
     grid = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "actual double, predicted double")
     full = grid.join(cells, ["actual", "predicted"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     # one row per label pair
@@ -94,6 +100,3 @@ def learning_curve_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("train_size", "split").agg(
         F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("score").alias("n"))
 
-
-def metrics_long(wide: DataFrame, names: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    return wide.unpivot(list(ids), list(names), "metric", "value")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from propspark.columns import clean_double
+
 
 def lookup_synonyms(compounds: DataFrame, synonyms: DataFrame, key: str = "cid") -> DataFrame:
     """Left lookup; unmatched keys get an empty list, ``common_name`` is the first name."""
@@ -21,10 +23,10 @@ def merge_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def ordered_features(df: DataFrame, names: Sequence[str], default: float = 0.0) -> list[Column]:
-    """The named columns in order; an absent column or value becomes ``default``."""
+    """The named columns in order; an absent column, null or NaN becomes ``default``."""
     have = set(df.columns)
     return [
-        (F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(default)) if n in have else F.lit(default)).alias(n)
+        (F.coalesce(clean_double(df, n), F.lit(default)) if n in have else F.lit(default)).alias(n)
         for n in names
     ]
 
@@ -32,7 +34,7 @@ def ordered_features(df: DataFrame, names: Sequence[str], default: float = 0.0)
 def select_features_long(long: DataFrame, names: Sequence[str], key: str, default: float = 0.0) -> DataFrame:
     """The named features in order, one row per key, from the long form."""
     return long.groupBy(key).agg(*[
-        F.coalesce(F.max(F.when(F.col("feature") == n, F.col("value"))), F.lit(default)).alias(n) for n in names
+        F.coalesce(F.max(F.when((F.col("feature") == n) & ~F.isnan("value"), F.col("value"))), F.lit(default)).alias(n) for n in names
     ])
 
 

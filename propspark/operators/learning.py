@@ -31,7 +31,7 @@ from propspark.session import materialize
 
 MODEL_TYPES = ("random_forest", "gradient_boosting", "xgboost")
 PROBLEM_TYPES = ("regression", "classification")
-MAX_DEPTH = 30  # deepest tree Spark ML grows; stands for "no limit"
+MAX_DEPTH = 30  # deepest tree Spark ML grows; stands for "no limit" (None)
 
 # fixed values: default parameters per model type
 DEFAULTS = {
@@ -67,13 +67,14 @@ def _spark_params(engine: str, params: dict) -> tuple[dict, list[str]]:
     """Spark ML parameters for the given names, and the names without a counterpart."""
     forest = engine == "random_forest"
     names = {"n_estimators": "numTrees" if forest else "maxIter", "max_depth": "maxDepth",
-             "min_samples_leaf": "minInstancesPerNode", "subsample": "subsamplingRate"}
-    if not forest:
-        names["learning_rate"] = "stepSize"
+             "min_samples_leaf": "minInstancesPerNode", "subsample": "subsamplingRate", "max_bins": "maxBins"}
+    names["bootstrap" if forest else "learning_rate"] = "bootstrap" if forest else "stepSize"
     out, ignored = {}, []
     for k, v in params.items():
         if k == "max_depth":
-            out["maxDepth"] = MAX_DEPTH if v is None else min(int(v), MAX_DEPTH)
+            if v is not None and int(v) > MAX_DEPTH:
+                raise ValueError(f"max_depth is at most {MAX_DEPTH}; None stands for no limit")
+            out["maxDepth"] = MAX_DEPTH if v is None else int(v)
         elif k in ("max_features", "colsample_bytree"):
             out["featureSubsetStrategy"] = str(v)
         elif k in names:
@@ -84,7 +85,7 @@ def _spark_params(engine: str, params: dict) -> tuple[dict, list[str]]:
 
 
 def feature_array(df: DataFrame, names: Sequence[str], scaler: Scaler | None = None) -> Column:
-    """The named columns in order as one array; absent or null as 0, then scaled."""
+    """The named columns in order as one array; absent, null or NaN as 0, then scaled."""
     if len(names) <= WIDE_AGG_LIMIT:
         cols = ordered_features(df, names)
         if scaler is not None:
@@ -93,11 +94,15 @@ def feature_array(df: DataFrame, names: Sequence[str], scaler: Scaler | None = N
     # many columns: a single expression over the array instead of one per column
     have = set(df.columns)
     raw = F.array(*[F.col(f"`{n}`").cast("double") if n in have else F.lit(0.0) for n in names])
+
+    def filled(v: Column) -> Column:
+        return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0))
+
     if scaler is None:
-        return F.transform(raw, lambda v: F.coalesce(v, F.lit(0.0)))
+        return F.transform(raw, filled)
     center = F.array(*[F.lit(scaler.center.get(n, 0.0)) for n in names])
     scale = F.array(*[F.lit(scaler.scale.get(n, 1.0)) for n in names])
-    return F.transform(raw, lambda v, i: (F.coalesce(v, F.lit(0.0)) - F.get(center, i)) / F.get(scale, i))
+    return F.transform(raw, lambda v, i: (filled(v) - F.get(center, i)) / F.get(scale, i))
 
 
 def assemble(df: DataFrame, names: Sequence[str], scaler: Scaler | None = None) -> DataFrame:
@@ -105,6 +110,15 @@ def assemble(df: DataFrame, names: Sequence[str], scaler: Scaler | None = None)
     return df.withColumn("features", array_to_vector(feature_array(df, names, scaler)))
 
 
+def _importances(model, features: int) -> list[float]:
+    if hasattr(model, "featureImportances"):
+        return model.featureImportances.toArray().tolist()
+    # the optional engine names features by place and leaves out unused ones
+    found = model.get_feature_importances(importance_type="gain")
+    total = sum(found.values()) or 1.0
+    return [found.get(f"f{i}", 0.0) / total for i in range(features)]
+
+
 @dataclass
 class ModelBundle:
     """A fitted model with everything needed to score raw columns."""
@@ -120,12 +134,18 @@ class ModelBundle:
     best_params: dict | None = None
     ignored_params: list[str] = field(default_factory=list)
 
-    def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+    def predict(self, df: DataFrame, output: str = "prediction", only: Column | None = None) -> DataFrame:
+        """Add the prediction, null where ``only`` is false: their own values do not reach the model."""
         if self.model is None:
             raise NotFittedError("model not trained yet")
         keep = [c for c in df.columns if c != output]
-        scored = self.model.transform(assemble(df.select(*keep), self.feature_names, self.scaler))
-        return scored.select(*keep, F.col("prediction").alias(output))
+        ready = assemble(df.select(*keep), self.feature_names, self.scaler)
+        value = F.col("prediction")
+        if only is not None:
+            zeros = array_to_vector(F.array_repeat(F.lit(0.0), len(self.feature_names)))
+            ready = ready.withColumn("features", F.when(only, F.col("features")).otherwise(zeros))
+            value = F.when(only, value)
+        return self.model.transform(ready).select(*keep, value.alias(output))
 
     def evaluate(self, df: DataFrame) -> dict[str, float]:
         scored = self.predict(df.where(F.col(self.target).isNotNull()), "_pred")
@@ -135,7 +155,7 @@ class ModelBundle:
         """``feature, importance``, best first; mean over the sub-models of one-vs-rest."""
         last = self.model.stages[-1]
         parts = last.models if isinstance(last, OneVsRestModel) else [last]
-        weights = [p.featureImportances.toArray() for p in parts]
+        weights = [_importances(p, len(self.feature_names)) for p in parts]
         rows = [(n, float(sum(w[i] for w in weights) / len(weights))) for i, n in enumerate(self.feature_names)]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
@@ -172,7 +192,7 @@ class ModelTrainer:
         self.engine = model_type
         if model_type == "xgboost" and not _have_xgboost():
             warnings.warn("xgboost is not installed, gradient boosting is used instead")
-            self.engine = "gradient_boosting"
+            self.model_type = self.engine = "gradient_boosting"
         self.params = {**DEFAULTS[self.engine], **(FAST if profile == "fast" else {}), **(hyperparameters or {})}
         self.cv_folds, self.seed = cv_folds, seed
         self.ignored: list[str] = []
@@ -223,36 +243,40 @@ class ModelTrainer:
         """Fit on all training rows; metrics come from ``val``, or from the training rows without one."""
         table = self._labelled(train, features, target, scaler).select(*([key] if key else []), "label", "features")
         if key:  # many passes follow: an even spread is worth one shuffle of the narrow table
-            table = table.repartition(key)
+            table = table.repartition(F.xxhash64(key, "features"))
         if tune or self._many_fits():
             table = materialize(table, "fit")
         classes = self._classes(table)
-        best = self._search(table, key, grid, tune_rows, classes) if tune else None
-        fitted = self.estimator(classes, **(best or {})).fit(table)
+        best, fitted = self._search(table, key, grid, tune_rows, classes) if tune else (None, None)
+        if fitted is None:
+            fitted = self.estimator(classes, **(best or {})).fit(table)
         bundle = ModelBundle(target, self.model_type, self.engine, self.problem_type, list(features),
                              PipelineModel([fitted]), scaler, best_params=best, ignored_params=list(self.ignored))
         bundle.metrics = bundle.evaluate(val if val is not None else train)
         return bundle
 
-    def _search(self, table: DataFrame, key: str | None, grid: dict | None, tune_rows: int | None, classes: int) -> dict:
-        """Best grid point by cross-validation; the caller refits on all rows.
+    def _search(self, table: DataFrame, key: str | None, grid: dict | None, tune_rows: int | None, classes: int) -> tuple[dict, object]:
+        """Best grid point by cross-validation and the model fitted with it on all rows.
 
-        ``tune_rows`` tunes on about that many rows, chosen by key hash.
+        Points that mean the same to Spark are tried once (the first stands for all). ``tune_rows`` tunes on about that
+        many rows, chosen by key hash; the caller then fits on all rows.
         """
+        whole = True
         if key is None:
             raise DataError("tuning needs a key column for the folds")
         grid = grid or GRIDS[self.engine]
         if tune_rows:
             n = table.count()
             if n > tune_rows:
+                whole = False
                 table = table.where(keyed_uniform(F.col(key), f"tune{self.seed}") < tune_rows / n)
         table = table.withColumn("fold", keyed_fold(F.col(key), self.cv_folds, self.seed))
-        points = [dict(zip(grid, values)) for values in product(*grid.values())]
+        points = self.distinct_points(grid)
         est = self.estimator(classes)
         inner = est.getClassifier() if isinstance(est, OneVsRest) else est
         maps = []
         for p in points:
-            spark_params, _ = _spark_params(self.engine, p)
+            spark_params = p if self.engine == "xgboost" else _spark_params(self.engine, p)[0]
             if inner is est:
                 maps.append({est.getParam(k): v for k, v in spark_params.items()})
             else:
@@ -261,15 +285,25 @@ class ModelTrainer:
                   else MulticlassClassificationEvaluator(metricName="f1"))
         cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=scorer, numFolds=self.cv_folds,
                             foldCol="fold", parallelism=4)
-        scores = cv.fit(table).avgMetrics
-        return points[max(range(len(points)), key=lambda i: scores[i])]
+        found = cv.fit(table)
+        best = points[max(range(len(points)), key=lambda i: found.avgMetrics[i])]
+        return best, found.bestModel if whole else None
+
+    def distinct_points(self, grid: dict) -> list[dict]:
+        """The grid's points without those that give the same Spark parameters as an earlier one."""
+        points: dict[str, dict] = {}
+        for values in product(*grid.values()):
+            point = dict(zip(grid, values))
+            params = point if self.engine == "xgboost" else _spark_params(self.engine, point)[0]
+            points.setdefault(json.dumps(params, sort_keys=True), point)
+        return list(points.values())
 
     def cross_validate(self, df: DataFrame, features: Sequence[str], target: str, key: str,
                        scaler: Scaler | None = None) -> DataFrame:
         """``fold, score`` with folds from the key hash."""
         fold = keyed_fold(F.col(key), self.cv_folds, self.seed).alias("fold")
         table = self._labelled(df, features, target, scaler).select(key, "label", "features", fold)
-        table = materialize(table.repartition(key), "folds")
+        table = materialize(table.repartition(F.xxhash64(key, "features")), "folds")
         classes = self._classes(table)
         rows = []
         for i in range(self.cv_folds):
@@ -285,15 +319,18 @@ def cv_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def learning_curve(trainer: ModelTrainer, train: DataFrame, val: DataFrame, features: Sequence[str], target: str,
                    key: str, fractions: Sequence[float] = (0.2, 0.5, 1.0), repeats: int = 2) -> DataFrame:
-    """``train_size, split, repeat, score`` of fits on nested key-hash samples."""
-    total = train.count()
+    """``train_size, split, repeat, score`` of fits on nested key-hash samples; ``train_size`` is the sample's row count.
+
+    The whole table is one sample, so a fraction of 1 is fitted once.
+    """
+    columns = list(dict.fromkeys([key, *features, target]))
+    train, val = materialize(train.select(*columns), "curve"), materialize(val.select(*columns), "curve")
     rows = []
     for f in fractions:
-        for r in range(repeats):
-            part = train.where(keyed_uniform(F.col(key), f"curve{r}") < f)
-            bundle = trainer.train(part, features, target, val, key=key)
-            rows += [(round(f * total), "train", r, bundle.evaluate(part)[trainer.scoring]),
-                     (round(f * total), "val", r, bundle.metrics[trainer.scoring])]
+        for r in range(repeats if f < 1 else 1):
+            part = train.where(keyed_uniform(F.col(key), f"curve{r}") < f) if f < 1 else train
+            bundle, size = trainer.train(part, features, target, val, key=key), part.count()
+            rows += [(size, "train", r, bundle.evaluate(part)[trainer.scoring]), (size, "val", r, bundle.metrics[trainer.scoring])]
     return train.sparkSession.createDataFrame(rows, "train_size long, split string, repeat int, score double")
 
 
@@ -361,14 +398,13 @@ def score_batch(df: DataFrame, bundles: Sequence[ModelBundle], smiles: str = "sm
                 mass: str = "molecular_weight", key: str = "cid") -> DataFrame:
     """Validate and score every row; a failed row keeps its key, error text and null predictions.
 
-    Valid and failed rows stay in one table, so the input is scanned once.
+    Valid and failed rows stay in one table, so the input is scanned once; only valid rows reach the models.
     """
     out = df.withColumn("error", F.array_join(record_errors(smiles, mass, key), "; "))
-    for b in bundles:
-        out = b.predict(out, f"pred_{b.target}")
     ok = F.col("error") == ""
+    for b in bundles:
+        out = b.predict(out, f"pred_{b.target}", only=ok)
     return out.withColumns({
-        **{f"pred_{b.target}": F.when(ok, F.col(f"pred_{b.target}")) for b in bundles},
         "status": F.when(ok, "ok").otherwise("failed"),
         "error": F.when(ok, None).otherwise(F.col("error")),
     })

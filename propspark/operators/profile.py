@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from propspark.columns import WIDE_AGG_LIMIT, clean_double, numeric_columns, present, to_long
+from propspark.columns import clean_double, numeric_columns, present, to_long
 from propspark.functions import moments
-from propspark.operators.cleaning import missing_counts
 from propspark.operators.quantiles import exact_quantiles
 from propspark.session import small_table
 
 STATS = ("feature", "count", "mean", "std", "min", "max", "missing", "missing_pct", "skewness", "kurtosis")
-PAIR_CHUNK = 150  # correlation pairs per aggregate
+BLOCK = 64  # columns of one block of a matrix of pairs
 
 
 def profile_long(long: DataFrame) -> DataFrame:
@@ -62,8 +60,11 @@ def target_counts(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 
 def problem_type(df: DataFrame, target: str, max_classes: int = 10) -> tuple[str, int]:
-    """``classification`` when the target has few distinct values."""
-    distinct = df.where(F.col(target).isNotNull()).select(F.count_distinct(target)).first()[0]
+    """``classification`` when the target has few distinct values, and their number (``max_classes + 1``: more).
+
+    The distinct values are cut off on both sides of the shuffle as soon as there are too many.
+    """
+    distinct = df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1).count()
     return ("classification" if distinct <= max_classes else "regression"), distinct
 
 
@@ -122,49 +123,119 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | str):
     return Correlation.corr(vec, "v").first()[0].toArray()
 
 
-def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    out = {}
-    for at in range(0, len(pairs), PAIR_CHUNK):
-        chunk = pairs[at:at + PAIR_CHUNK]
-        row = df.agg(*[moments.correlation(clean_double(df, a), clean_double(df, b)).alias(f"r{i}")
-                       for i, (a, b) in enumerate(chunk)]).first()
-        out.update({p: row[f"r{i}"] for i, p in enumerate(chunk)})
-    return out
+def _block_sums(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of all pairs of a left and a right column, over the rows that have both: n, sums, squares and products."""
+    a, b = x[:, left], x[:, right]
+    ma, mb = ~np.isnan(a), ~np.isnan(b)
+    a, b = np.where(ma, a, 0.0), np.where(mb, b, 0.0)
+    ma, mb = ma.astype(float), mb.astype(float)
+    return np.stack([ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b])
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Pearson matrix with NaN where undefined; rows with gaps drop out pair by pair.
+def _as_moments(sums: np.ndarray, left_at: np.ndarray, right_at: np.ndarray) -> np.ndarray:
+    """n, means and centred squares and products of sums taken around the given points."""
+    n, sa, sb, qa, qb, pr = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ra, rb = np.where(n > 0, sa / n, 0.0), np.where(n > 0, sb / n, 0.0)
+    return np.stack([n, ra + left_at[:, None], rb + right_at[None, :], qa - sa * ra, qb - sb * rb, pr - sa * rb])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together."""
+    n = a[0] + b[0]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        w = np.where(n > 0, b[0] / n, 0.0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    both = a[0] * w
+    return np.stack([n, a[1] + dx * w, a[2] + dy * w, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both])
 
-    Few columns or columns with gaps: correlation aggregates over pairs. Many
-    complete columns: one Gramian pass.
+
+def pair_correlations(df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None) -> DataFrame:
+    """``i, j, r`` of all pairs of a column and a later one (or of a column and one of ``others``), in one pass.
+
+    Rows that lack a value drop out pair by pair; ``r`` is null where it is undefined. Each task sums the products of its
+    rows block of columns by block of columns; the blocks' moments meet by block pair, so neither the
+    pairs nor the matrix pass through one task or the driver.
     """
-    columns = list(columns)
-    if len(columns) > WIDE_AGG_LIMIT and not any(missing_counts(df, columns).values()):
-        return correlation_matrix(df, columns)
+    columns, others_ = list(columns), list(columns if others is None else others)
+    every = list(dict.fromkeys([*columns, *others_]))
+    at = {c: i for i, c in enumerate(every)}
+    left = [np.array([at[c] for c in columns[i:i + BLOCK]]) for i in range(0, len(columns), BLOCK)]
+    right = [np.array([at[c] for c in others_[i:i + BLOCK]]) for i in range(0, len(others_), BLOCK)]
+    pairs = [(i, j) for i in range(len(left)) for j in range(len(right)) if others is not None or i <= j]
+    wide, triangle = len(every), others is None
+    rows = df.select(F.array(*[clean_double(df, c) for c in every]).alias("x"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around, total = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, wide)
+            if around is None:  # a value of the column as origin: sums stay small, and exact for a constant
+                seen = np.isfinite(x)
+                around = np.where(seen.any(axis=0), x[seen.argmax(axis=0), np.arange(wide)], 0.0)
+            for k, (i, j) in enumerate(pairs):
+                got = _block_sums(x - around, left[i], right[j])
+                total[k] = total[k] + got if k in total else got
+        for k, got in total.items():
+            i, j = pairs[k]
+            data = _as_moments(got, around[left[i]], around[right[j]]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["pair", "moments"])
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(k: int, m: np.ndarray) -> pa.RecordBatch:
+            i, j = pairs[k]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r = m[5] / np.sqrt(m[3] * m[4])
+            a, b = np.meshgrid(np.arange(len(left[i])) + i * BLOCK, np.arange(len(right[j])) + j * BLOCK, indexing="ij")
+            keep = (a < b) if triangle else np.ones(a.shape, bool)
+            bad = ~((m[3] > 0) & (m[4] > 0) & np.isfinite(r))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a[keep], pa.int32()), pa.array(b[keep], pa.int32()), pa.array(np.clip(r[keep], -1, 1), pa.float64(), mask=bad[keep])],
+                names=["i", "j", "r"])
+
+        now, held = None, None
+        for batch in batches:
+            for k, data in zip(batch.column("pair").to_pylist(), batch.column("moments").to_pylist()):
+                i, j = pairs[k]
+                m = np.frombuffer(data).reshape(6, len(left[i]), len(right[j]))
+                if k == now:
+                    held = _merged(held, m)
+                    continue
+                if held is not None:
+                    yield result(now, held)
+                now, held = k, m
+        if held is not None:
+            yield result(now, held)
+
+    parts = rows.mapInArrow(sums, "pair int, moments binary")
+    return parts.repartition("pair").sortWithinPartitions("pair").mapInArrow(correlate, "i int, j int, r double")
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson matrix with NaN where undefined; rows with gaps drop out pair by pair."""
     m = np.eye(len(columns))
-    at = {c: i for i, c in enumerate(columns)}
-    for (a, b), r in _pairwise(df, list(combinations(columns, 2))).items():
-        m[at[a], at[b]] = m[at[b], at[a]] = np.nan if r is None else r
+    for r in pair_correlations(df, columns).collect():
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = np.nan if r["r"] is None else r["r"]
     return m
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ("cid",)) -> DataFrame:
-    """Strict lower triangle in long form: ``f1, f2, r`` with f1 after f2 in column order."""
+    """Strict lower triangle in long form: ``f1, f2, r`` with f1 after f2 in column order; it stays distributed."""
     columns = list(columns or numeric_columns(df, exclude))
-    m = correlations(df, columns)
-    i, j = np.tril_indices(len(columns), -1)
-    names = np.array(columns, dtype=object)
-    table = pd.DataFrame({"f1": names[i], "f2": names[j], "r": m[i, j]})
-    out = df.sparkSession.createDataFrame(table, "f1 string, f2 string, r double")
-    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return pair_correlations(df, columns).select(
+        F.get(names, F.col("j")).alias("f1"), F.get(names, F.col("i")).alias("f2"), "r")
 
 
 def top_correlated(df: DataFrame, target: str, top_n: int = 30, columns: Sequence[str] | None = None) -> DataFrame:
     """Correlations among the features that follow the target most closely (target included)."""
     columns = list(columns or numeric_columns(df))
     others = [c for c in columns if c != target]
-    r = _pairwise(df, [(c, target) for c in others])
-    strength = {target: 1.0} | {c: abs(r[c, target]) for c in others if r[c, target] is not None}
+    strength = {target: 1.0}
+    for r in pair_correlations(df, others, [target]).where("r is not null").collect():
+        strength[others[r["i"]]] = abs(r["r"])
     chosen = sorted(strength, key=lambda c: (-strength[c], c))[:top_n]
     return correlation_table(df, chosen, exclude=())
 

@@ -177,7 +177,9 @@ class PcaModel:
 
 
 def _standardised(df: DataFrame, scaler: Scaler, carry: Sequence[str] = ()) -> DataFrame:
-    return df.select(*carry, array_to_vector(F.array(*[scaler.expr(c) for c in scaler.columns])).alias("z"))
+    """The scaled vector; a missing value stands at its column's mean."""
+    return df.select(*carry, array_to_vector(F.array(*[
+        F.coalesce(scaler.expr(c, clean_double(df, c)), F.lit(0.0)) for c in scaler.columns])).alias("z"))
 
 
 def fit_pca(df: DataFrame, features: Sequence[str], k: int | None = None, variance_ratio: float = 0.95) -> PcaModel:
@@ -189,12 +191,11 @@ def fit_pca(df: DataFrame, features: Sequence[str], k: int | None = None, varian
     z = _standardised(df, scaler)
     full = PCA(k=len(features) if k is None else k, inputCol="z", outputCol="pc").fit(z)
     explained = full.explainedVariance.toArray()
-    if k is None:
+    if k is None:  # the first components of the one fit
         reach = np.cumsum(explained) >= variance_ratio - 1e-12
         k = int(np.argmax(reach)) + 1 if reach.any() else len(features)
-        full = PCA(k=k, inputCol="z", outputCol="pc").fit(z)
-        explained = full.explainedVariance.toArray()
-    loadings = full.pc.toArray()
+        explained = explained[:k]
+    loadings = full.pc.toArray()[:, :k]
     peak = loadings[np.abs(loadings).argmax(axis=0), range(loadings.shape[1])]
     return PcaModel(scaler, full, [1.0 if x >= 0 else -1.0 for x in peak], [float(x) for x in explained])
 

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
 from propspark.errors import DataError
 from propspark.functions.hashing import keyed_long, keyed_uniform
-from propspark.operators.quantiles import column_quantiles, order_statistics
+from propspark.operators.quantiles import column_quantiles
 
 SCALERS = ("standard", "minmax", "robust")
-MAX_TIES = 1000  # unique keys share a 52-bit hash far less often than this
+HASH_BITS, BUCKET_BITS = 52, 16  # of the key hash, and those that the first pass counts by
 
 
 def split_column(key: Column, test_size: float = 0.2, val_size: float = 0.1, seed: int = 42) -> Column:
@@ -28,29 +28,36 @@ def split(df: DataFrame, key: str, test_size: float = 0.2, val_size: float = 0.1
     """Add ``split`` (train/val/test), a function of the row key and the seed only.
 
     ``exact`` gives the sizes ``ceil(n * test)`` and ``ceil((n - n_test) * val / (1 - test))``
-    by finding the two cut values among the key hashes. Keys must be unique.
+    by finding the two cut values among the key hashes: one pass counts the rows by the leading bits of
+    the hash, a second one ranks (hash, key) inside the two buckets where the cuts fall. Keys must be unique and
+    not null; a key that stands twice at a cut is an error.
     """
     if not exact:
         return df.withColumn("split", split_column(F.col(key), test_size, val_size, seed))
     h = keyed_long(F.col(key), seed)
-    n = df.count()
+    bucket = F.shiftright(h, HASH_BITS - BUCKET_BITS).cast("int")
+    sizes = dict(df.groupBy(bucket.alias("b")).count().collect())  # at most 2 ** BUCKET_BITS rows
+    n = sum(sizes.values())
     n_test = math.ceil(n * test_size)
     n_val = math.ceil((n - n_test) * (val_size / (1 - test_size)))
-    long = df.select(F.lit("h").alias("feature"), h.cast("double").alias("value"))
-    ranks = [r - 1 for r in (n_test, n_test + n_val) if 0 < r <= n]
-    near = [long.agg(F.percentile_approx("value", [r / n for r in ranks], 4000).alias("c")).first()["c"]] if ranks else []
-    cuts = order_statistics(long, {"h": ranks}, {"h": near[0]}) if ranks else {}
+    spots, before = {}, 0  # for each cut its bucket and the rows to take from it
+    for b in sorted(sizes):
+        for cut in {n_test, n_test + n_val}:
+            if before < cut <= before + sizes[b]:
+                spots[cut] = (b, cut - before)
+        before += sizes[b]
 
     def upto(count: int) -> Column:
-        """Rows among the ``count`` smallest hashes; equal hashes go by key."""
+        """Rows among the ``count`` first in the order of (hash, key)."""
         if count <= 0:
             return F.lit(False)
-        cut = F.lit(int(cuts["h", min(count, n) - 1]))
-        missing = count - df.where(h < cut).count()
-        if missing > MAX_TIES:
+        b, take = spots[count]
+        first = df.where(bucket == b).select(h.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(take + 1)
+        last = first.orderBy(F.desc("h"), F.desc("k")).limit(2).collect()
+        edge = last[0] if take == sizes[b] else last[1]
+        if edge["k"] is None or len(last) > 1 and last[0] == last[1]:
             raise DataError(f"exact splits need a unique key: {key}")
-        tied = [r[0] for r in df.where(h == cut).select(key).orderBy(key).limit(missing).collect()]
-        return (h < cut) | ((h == cut) & F.col(key).isin(tied))
+        return (h < F.lit(edge["h"])) | ((h == F.lit(edge["h"])) & (F.col(key) <= F.lit(edge["k"])))
 
     return df.withColumn("split", F.when(upto(n_test), "test").when(upto(n_test + n_val), "val").otherwise("train"))
 

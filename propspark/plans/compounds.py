@@ -28,7 +28,9 @@ def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None
     df = dedup_by_key(df, ["cid"], order)
     if synonyms is not None:
         # one list per compound, so the lookup cannot repeat rows
-        df = lookup_synonyms(df, synonyms.groupBy("cid").agg(F.max("synonyms").alias("synonyms")))
+        found = [c for c in order if c in synonyms.columns]
+        last = F.max_by("synonyms", F.struct(*found)) if found else F.max("synonyms")  # of several lists the last landed
+        df = lookup_synonyms(df, synonyms.groupBy("cid").agg(last.alias("synonyms")))
     mw, lp, hba, hbd = F.col("molecular_weight"), F.col("xlogp"), F.col("hba"), F.col("hbd")
     key = F.col("cid")
     df = df.withColumn("_outer", sm.outside(F.col("smiles")))

@@ -54,14 +54,18 @@ def run_study(df: DataFrame, spec: RunSpec, output: str | None = None) -> RunRes
     table = fill_zero(df.select(*columns), list(spec.features))
     table = materialize(split(table, spec.key, spec.test_size, spec.val_size, spec.seed), "study")
     train, val, test = (table.where(F.col("split") == s) for s in ("train", "val", "test"))
-    rows, bundles, paths = [], {}, {}
+    rows, bundles, paths, chosen_of = [], {}, {}, {}
     for target, kind in spec.target_types.items():
         selector = FeatureSelector("combined", spec.n_features, problem_type=kind)
         chosen = selector.fit(train, spec.features, target).selected
         scaler = fit_scaler(train, chosen)
         scored = test.where(F.col(target).isNotNull())
+        chosen_of[target] = len(chosen)
         for m in spec.model_types:
             trainer = ModelTrainer(m, kind, spec.hyperparameters.get(m), seed=spec.seed, profile=spec.profile)
+            m = trainer.model_type
+            if (target, m) in bundles:  # a missing engine falls back to one that is trained already
+                continue
             bundle = bundles[target, m] = trainer.train(train, chosen, target, val, scaler, spec.key)
             got = evaluate(bundle.predict(scored, "_p"), target, "_p", kind).first().asDict()
             rows += [(target, m, k, float(v)) for k, v in got.items()]
@@ -83,6 +87,6 @@ def run_study(df: DataFrame, spec: RunSpec, output: str | None = None) -> RunRes
         paths["table"] = f"{output}/features_slim"
         slim(df).write.mode("overwrite").parquet(paths["table"])
         paths["report"] = write_metrics_report(
-            spark, f"{output}/metrics", metrics, n_rows=table.count(), n_features=len(chosen),
+            spark, f"{output}/metrics", metrics, n_rows=table.count(), n_features=chosen_of[first],
             best_model=top["model_type"], saved_models=dict(paths))
     return result

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from propspark.operators.learning import ModelBundle, score_batch
-from propspark.session import new_path
 
 
 def read_files(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
@@ -80,12 +79,15 @@ def latest_counts(spark: SparkSession, out: str, status: str = "status") -> Data
     return rows.groupBy("window_start", status).agg(F.max_by("n", "batch_id").alias("n"))
 
 
-def run_to_end(query: StreamingQuery, seconds: int = 3600) -> None:
-    """Wait for an ``availableNow`` run and raise its error, if any."""
-    if not query.awaitTermination(seconds):
+def run_to_end(query: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait for an ``availableNow`` run and raise its error, if any; ``seconds`` is a limit (none by default)."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream did not finish within {seconds} s")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return new_path(spark, name)
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful steps dropped because they came behind the watermark."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])

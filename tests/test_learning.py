@@ -51,15 +51,28 @@ def test_bad_names():
 @pytest.mark.filterwarnings("ignore")
 def test_fallback_and_parameters():
     t = learning.ModelTrainer("xgboost")
-    assert t.model_type == "xgboost" and t.engine in ("xgboost", "gradient_boosting")
+    assert t.model_type == t.engine and t.engine in ("xgboost", "gradient_boosting")
     f = learning.ModelTrainer("random_forest")
     est = f.estimator()
     assert (est.getNumTrees(), est.getMaxDepth(), est.getMinInstancesPerNode(), est.getFeatureSubsetStrategy()) == (200, 15, 2, "sqrt")
     assert f.ignored == ["min_samples_split"]
+    with pytest.raises(ValueError):
+        f.estimator(max_depth=31)
+    assert not f.estimator(bootstrap=False).getBootstrap()
+    assert len(f.distinct_points(learning.GRIDS["random_forest"])) == 36
     g = learning.ModelTrainer("gradient_boosting").estimator(max_depth=None)
     assert (g.getMaxIter(), g.getStepSize(), g.getSubsamplingRate(), g.getMaxDepth()) == (200, 0.1, 0.9, learning.MAX_DEPTH)
 
 
+def test_missing_values_count_as_zero(spark):
+    df, names = regression(spark)
+    for some in (names, names + [f"more{i}" for i in range(30)]):
+        wide = df.select("*", *[F.lit(0.5).alias(c) for c in some if c not in df.columns])
+        b = learning.ModelTrainer("gradient_boosting", "regression", SMALL).train(wide, some, "target")
+        odd = wide.limit(1).drop("f0").crossJoin(spark.createDataFrame([(float("nan"),), (None,), (0.0,)], "f0 double"))
+        assert len({r["prediction"] for r in b.predict(odd).collect()}) == 1
+
+
 def test_unfitted_use_is_an_error(spark):
     b = learning.ModelBundle("target", "random_forest", "random_forest", "regression", ["f0"], None)
     with pytest.raises(NotFittedError):
@@ -195,4 +208,5 @@ def test_learning_curve(spark):
     df, names = regression(spark, 300)
     t = learning.ModelTrainer("random_forest", "regression", SMALL)
     out = evaluation.learning_curve_summary(learning.learning_curve(t, df.where("id < 200"), df.where("id >= 200"), names, "target", "id", (0.3, 1.0)))
-    assert out.count() == 4 and {r["train_size"] for r in out.collect()} == {60, 200}
+    assert out.where("train_size = 200").count() == 2
+    assert all(30 < r["train_size"] < 90 for r in out.where("train_size < 200").collect())

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from propspark.errors import DataError
 from propspark.operators import split_scale
 
 
@@ -17,6 +18,13 @@ def test_exact_sizes(spark, n):
     assert got == {"test": test, "val": val, "train": n - test - val}
 
 
+def test_exact_split_needs_unique_keys(spark):
+    same = spark.range(50).select((F.col("id") * 0).alias("id"))
+    with pytest.raises(DataError):
+        split_scale.split(same, "id", exact=True)
+    assert split_scale.split(same.limit(0), "id", exact=True).count() == 0
+
+
 def test_split_does_not_depend_on_partitions(spark):
     a, b = (split_scale.split(spark.range(3000).repartition(p), "id") for p in (1, 13))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
