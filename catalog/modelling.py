@@ -218,8 +218,9 @@ def batch_counts(spark, sf_dir):
 @query("full_study")
 def full_study(spark, sf_dir):
     small = {m: {"n_estimators": 4, "max_depth": 3} for m in learning.MODEL_TYPES}
-    spec = RunSpec("cid", INPUTS, {"solubility": "regression", "toxicity_category": "classification"}, hyperparameters=small, explain=False)
+    spec = RunSpec("cid", INPUTS, {"solubility": "regression", "boiling_point": "regression", "toxicity_category": "classification"}, hyperparameters=small)
     out = new_path(spark, "study")
     result = run_study(order_study(spark, sf_dir), spec, out)
     report = json.loads(spark.read.text(f"{out}/metrics").first()["value"])
-    return result.metrics.withColumn("best_model", F.lit(report["best_model"])).withColumn("n_rows", F.lit(report["n_rows"]))
+    return result.metrics.withColumn("best_model", F.lit(report["best_model"])).withColumn("n_rows", F.lit(report["n_rows"])).withColumn(
+        "n_explained", F.lit(result.attributions.count()))

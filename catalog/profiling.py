@@ -4,6 +4,7 @@ from catalog.base import EMB_LONG, FEATURES, ORDER_COMPOUNDS, embedding_wide, pr
 from catalog.cleaning import GAPS, GAPS_CTE, MESSY, NUMBERS, STATS_SQL, long_sql, messy, round_stats
 from propspark.columns import array_to_long
 from propspark.operators import cleaning, profile
+from propspark.operators.quantiles import column_quantiles
 
 LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -207,3 +208,15 @@ TYPE_CASE = "CASE WHEN o_orderkey % 97 = 0 THEN 'xgboost' WHEN o_orderkey % 31 =
   ORDER BY CASE {TYPE_CASE} WHEN 'xgboost' THEN 0 WHEN 'gradient_boosting' THEN 1 ELSE 2 END) AS k FROM orders) WHERE k = 1""")
 def preferred_model(spark, sf_dir):
     return ranking.preferred_model(table(spark, sf_dir, "orders").selectExpr("o_custkey AS target", f"{TYPE_CASE} AS model_type"))
+
+
+# the way of large tables: brackets of at most 200 values are sorted, fuller ones narrowed
+BRACKETED = {"a": "o_totalprice", "b": "CAST(o_custkey AS DOUBLE)", "c": "CAST(o_orderkey % 3 AS DOUBLE)"}
+
+
+@query("quantiles_bracketed", " UNION ALL ".join(
+    f"SELECT '{k}' AS feature, round(quantile_cont({e}, 0.25), 6) AS q25, round(quantile_cont({e}, 0.5), 6) AS q50, round(quantile_cont({e}, 0.9), 6) AS q90 FROM orders"
+    for k, e in BRACKETED.items()))
+def quantiles_bracketed(spark, sf_dir):
+    got = column_quantiles(proxy(spark, sf_dir, "orders", BRACKETED), list(BRACKETED), [0.25, 0.5, 0.9], budget=200)
+    return spark.createDataFrame([(k, *[round(x, 6) for x in v]) for k, v in got.items()], "feature string, q25 double, q50 double, q90 double")

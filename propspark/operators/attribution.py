@@ -133,11 +133,13 @@ def tree_shap(df: DataFrame, key: str, bundle: ModelBundle, label: int | None =
         label = 1
     flat = tree_paths(df.sparkSession, last, label)
     names = list(bundle.feature_names)
-    shap_values = _path_shap(len(names), flat.paths)
+    shared = df.sparkSession.sparkContext.broadcast(flat.paths)  # as large as the model, sent once to each machine
+    features = len(names)
     # a row costs far more to explain than to move: spread rows evenly (AQE sizes the partitions)
     rows = df.select(F.col(key), feature_array(df, names, bundle.scaler).alias("x")).repartition(F.xxhash64(key, "x"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shap_values = _path_shap(features, shared.value)
         for pdf in batches:
             if len(pdf):
                 yield pd.DataFrame({key: pdf[key], "x": pdf["x"], "phi": list(shap_values(np.vstack(pdf["x"].to_numpy())))})

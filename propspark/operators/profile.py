@@ -60,11 +60,8 @@ def target_counts(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 
 def problem_type(df: DataFrame, target: str, max_classes: int = 10) -> tuple[str, int]:
-    """``classification`` when the target has few distinct values, and their number (``max_classes + 1``: more).
-
-    The distinct values are cut off on both sides of the shuffle as soon as there are too many.
-    """
-    distinct = df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1).count()
+    """``classification`` when the target has few distinct values, and their number."""
+    distinct = df.where(F.col(target).isNotNull()).select(F.count_distinct(target)).first()[0]
     return ("classification" if distinct <= max_classes else "regression"), distinct
 
 
