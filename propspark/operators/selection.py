@@ -185,7 +185,7 @@ def _standardised(df: DataFrame, scaler: Scaler, carry: Sequence[str] = ()) -> D
 def fit_pca(df: DataFrame, features: Sequence[str], k: int | None = None, variance_ratio: float = 0.95) -> PcaModel:
     """PCA of the standardised features; ``k`` or the fewest components reaching the ratio.
 
-    Signs are fixed so that the largest loading of each component is positive.
+    Signs are fixed so that the largest loading of each component is positive, of equal ones the first.
     """
     scaler = fit_scaler(df, features, "standard")
     z = _standardised(df, scaler)
@@ -196,7 +196,8 @@ def fit_pca(df: DataFrame, features: Sequence[str], k: int | None = None, varian
         k = int(np.argmax(reach)) + 1 if reach.any() else len(features)
         explained = explained[:k]
     loadings = full.pc.toArray()[:, :k]
-    peak = loadings[np.abs(loadings).argmax(axis=0), range(loadings.shape[1])]
+    size = np.abs(loadings)
+    peak = loadings[(size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0), range(loadings.shape[1])]
     return PcaModel(scaler, full, [1.0 if x >= 0 else -1.0 for x in peak], [float(x) for x in explained])
 
 

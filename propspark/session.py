@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/propspark-{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` wrote inside the block when it ends.
+
+    Results that read them must be written or collected inside the block.
+    """
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        hadoop = spark._jsc.hadoopConfiguration()
+        for path in _written[kept:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+        del _written[kept:]
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -42,6 +63,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     passes over a few columns read only those, and it survives executor loss.
     """
     path = new_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
