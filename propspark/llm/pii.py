@@ -25,11 +25,12 @@ FEMALE_NAMES = ("Mary Anna Maria Elizabeth Sarah Emma Laura Julia Marie Claire S
                 "Мария Анна Ольга Ελένη Σοφία").split()
 
 _ALONE = r"(?<![\p{L}\p{N}])"
+_CAPITAL = r"(?=\p{Lu})" + _ALONE
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _NAME = r"\p{Lu}\p{Ll}+"
 _TITLE = r"(?:" + "|".join(TITLES) + r")\.? "
 PATTERNS = {
-    "secret": (r"(?<=[=:] {0,1}[\"'])[A-Za-z0-9_+/=-]{16,}(?=[\"'])|(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])|"
+    "secret": (r"(?<=[=:] {0,1}[\"'])[A-Za-z0-9_+/=-]{16,}(?=[\"'])|(?<![A-Za-z0-9])(?=[a-f]{0,31}[0-9])[0-9a-f]{32,}(?![A-Za-z0-9])|"
                + _ALONE + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|" + _ALONE + r"(?:sk-|ghp_)[A-Za-z0-9]{20,}"),
     "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": _ALONE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -39,10 +40,12 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![\p{L}0-9.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
     "card": _ALONE + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}])",
-    "person": (_ALONE + _TITLE + _NAME + r"(?:[ -]" + _NAME + r")?|" + _ALONE + r"(?:" + "|".join(MALE_NAMES + FEMALE_NAMES)
+    "person": (_CAPITAL + _TITLE + _NAME + r"(?:[ -]" + _NAME + r")?|" + _CAPITAL + r"(?:" + "|".join(MALE_NAMES + FEMALE_NAMES)
                + r") " + _NAME),
 }
 ENTITY = "|".join(PATTERNS.values())
+#: Every entity but a name holds one of these; other texts are searched for names only, which is much cheaper.
+MARKS = r"[0-9@\"']|AKIA|ASIA|sk-|ghp_"
 
 _SYLLABLES = [c + v for c in "bdfgklmnprstv" for v in "aeiou"]
 _FAMILY_ENDS = ["son", "mann", "er", "ez", "ard", "in", "ov", "is"]
@@ -255,7 +258,9 @@ def replace_entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     if clash:
         raise ValueError(f"columns already there: {sorted(clash)}")
     names = list(df.columns)
-    found = F.regexp_extract_all(F.col("__pii_text"), F.lit(ENTITY), 0)
+    marked = F.col("__pii_text").rlike(MARKS)
+    found = F.when(marked, F.regexp_extract_all(F.col("__pii_text"), F.lit(ENTITY), 0)).otherwise(
+        F.regexp_extract_all(F.col("__pii_text"), F.lit(PATTERNS["person"]), 0))
     keyed = df.withColumn("__pii_text", content(F.col(f"`{text}`"))).withColumn("__pii_found", found)
     some = keyed.filter(F.size("__pii_found") > 0).withColumn("__pii_key", digest(F.col("__pii_text")))
     places = some.select(F.col("__pii_key.hi").alias("hi"), F.col("__pii_key.lo").alias("lo"),
@@ -265,7 +270,7 @@ def replace_entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     per_text = places.join(new, "surface").groupBy("hi", "lo").agg(
         F.array_sort(F.collect_list(F.struct("no", "replacement", "kind"))).alias("__pii_new"))
     joined = some.join(per_text, (F.col("__pii_key.hi") == per_text.hi) & (F.col("__pii_key.lo") == per_text.lo))
-    between = F.split("__pii_text", ENTITY, -1)
+    between = F.when(marked, F.split("__pii_text", ENTITY, -1)).otherwise(F.split("__pii_text", PATTERNS["person"], -1))
     put = F.concat(F.transform("__pii_new", lambda x: x["replacement"]), F.array(F.lit("")))
     changed = F.array_join(F.flatten(F.zip_with(between, put, lambda a, b: F.array(a, b))), "")
     columns = [F.col(f"`{c}`") for c in names if c != text]
