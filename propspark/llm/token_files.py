@@ -16,6 +16,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -29,7 +30,8 @@ from propspark.llm.text import content, slices, whole
 from propspark.session import materialize, new_path
 
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint, width int"
-CACHED_WORDS = 600_000
+#: Entries that a worker remembers at most: pieces between blanks, and matches inside them (the costly ones).
+CACHED_PIECES, CACHED_MATCHES = 800_000, 1_000_000
 
 
 def _drops_blanks(tokenizer) -> bool:
@@ -66,10 +68,45 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Matches(dict):
+    """Ids of the matches inside pieces, each encoded when it first comes up."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.tokenize, self.code, self.letters = encoder.model.model.tokenize, encoder.code, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
+
+
+class _Pieces(dict):
+    """Ids of the pieces between blanks: match by match for plain characters, else by the whole tokenizer."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__({"": b""})
+        self.whole, self.matches = encoder.whole, encoder.matches
+        # an added token in a piece is not split into matches
+        self.marks = "".join({t.content[0] for t in encoder.model.get_added_tokens_decoder().values()})
+
+    def __missing__(self, piece: str) -> bytes:
+        if (piece.isascii() or _PLAIN.fullmatch(piece)) and not any(m in piece for m in self.marks):
+            low, of = piece.lower(), self.matches
+            if low.isalpha():
+                ids = of[low]
+            elif low[-1] in ".," and low[:-1].isalpha():
+                ids = of[low[:-1]] + of[low[-1]]
+            else:
+                ids = b"".join(map(of.__getitem__, _MATCH.findall(low)))
+        else:
+            ids = self.whole(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts. Where a blank always ends a token, blank-separated pieces are encoded once per worker: those of
-    plain characters match by match, all others by the whole tokenizer.
-    """
+    """Ids of texts. Where a blank always ends a token, each piece between blanks is encoded once and remembered."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,37 +116,25 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.dtype = np.dtype("<u2" if max(self.model.get_vocab_size(True) - 1, end_id or 0) < 2**16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.by_piece = _drops_blanks(self.model)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.bpe = self.model.model
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.matches: dict[str, bytes] = {}
-
-    def _match(self, word: str) -> bytes:
-        ids = self.matches.get(word)
-        if ids is None:
-            tokens = self.bpe.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.matches[word] = np.array([t.id for t in tokens], self.dtype).tobytes()
-        return ids
+        self.matches = _Matches(self)
+        self.pieces = _Pieces(self)
 
-    def _learn(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece) and not any(a in piece for a in self.added):
-            return b"".join(map(self._match, _MATCH.findall(piece.lower())))
-        return np.array(self.model.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if not self.by_piece:
             return [np.array(e.ids, self.dtype).tobytes() + self.end
                     for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces, self.matches = {"": b""}, {}
-        for piece in set().union(*split).difference(self.pieces):
-            self.pieces[piece] = self._learn(piece)
+        if len(self.matches) > CACHED_MATCHES:
+            self.matches.clear()
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces = _Pieces(self)
         of = self.pieces.__getitem__
-        return [b"".join(map(of, words)) + self.end for words in split]
+        return [b"".join(map(of, t.replace("\n", " ").split(" "))) + self.end for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
