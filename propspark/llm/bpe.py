@@ -1,39 +1,42 @@
-"""Byte-level BPE: ranked merges folded by higher-order functions, texts put together from their distinct words.
+"""Byte-level BPE: ranked merges folded over byte arrays of distinct words; texts are put together from their words.
 
-A word under work is a string with one symbol for each token (symbol = token id, moved past the surrogates), so
-``replace`` merges all occurrences of a pair at once and the least merged symbol is the lowest rank. The rank map of the
-vocabulary (pairs of tokens whose bytes joined are a token) is one literal of a fixed size.
+A word under work is an array of token ids, so the least merged id is the lowest rank. Encoded words are strings with one
+symbol for each token (the id, moved past the surrogates). The rank map of the vocabulary (pairs of tokens whose bytes
+joined are a token) is one literal of a fixed size.
 
-The most frequent words of the corpus are encoded once and sent to the workers; their number is fixed. The other words of
-a block of texts are encoded beside the block, each once, so no text and no dictionary is ever shuffled.
+The most frequent words of the corpus are folded once, by Spark's higher-order functions, and sent to the workers; their
+number is fixed. Each worker folds the other words by the same rank map when they first come up, and remembers them:
+in higher-order functions that took too long (see the README). Neither texts nor words are shuffled but for the counts.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
+import heapq
 import json
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType, ArrayType, IntegerType, LongType, StringType, BinaryType
 
 from propspark.llm.quality import let
 from propspark.llm.text import content, slices
 from propspark.session import materialize
 
-HOT_WORDS = 1 << 17
+HOT_WORDS, HOT_BYTES = 1 << 18, 64
+#: Other words and pieces of text that a worker remembers at most.
 CACHED = 1 << 18
-BUCKETS = 1 << 14
+BUCKETS = 32_749  # a prime
 BLANKS = r"\t-\r \x85\xa0  -     　"
 #: The split pattern of the rank files (fixed value), its blanks written out.
 SPLIT = regex.compile(
@@ -53,133 +56,138 @@ def symbol(token: int) -> str:
     return chr(token + 1) if token + 1 < 0xD800 else chr(token + 1 + 0x800)
 
 
-def token_ids(symbols: str) -> np.ndarray:
-    points = np.frombuffer(symbols.encode("utf-32-le"), "<u4").astype(np.int64)
-    return np.where(points < 0xD800, points - 1, points - 0x801)
+def symbols(ids: np.ndarray) -> str:
+    """A string with one symbol for each token id."""
+    points = ids.astype("<u4") + np.uint32(1)
+    return np.where(points < 0xD800, points, points + np.uint32(0x800)).astype("<u4").tobytes().decode("utf-32-le")
+
 
+def token_ids(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.where(points < 0xD800, points - 1, points - 0x801)
 
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """A literal array of maps from a pair of symbols to the merged symbol; a pair is in the map of its hash.
 
-    It is written as JSON, which the optimizer folds into one literal; its size follows from the vocabulary alone. A pair
-    with a part that has a higher rank than the whole cannot come up: the whole would have been merged before.
+def mergeable(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """All pairs of tokens with a merged token. A pair with a part that has a higher rank than the whole cannot come up:
+    the whole would have been merged before.
     """
     def possible(part: bytes, rank: int) -> bool:
         return part in ranks and (len(part) == 1 or ranks[part] < rank)
 
-    pairs = [(symbol(ranks[t[:i]]) + symbol(ranks[t[i:]]), symbol(k))
-             for t, k in ranks.items() for i in range(1, len(t)) if possible(t[:i], k) and possible(t[i:], k)]
-    rows = spark.createDataFrame(pa.table({"pair": [p for p, _ in pairs], "merged": [m for _, m in pairs]}))
-    maps: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for b, pair, merged in rows.select(F.pmod(F.xxhash64("pair"), F.lit(BUCKETS)), "pair", "merged").collect():
-        maps[b][pair] = merged
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
+    for t, k in ranks.items():
+        for i in range(1, len(t)):
+            if possible(t[:i], k) and possible(t[i:], k):
+                yield ranks[t[:i]], ranks[t[i:]], k
+
 
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """A literal map from pairs of token ids to the merged id, as buckets of keys (``k``) and ids (``v``).
 
-def _first_symbols(ranks: dict[bytes, int], word: Column) -> Column:
-    """One symbol for each byte of a word."""
-    latin = "".join(chr(b) for b in range(256))
-    return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), latin, "".join(symbol(ranks[bytes([b])]) for b in range(256)))
+    It is written as JSON, which the optimizer folds into one literal; its size follows from the vocabulary alone.
+    """
+    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
+    values: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for a, b, k in mergeable(ranks):
+        code = (a << 20) + b
+        keys[code % BUCKETS].append(code)
+        values[code % BUCKETS].append(k)
+    return F.from_json(F.lit(json.dumps({"k": keys, "v": values}, separators=(",", ":"))), "k array<array<bigint>>, v array<array<int>>")
+
+
+def first_tokens(ranks: dict[bytes, int], word: Column) -> Column:
+    """One token for each byte of a word."""
+    singles = F.lit([ranks[bytes([b])] for b in range(256)])
+    return F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(singles, F.ascii(c)))
 
 
-def fold_merges(symbols: Column, maps: Column) -> Column:
-    """Merge the pair of the lowest rank until no pair has one.
+def fold_merges(tokens: Column, maps: Column) -> Column:
+    """Merge the leftmost pair of the lowest rank until no pair has one.
 
-    All its occurrences merge at once, as in the one-by-one order: a pair that holds the new token has a higher
-    rank, or its token would have been merged before. Where two different pairs of one rank stand side by side
-    only the first occurrence merges.
+    The state holds the tokens and, for each pair of neighbours, what it merges to; a merge looks up only the two
+    pairs that it makes anew.
     """
+    none = F.array().cast("array<int>")
 
-    def merged(pair: Column) -> Column:
-        return F.element_at(F.get(maps, F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")), pair)
+    def merged(left: Column, right: Column) -> Column:
+        code = left.cast("bigint") * (1 << 20) + right
+        bucket = (code % BUCKETS).cast("int")
+        return F.get(F.get(maps["v"], bucket), (F.array_position(F.get(maps["k"], bucket), code) - 1).cast("int"))
 
-    def pairs(letters: Column) -> Column:
-        return F.filter(
-            F.transform(F.sequence(F.lit(0), F.size(letters) - 2), lambda i: let(
-                F.concat(F.get(letters, i), F.get(letters, i + 1)),
-                lambda p: F.struct(merged(p).alias("m"), i.alias("at"), p.alias("pair")))),
-            lambda c: c["m"].isNotNull())
+    def first(t: Column) -> Column:
+        pairs = F.when(F.size(t) > 1, F.transform(
+            F.sequence(F.lit(0), F.size(t) - 2), lambda i: merged(F.get(t, i), F.get(t, i + 1)))).otherwise(none)
+        return F.struct(t.alias("t"), pairs.alias("m"))
 
     def step(state: Column) -> Column:
-        def best(found: Column) -> Column:
-            def apply(b: Column) -> Column:
-                torn = F.exists(found, lambda c: (c["m"] == b["m"]) & (c["pair"] != b["pair"]))
-                once = F.concat(F.substring(state["s"], F.lit(1), b["at"]), b["m"],
-                                F.substring(state["s"], b["at"] + 3, F.length(state["s"])))
-                return F.when(b.isNull(), F.struct(state["s"].alias("s"), F.lit(True).alias("done"))).otherwise(F.struct(
-                    F.when(torn, once).otherwise(F.replace(state["s"], b["pair"], b["m"])).alias("s"), F.lit(False).alias("done")))
-
-            return let(F.array_min(found), apply)
-
-        return F.when(state["done"] | (F.length(state["s"]) < 2), state).otherwise(
-            let(F.split(state["s"], ""), lambda letters: let(pairs(letters), best)))
-
-    start = F.struct(symbols.alias("s"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(symbols), F.lit(1))), start, lambda acc, _: step(acc), lambda acc: acc["s"])
-
-
-class Splitter:
-    """Words of texts. Between two plain characters a single space always begins a word and a single newline is one."""
-
-    def __init__(self):
-        self.heads: dict[str, list[str]] = {}
-        self.tails: dict[str, list[str]] = {}
-
-    def _parts(self, texts: Sequence[str]) -> list[list[list[str]] | None]:
-        return [None if not t or _HARD.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-
-    def _learn(self, parts: list[list[list[str]] | None]) -> None:
-        if len(self.tails) > CACHED:
-            self.heads, self.tails = {}, {}
-        lines = [line for p in parts if p for line in p]
-        for c in {line[0] for line in lines}.difference(self.heads):
-            self.heads[c] = SPLIT.findall(c)
-        for c in set().union(*(line[1:] for line in lines)).difference(self.tails):
-            self.tails[c] = SPLIT.findall(" " + c)
-
-    def words(self, texts: Sequence[str]) -> Iterator[list[str]]:
-        parts = self._parts(texts)
-        self._learn(parts)
-        tail = self.tails.__getitem__
-        for text, part in zip(texts, parts):
-            if part is None:
-                yield SPLIT.findall(text)
-                continue
-            out: list[str] = []
-            for i, line in enumerate(part):
-                if i:
-                    out.append("\n")
-                out += self.heads[line[0]]
-                out += chain.from_iterable(map(tail, line[1:]))
-            yield out
-
-
-_splitter = Splitter()
+        t, m = state["t"], state["m"]
+
+        def apply(new: Column) -> Column:
+            def at(p: Column) -> Column:
+                rest = F.size(t) - p - 1  # tokens after the pair
+                before = F.when(p > 1, F.concat(F.slice(m, F.lit(1), p - 2), F.array(merged(F.get(t, p - 2), new)))).otherwise(none)
+                after = F.when(rest > 0, F.concat(F.array(merged(new, F.get(t, p + 1))), F.slice(m, p + 2, rest))).otherwise(none)
+                return F.struct(F.concat(F.slice(t, F.lit(1), p - 1), F.array(new), F.slice(t, p + 2, rest)).alias("t"),
+                                F.concat(before, after).alias("m"))
+
+            return F.when(new.isNull(), state).otherwise(let(F.array_position(m, new).cast("int"), at))
+
+        return let(F.array_min(m), apply)
+
+    return let(tokens, lambda t: F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), first(t), lambda acc, _: step(acc), lambda acc: acc["t"]))
+
+
+def plain_lines(text: str) -> list[list[str]] | None:
+    """Lines cut at single spaces, or None where blanks stand otherwise.
+
+    Between two other characters a space always begins a match and a newline is one, so the matches of such a text
+    are those of its first chunks, of the other chunks with a space before them, and the newlines.
+    """
+    return None if not text or _HARD.search(text) else [line.split(" ") for line in text.split("\n")]
 
 
 def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Distinct words (matches of the split pattern) of all texts and their numbers."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: Counter[str] = Counter()
+        tails: Counter[str] = Counter()
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            for lead, chunks in (("", heads), (" ", tails)):
+                for c, n in chunks.items():
+                    for w in SPLIT.findall(lead + c):
+                        seen[w] += n
+                chunks.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
 
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
-                seen.update(chain.from_iterable(_splitter.words(some.column("text").to_pylist())))
-                if len(seen) > CACHED:
+                first, rest = [], []
+                for body in some.column("text").to_pylist():
+                    lines = plain_lines(body)
+                    if lines is None:
+                        seen.update(SPLIT.findall(body))
+                        continue
+                    seen["\n"] += len(lines) - 1
+                    for line in lines:
+                        first.append(line[0])
+                        rest += line[1:]
+                heads.update(first)
+                tails.update(rest)
+                if len(tails) + len(heads) + len(seen) > CACHED:
                     yield flush()
-                    seen.clear()
         yield flush()
 
     rows = df.select(content(F.col(f"`{text}`")).alias("text"))
-    return rows.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "word string, n bigint").filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(df: DataFrame, ranks: dict[bytes, int], maps: Column, text: str = "text", most: int = HOT_WORDS) -> dict[str, str]:
-    """The symbols of at most ``most`` words, the most frequent ones."""
-    counts = materialize(count_words(df, text), "words")
+    """The symbols of at most ``most`` words, the most frequent ones of up to ``HOT_BYTES`` bytes."""
+    counts = materialize(count_words(df, text), "words").filter(F.octet_length("word") <= HOT_BYTES)
     level = F.floor(F.log2("n") * 16).cast("int")
     sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
     total, least = 0, None
@@ -190,29 +198,14 @@ def frequent_words(df: DataFrame, ranks: dict[bytes, int], maps: Column, text: s
     if least is None:
         return {}
     hot = counts.filter(level >= least).select("word", let(
-        maps, lambda m: fold_merges(_first_symbols(ranks, F.col("word")), m)).alias("symbols"))
-    return dict(hot.collect())
-
-
-_hot: dict[str, dict[str, str]] = {}
+        maps, lambda m: fold_merges(first_tokens(ranks, F.col("word")), m)).alias("ids")).toArrow()
+    return dict(zip(hot.column("word").to_pylist(), _per_word(hot.column("ids").combine_chunks())))
 
 
-def _words(shared: Broadcast) -> dict[str, str]:
-    name, words, symbols = shared.value
-    if name not in _hot:
-        _hot.clear()
-        _hot[name] = dict(zip(words, symbols))
-    return _hot[name]
-
-
-@functools.lru_cache(maxsize=1)
-def _decoder(path: str) -> tuple[list[bytes], list[str]]:
-    ranks = read_ranks(path)
-    size = max(ranks.values()) + 1
-    pieces = [b""] * size
-    for t, k in ranks.items():
-        pieces[k] = t
-    return pieces, [str(i) for i in range(size)]
+def _per_word(ids: pa.ListArray) -> list[str]:
+    """The symbols of each word from its ids."""
+    every, at = symbols(ids.flatten().to_numpy()), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).tolist()
+    return [every[a:b] for a, b in zip(at, at[1:])]
 
 
 def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = False, with_bytes: bool = False,
@@ -229,66 +222,33 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
     keep = list(df.columns if keep is None else keep)
     if set(added) & set(keep):
         raise ValueError(f"columns already there: {sorted(set(added) & set(keep))}")
-    maps = rank_map(spark, ranks)
+    maps = rank_map(ranks)
     hot = frequent_words(df, ranks, maps, text, hot_words)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, list(hot), list(hot.values())))
 
     names = [f"c{i}" for i in range(len(keep))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], content(F.col(f"`{text}`")).alias("text"))
-    fields = rows.schema.fields
-    blocked = StructType([*fields, StructField("block", LongType()), StructField("rare", ArrayType(StringType()))])
-
-    def block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows in blocks; the first row of a block has the block's words that are not frequent."""
-        known, number = _words(shared), 0
-        for batch in batches:
-            for a, b in _cuts(batch, 2 << 20):
-                some = batch.slice(a, b - a)
-                rare = set().union(*_splitter.words(some.column("text").to_pylist())).difference(known)
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array([number] * some.num_rows, pa.int64()),
-                     pa.array([sorted(rare)] + [None] * (some.num_rows - 1), pa.list_(pa.string()))],
-                    names=[f.name for f in blocked.fields])
-                number += 1
-
-    cut = rows.mapInArrow(block, blocked)
-    encoded = cut.withColumn("symbols", let(maps, lambda m: F.transform("rare", lambda w: fold_merges(_first_symbols(ranks, w), m))))
-    out = StructType([*(StructField(c, f.dataType) for c, f in zip(keep, fields)), StructField("n_tokens", LongType()),
+    out = StructType([*(StructField(c, f.dataType) for c, f in zip(keep, rows.schema.fields)), StructField("n_tokens", LongType()),
                       StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()),
                       *([StructField("ids", ArrayType(IntegerType()))] if with_ids else []),
                       *([StructField("decoded", BinaryType())] if with_bytes else [])])
 
-    def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (pieces, decimal) = _words(shared), _decoder(vocabulary)
-        rare: dict[str, str] = {}
-        now = -1
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared, vocabulary)
         for batch in batches:
             for a, b in _cuts(batch, 1 << 20):
                 some = batch.slice(a, b - a)
                 counts, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
-                numbers = some.column("block").to_pylist()
-                heads = [i for i, v in enumerate(some.column("rare").is_valid().to_pylist()) if v]
-                # runs of rows of one block: a head brings the words for the rows up to the next head
-                for i, j in zip([0, *heads], [*heads, len(numbers)]):
-                    if i in heads:
-                        rare = dict(zip(some.column("rare")[i].as_py(), some.column("symbols")[i].as_py()))
-                        now = numbers[i]
-                    if i == j:
-                        continue
-                    if set(numbers[i:j]) != {now}:
-                        raise RuntimeError("rows out of order")
-                    both = _Both(known, rare)
-                    for words in _splitter.words(some.column("text").slice(i, j - i).to_pylist()):
-                        numbered = token_ids("".join(map(both.__getitem__, words)))
-                        ids = numbered.tolist()
-                        back = b"".join(map(pieces.__getitem__, ids))
-                        counts.append(len(ids))
-                        ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                        text_sha.append(hashlib.sha256(back).hexdigest())
-                        if with_ids:
-                            all_ids.append(numbered.astype(np.int32))
-                        if with_bytes:
-                            decoded.append(back)
+                coder.trim()
+                for body in some.column("text").to_pylist():
+                    made = coder.encode(body)
+                    counts.append(len(made.coded))
+                    ids_sha.append(hashlib.sha256(made.decimal.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(made.back).hexdigest())
+                    if with_ids:
+                        all_ids.append(token_ids(made.coded).astype(np.int32))
+                    if with_bytes:
+                        decoded.append(made.back)
                 cols = [*(some.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
@@ -297,18 +257,122 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
                     cols.append(pa.array(decoded, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return encoded.mapInArrow(assemble, out)
+    return rows.mapInArrow(encode, out)
+
+
+class Chunk(NamedTuple):
+    """A stretch of text as symbols, as decimal ids joined by commas, and as the bytes its ids decode to."""
 
+    coded: str
+    decimal: str
+    back: bytes
 
-class _Both(dict):
-    """Frequent words, and for the others those of the block."""
 
-    def __init__(self, known: dict[str, str], rare: dict[str, str]):
-        super().__init__(rare)
-        self.known = known
+class _Chunks(dict):
+    """What becomes of the chunks between blanks, with a lead before each."""
+
+    def __init__(self, words: Coder, lead: str):
+        super().__init__()
+        self.words, self.lead = words, lead
+
+    def __missing__(self, chunk: str) -> Chunk:
+        made = self[chunk] = self.words.chunk(self.lead + chunk)
+        return made
+
+
+class Coder(dict):
+    """Symbols of words: the frequent ones as sent, each other one folded when it first comes up."""
+
+    def __init__(self, frequent: dict[str, str], ranks: dict[bytes, int]):
+        super().__init__(frequent)
+        self.frequent, self.most = frequent, len(frequent) + CACHED
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.pairs = {(a << 20) + b: k for a, b, k in mergeable(ranks)}
+        self.pieces = {symbol(k): t for t, k in ranks.items()}
+        self.decimal = {symbol(k): str(k) for k in ranks.values()}
+        self.heads, self.tails = _Chunks(self, ""), _Chunks(self, " ")
+        self.newline = self.chunk("\n")
+
+    def chunk(self, text: str) -> Chunk:
+        coded = "".join(map(self.__getitem__, SPLIT.findall(text)))
+        return Chunk(coded, ",".join(map(self.decimal.__getitem__, coded)), b"".join(map(self.pieces.__getitem__, coded)))
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.frequent)
+        if len(self.tails) + len(self.heads) > CACHED:
+            self.heads.clear()
+            self.tails.clear()
+
+    def encode(self, text: str) -> Chunk:
+        lines = plain_lines(text)
+        if lines is None:
+            return self.chunk(text)
+        head, tail, parts = self.heads, self.tails.__getitem__, []
+        for line in lines:
+            parts.append(head[line[0]])
+            parts += map(tail, line[1:])
+            parts.append(self.newline)
+        coded, decimal, back = zip(*parts[:-1])
+        return Chunk("".join(coded), ",".join(decimal), b"".join(back))
 
     def __missing__(self, word: str) -> str:
-        return self.known[word]
+        tokens = [self.single[b] for b in word.encode()]
+        ids = fold_short(tokens, self.pairs) if len(tokens) < 200 else fold_long(tokens, self.pairs)
+        made = self[word] = "".join(map(symbol, ids))
+        return made
+
+
+def fold_short(t: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merge the leftmost pair of the lowest rank until no pair has one."""
+    none = 1 << 40
+    m = [pairs.get((a << 20) + b, none) for a, b in zip(t, t[1:])]
+    while m:
+        new = min(m)
+        if new == none:
+            break
+        p = m.index(new)
+        t[p:p + 2] = [new]
+        del m[p]
+        if p:
+            m[p - 1] = pairs.get((t[p - 1] << 20) + new, none)
+        if p < len(m):
+            m[p] = pairs.get((new << 20) + t[p + 1], none)
+    return t
+
+
+def fold_long(t: list[int], pairs: dict[int, int]) -> list[int]:
+    """The same merges in the same order by a heap of (rank, place) over linked tokens."""
+    n = len(t)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(k, i) for i in range(n - 1) if (k := pairs.get((t[i] << 20) + t[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        k, i = heapq.heappop(heap)
+        j = after[i]
+        if t[i] < 0 or j >= n or pairs.get((t[i] << 20) + t[j]) != k:
+            continue  # one of the two was merged meanwhile
+        t[i], t[j] = k, -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+            if (up := pairs.get((k << 20) + t[after[j]])) is not None:
+                heapq.heappush(heap, (up, i))
+        if before[i] >= 0 and (up := pairs.get((t[before[i]] << 20) + k)) is not None:
+            heapq.heappush(heap, (up, before[i]))
+    return [x for x in t if x >= 0]
+
+
+_coders: dict[str, Coder] = {}
+
+
+def _coder(shared: Broadcast, vocabulary: str) -> Coder:
+    name, words, coded = shared.value
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = Coder(dict(zip(words, coded)), read_ranks(vocabulary))
+    return _coders[name]
 
 
 def _cuts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:

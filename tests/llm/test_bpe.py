@@ -44,11 +44,14 @@ def test_words(spark):
     rng = random.Random(4)
     words = [t.decode() for t in RANKS if all(b < 128 for b in t)][::40]
     words += ["".join(rng.choices("aeinorst", k=rng.randint(1, 40))) for _ in range(400)] + ["a" * n for n in range(1, 60)]
-    maps = bpe.rank_map(spark, RANKS)
+    maps = bpe.rank_map(RANKS)
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = df.select("w", let(maps, lambda m: bpe.fold_merges(bpe._first_symbols(RANKS, F.col("w")), m)).alias("s")).collect()
+    got = df.select("w", let(maps, lambda m: bpe.fold_merges(bpe.first_tokens(RANKS, F.col("w")), m)).alias("s")).collect()
+    pairs = {(a << 20) + b: k for a, b, k in bpe.mergeable(RANKS)}
     for r in got:
-        assert bpe.token_ids(r.s).tolist() == MODEL._core_bpe.encode_single_piece(r.w.encode()), r.w
+        raw = [RANKS[bytes([b])] for b in r.w.encode()]
+        assert r.s == bpe.fold_short(list(raw), pairs) == bpe.fold_long(list(raw), pairs)
+        assert r.s == MODEL._core_bpe.encode_single_piece(r.w.encode()), r.w
 
 
 def test_query(spark):
