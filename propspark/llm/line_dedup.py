@@ -12,12 +12,13 @@ LINES, WORDS = 3, 50
 
 
 def _windows(full: Column, lines: int, words: int) -> Column:
-    """Windows of ``lines`` lines, each under its least line hash, and lines of ``words`` words as windows alone.
+    """Windows of ``lines`` lines, each under its least line hash, lines of ``words`` words as windows alone, and
+    windows of fewer lines that reach ``words`` words together, none of them alone.
 
     A window has its first line's number, its length, the fingerprint (hash and number of the line) and a 128-bit key.
     """
 
-    def window(at: Column) -> Column:
+    def window(at: Column, lines: int = lines) -> Column:
         rows = [F.get(full, at + j) for j in range(lines)]
         least = F.array_min(F.array(*[F.struct(r["h1"].alias("h"), (at + j).alias("at")) for j, r in enumerate(rows)]))
         return F.struct(
@@ -30,9 +31,18 @@ def _windows(full: Column, lines: int, words: int) -> Column:
             at.alias("at"), F.lit(1).alias("n"), row["h1"].alias("f"), at.alias("f_at"),
             row["h1"].alias("k1"), row["h2"].alias("k2")))
 
-    every = F.when(F.size(full) >= lines, F.transform(F.sequence(F.lit(0), F.size(full) - lines), window))
-    single = F.filter(F.transform(full, alone), lambda x: x.isNotNull())
-    return F.when(every.isNull(), single).otherwise(F.concat(every, single))
+    def together(lines: int) -> Column:
+        def of(row: Column, at: Column) -> Column:
+            each = [row["words"], *[F.get(full, at + j)["words"] for j in range(1, lines)]]
+            # beyond the last line the sum is null
+            return F.when((sum(each[1:], each[0]) >= words) & (F.greatest(*each) < words), window(at, lines))
+
+        return F.transform(full, of)
+
+    every = F.when(F.size(full) >= lines, F.transform(F.sequence(F.lit(0), F.size(full) - lines), lambda at: window(at)))
+    single = F.filter(F.concat(
+        F.transform(full, alone), *[together(n) for n in range(2, lines)]), lambda x: x.isNotNull())
+    return let(single, lambda some: F.when(every.isNull(), some).otherwise(F.concat(every, some)))
 
 
 def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES, words: int = WORDS) -> DataFrame:
@@ -40,7 +50,8 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", lines:
     and the earlier place (``from_key``, ``from_start``).
 
     Line hashes are winnowed: of any ``lines`` consecutive lines the least hash is a fingerprint, so a repeated run of
-    that length shares one; a line of ``words`` words is one by itself. Only windows whose fingerprint
+    that length shares one; a line of ``words`` words is one by itself, and of fewer lines that
+    have ``words`` words only together the least is one too. Only windows whose fingerprint
     occurs twice are looked at further. They meet their first equal window in (key, text hash, line) order, by
     the hash of all their lines, and matches that continue each other on the same pair of places are extended
     both ways into one run. Each window has one partner, however often it occurs, so nothing grows with the square of a
@@ -78,7 +89,8 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", lines:
 def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES, words: int = WORDS) -> DataFrame:
     """Add ``n_lines``, ``n_removed_lines``, ``runs`` and ``clean_text`` (without the later repeated runs) to every row.
 
-    Deleted is each line that lies in a window of ``lines`` lines, or is a line of ``words`` words, which occurs earlier
+    Deleted is each line that lies in a window of ``lines`` lines (of any words), is a line of ``words`` words, or lies in
+    a window of fewer lines that reach ``words`` words together while none does alone, which occurs earlier
     in the order of (key, text hash, line); null keys come first. Lines without a word are passed over and stay.
     Lines are compared whole, by 128 bits of hash. Rows equal in key and text are one document and
     get equal results. Null text has no lines. Columns of ``df`` may have any names but the new ones.

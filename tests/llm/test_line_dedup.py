@@ -59,3 +59,37 @@ def test_query(spark):
     got = sorted(queries.QUERIES["op6_line_winnowing"](spark, SF).collect())
     assert [(r.n_removed_lines, r.kept_bytes) for r in got] == [(n, len(t.encode())) for t, n in brute(docs)]
     assert sum(r.n_removed_lines for r in got) > 0
+
+
+def test_fewer_lines_that_reach_the_words_together(spark):
+    a, b, c, d = ("a " * 41, "b " * 43, "c " * 20, "d " * 20)
+    df = spark.createDataFrame([(1, f"x\n{a}\n{b}\ny\n{c}\n{d}"), (2, f"z\n{a}\n\n{b}\nq"), (3, f"{b}\n{a}"), (4, f"{c}\n{d}\nr"),
+                                (5, f"{a}\n{b}")], "doc_id int, text string")
+    got = line_dedup.drop_repeated_lines(df).orderBy("doc_id").collect()
+    assert [r.n_removed_lines for r in got] == [0, 2, 0, 0, 2] and got[1].clean_text == "z\n\nq"
+    assert [tuple(x) for x in got[1].runs] == [(1, 2, 1, 1)]
+    rng = random.Random(8)
+    pool = ["a", "b b", "c " * 4, "d " * 5, "e " * 7]
+    docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    for n, w in ((3, 9), (4, 9), (5, 12)):
+        got = line_dedup.drop_repeated_lines(df, lines=n, words=w).orderBy("doc_id").collect()
+        assert [r.n_removed_lines for r in got] == together(docs, n, w)
+
+
+def together(docs, lines, words):
+    """Lines removed from each text when windows of fewer lines count that reach ``words`` words only together."""
+    seen, out = set(), []
+    for _, text in docs:
+        full, gone = [x for x in text.split("\n") if x.strip()], set()
+        size = [len(x.split()) for x in full]
+        for i in range(len(full)):
+            for n in range(1, lines + 1):
+                own = size[i:i + n]
+                if len(own) < n or n < lines and (sum(own) < words or n > 1 and max(own) >= words):
+                    continue
+                if tuple(full[i:i + n]) in seen:
+                    gone.update(range(i, i + n))
+                seen.add(tuple(full[i:i + n]))
+        out.append(len(gone))
+    return out
