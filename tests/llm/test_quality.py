@@ -58,3 +58,24 @@ def test_rules(spark):
     out = {r.doc_id: r for r in quality.clean(df).collect()}
     assert set(out) == {0, 1, 2} and out[0].n_chars == 1 and out[1].n_chars == len(out[1].text)
     assert quality.measure(df.limit(0)).count() == 0
+
+
+def test_clean_lines_stay(spark):
+    """One-line documents: prose with a phrase's word in it, and lines with the marks of other scripts, are clean."""
+    stay = [
+        "She put the last cookie on a plate, carried it to the garden and read until the sun went down.",
+        "The parcel was so heavy that the copyright lawyer, who had waited since noon, asked two friends for help.",
+        "There was a sign in front of the house, and nobody read it.",
+        "The museum, which few visitors ever subscribe to, keeps letters of sailors written in javascript and ink for the curious.",
+        "यह एक साधारण और साफ़ वाक्य है जो दंड पर समाप्त होता है।",
+        "یہ ایک سادہ اور صاف جملہ ہے جو اردو کے نشان پر ختم ہوتا ہے۔",
+        "ይህ ቀላል እና ንጹህ ዓረፍተ ነገር ነው ብሎ ሁሉም ሰው ያምናል።",
+    ]
+    go = [
+        "Sign in", "Please log in to continue.", "We use cookies, see our privacy policy.", "Copyright 2020 Example, Inc.",
+        "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Click here to subscribe!",
+    ]
+    df = spark.createDataFrame(list(enumerate(stay + go)), "doc_id int, text string")
+    got = {r.doc_id: (r.n_bad_lines, r.kept) for r in quality.measure(df).collect()}
+    assert [got[i] for i in range(len(stay))] == [(0, True)] * len(stay)
+    assert [got[i][0] for i in range(len(stay), len(got))] == [1] * len(go)
