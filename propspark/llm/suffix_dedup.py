@@ -2,8 +2,9 @@
 
 Every string of ``LENGTH`` bytes is anchored at its least short-gram hash, so equal strings have equal anchors at equal
 offsets. Starts with one anchor (and about one offset) form a segment, keyed by the hash of the bytes that all its
-strings share. Only segments whose key occurs twice are sent on; segments of one key meet in one task,
-where their suffixes are sorted and adjacent common prefixes tell which strings occur twice. A key with very many
+strings share. Only segments whose key occurs twice are sent on, equal ones as one row; the different segments of one key
+meet in one task, where their suffixes are sorted and adjacent common prefixes tell which strings occur twice. What is
+found goes back to every place of a segment by its digest. A key with very many
 different segments is split into keys of longer shared strings until its groups are small.
 """
 
@@ -170,18 +171,19 @@ def repeated_starts(segments: list[bytes], weights: list[int], length: int) -> l
             for a, n, w in zip(starts.tolist(), sizes.tolist(), weights)]
 
 
-SEGMENT = "key bigint, hi bigint, lo bigint, start bigint, copies bigint, anchor int, kind int, span int, seg binary, seg_hash bigint"
+SEGMENT = "key bigint, hi bigint, lo bigint, start bigint, copies bigint, anchor int, kind int, span int, seg binary, seg_hash bigint, seg_more bigint"
 
 
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.int64()]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in SEGMENT.split(", ")]
     cols = list(zip(*rows)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def _hash(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _hash(data: bytes) -> tuple[int, int]:
+    both = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
 def _keys(rows: DataFrame, anchors: Anchors) -> DataFrame:
@@ -215,7 +217,7 @@ def _segments(bodies: DataFrame, anchors: Anchors) -> DataFrame:
                     for a, n, p, c, k in zip(first[take].tolist(), count[take].tolist(), at[take].tolist(),
                                              kind[take].tolist(), key[take].view(np.int64).tolist()):
                         seg = raw[a:a + n + anchors.length - 1].tobytes()
-                        rows.append((k, hi[i], lo[i], base + a, copies[i], p - a, c, anchors.span, seg, _hash(seg)))
+                        rows.append((k, hi[i], lo[i], base + a, copies[i], p - a, c, anchors.span, seg, *_hash(seg)))
                     if len(rows) > 4000:
                         yield _segment_batch(rows)
                         rows = []
@@ -244,48 +246,59 @@ def _halve(crowded: DataFrame, anchors: Anchors) -> DataFrame:
                     key = anchors.key(sums, back, np.array([r["anchor"]]), c, span)
                     seg = r["seg"][a:b + anchors.length - 1]
                     rows.append((int(key.view(np.int64)[0]), r["hi"], r["lo"], r["start"] + a, r["copies"], r["anchor"] - a,
-                                 int(c[0]), span, seg, _hash(seg)))
+                                 int(c[0]), span, seg, *_hash(seg)))
             yield _segment_batch(rows)
 
     return crowded.mapInArrow(cut, SEGMENT)
 
 
-def _sort(segments: DataFrame, length: int) -> DataFrame:
-    """Byte ranges (first, stop) of repeated strings in each text."""
-    placed = segments.select("key", "hi", "lo", "start", "copies", "seg").repartition("key").sortWithinPartitions("key")
+SAME = ["key", "seg_hash", "seg_more"]
+
+
+def _hits(segments: DataFrame, length: int) -> DataFrame:
+    """Ranges (``a``, ``b``) of starts of repeated strings in each different segment of a key, however often it occurs."""
+    each = segments.groupBy(*SAME).agg(F.sum("copies").alias("copies"), F.first("seg").alias("seg"))
+    placed = each.repartition("key").sortWithinPartitions("key")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[tuple[int, int, int, int]]] = {}
+        # for each segment the sum of its copies and the rows that have it (one for each of its keys)
+        held: dict[bytes, tuple[int, list[tuple[int, int, int]]]] = {}
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
             segs = list(held)
             # a lone segment of weight one can only repeat inside itself, as any other
-            found = repeated_starts(segs, [sum(o[3] for o in held[s]) for s in segs], length) if segs else []
+            found = repeated_starts(segs, [held[s][0] for s in segs], length) if segs else []
             rows = []
             for seg, hit in zip(segs, found):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-                    rows += [(hi, lo, start + a, start + b - 1 + length) for hi, lo, start, _ in held[seg]]
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["hi", "lo", "first", "stop"])
+                    rows += [(*one, a, b) for one in held[seg][1]]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[*SAME, "a", "b"])
 
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            hi, lo, start, copies, seg = (batch.column(c).to_pylist() for c in ("hi", "lo", "start", "copies", "seg"))
-            for i, key in enumerate(keys):
-                if key != last and size > SORTED:
+            same = list(zip(*(batch.column(c).to_pylist() for c in SAME)))
+            copies, seg = (batch.column(c).to_pylist() for c in ("copies", "seg"))
+            for i, one in enumerate(same):
+                if one[0] != last and size > SORTED:
                     yield flush()
                     held, size = {}, 0
-                last = key
-                own = held.get(seg[i])
-                if own is None:
-                    own = held[seg[i]] = []
+                last = one[0]
+                weight, rows = held.get(seg[i], (0, []))
+                if not rows:
                     size += len(seg[i]) + 1
-                own.append((hi[i], lo[i], start[i], copies[i]))
+                held[seg[i]] = weight + copies[i], [*rows, one]
         yield flush()
 
-    return placed.mapInArrow(work, "hi bigint, lo bigint, first bigint, stop bigint")
+    return placed.mapInArrow(work, "key bigint, seg_hash bigint, seg_more bigint, a bigint, b bigint")
+
+
+def _sort(segments: DataFrame, length: int) -> DataFrame:
+    """Byte ranges (first, stop) of repeated strings in each text."""
+    found = segments.select(*SAME, "hi", "lo", "start").join(_hits(segments, length), SAME)
+    return found.select("hi", "lo", (F.col("start") + F.col("a")).alias("first"),
+                        (F.col("start") + F.col("b") - 1 + length).alias("stop"))
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:

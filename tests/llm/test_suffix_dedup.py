@@ -79,3 +79,22 @@ def test_query(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = queries.QUERIES["op2_two_stage_suffixes"](spark, SF).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == expected([t for _, t in rows], 400)
+
+
+def test_hot_passage_is_one_row_for_each_segment(spark):
+    """What a task sorts and gives out grows with the different segments of a passage, not with the texts that hold it."""
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdef", k=600))
+    texts = [f"{i:05d}" * 9 + passage + f"{i:06d}" * 8 for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = df.select(sd.digest("text").alias("d"), "text").select("d.hi", "d.lo", "text")
+    segments = sd._segments(rows.selectExpr("hi", "lo", "text", "1L AS copies").join(
+        sd._keys(rows, sd.Anchors(40)).groupBy("hi", "lo").agg(sd.F.collect_set("key").alias("keys")), ["hi", "lo"]), sd.Anchors(40))
+    hits = sd._hits(segments, 40).collect()
+    inside = segments.filter(sd.F.lit(passage).contains(sd.F.col("seg").cast("string"))).select(*sd.SAME)
+    hot = {tuple(r) for r in inside.distinct().collect()}
+    assert inside.count() == 300 * len(hot) > 0
+    got = [(h.key, h.seg_hash, h.seg_more) for h in hits]
+    assert sorted(x for x in got if x in hot) == sorted(hot)
+    done = sd.remove_repeats(df, length=40).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in done] == expected(texts, 40)
