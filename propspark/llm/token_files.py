@@ -91,7 +91,7 @@ class _Pieces(dict):
         self.marks = "".join({t.content[0] for t in encoder.model.get_added_tokens_decoder().values()})
 
     def __missing__(self, piece: str) -> bytes:
-        if (piece.isascii() or _PLAIN.fullmatch(piece)) and not any(m in piece for m in self.marks):
+        if _PLAIN.fullmatch(piece) and not any(m in piece for m in self.marks):
             low, of = piece.lower(), self.matches
             if low.isalpha():
                 ids = of[low]

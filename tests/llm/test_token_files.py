@@ -1,5 +1,6 @@
 """Token files against the tokenizer itself."""
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tokenizers
@@ -49,3 +50,13 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.QUERIES["op4_token_files"](spark, SF).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == expected("word_bpe_49k.json", rows)
+
+
+def test_every_character_to_024f():
+    """Each character inside, before and after a piece, and beside letters of two scripts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encoder = tokenizers.Tokenizer.from_file(path), token_files.Encoder(path, None)
+    for c in map(chr, range(0x250)):
+        for text in (f"a{c}b", f"{c}ab c", f"ab{c} c", f"é{c}1", c):
+            ids = np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist()
+            assert ids == model.encode(text, add_special_tokens=False).ids, repr(text)
