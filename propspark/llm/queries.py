@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from propspark.llm import bpe, decontamination, line_dedup, pii, quality, sharding, similarity_join, suffix_dedup, token_counts, token_files
+from propspark.llm import alignment, bpe, decontamination, line_dedup, pii, quality, sharding, similarity_join, suffix_dedup, token_counts, token_files
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -90,6 +90,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(documents(spark, sf_dir).select("doc_id", "text"), key="corpus-v1")
 
 
+@query("op11_pointer_jumping")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' ids of every document, aligned on their bytes."""
+    return alignment.align_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
