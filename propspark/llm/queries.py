@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from propspark.llm import alignment, bpe, decontamination, line_dedup, pii, quality, sharding, similarity_join, suffix_dedup, token_counts, token_files
+from propspark.llm import alignment, bpe, decontamination, line_dedup, pii, prefix_trie, quality, sharding, similarity_join, suffix_dedup
+from propspark.llm import token_counts, token_files, topk
 from propspark.llm.registry import ORACLE, QUERIES, documents, query
 from propspark.llm.text import content
 from propspark.session import materialize, new_path
@@ -97,6 +98,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def trie_of(turns: DataFrame) -> DataFrame:
+    """The trie of conversations that take their first turns (0 to 8, by their id) from the first of each five."""
+    c = F.col("conv_id")
+    heads = F.crc32(c.cast("string")) % 9
+    shared = prefix_trie.share_heads(prefix_trie.turn_sequences(turns), c - c % 5, heads, most=8)
+    return prefix_trie.prefix_trie(shared)
+
+
+@query("op12_sparse_table_trie")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of all conversations."""
+    return trie_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_histogram_top_k", topk.TOP_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    return topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
