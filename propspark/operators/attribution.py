@@ -2,154 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import (
-    GBTClassificationModel, OneVsRestModel, RandomForestClassificationModel,
-)
+from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from propspark.errors import DataError
 from propspark.functions import moments
+from propspark.operators.kernel_shap import kernel_shap
 from propspark.operators.learning import ModelBundle, feature_array
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges
 from propspark.operators.ranking import sort_importance, top_features, top_per_row
-from propspark.session import new_path
-
-TREE_MODELS = (RandomForestRegressionModel, RandomForestClassificationModel, GBTRegressionModel, GBTClassificationModel)
-
+from propspark.operators.tree_shap import TREE_MODELS, add_tree_values, flat_trees
 
 # --- tree ensembles -------------------------------------------------------------------------
 
 
-@dataclass
-class TreePaths:
-    """Every root-to-leaf path of an ensemble in flat form (model-sized).
-
-    ``paths`` holds ``(value, [(feature, low, high, cover share), ...])``: a row follows
-    the path when ``low < x <= high`` for each of its distinct features.
-    """
-
-    paths: list[tuple[float, list[tuple[int, float, float, float]]]]
-    base: float
-
-
-def _node_rows(spark: SparkSession, model) -> tuple[dict, list[float]]:
-    """Nodes per tree and tree weights, read back from the saved model."""
-    path = new_path(spark, "trees")
-    model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees: dict = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    return trees, list(model.treeWeights)
-
-
-def tree_paths(spark: SparkSession, model, label: int | None = None) -> TreePaths:
-    """Paths of a forest or boosted model; ``label`` picks the class of a classification forest.
-
-    Forests average the trees (class share of the leaf for classification);
-    boosted models add the weighted tree values, for classification as a margin.
-    """
-    if not isinstance(model, TREE_MODELS):
-        raise DataError(f"not a tree ensemble: {type(model).__name__}")
-    trees, weights = _node_rows(spark, model)
-    forest = isinstance(model, (RandomForestRegressionModel, RandomForestClassificationModel))
-    shares = isinstance(model, RandomForestClassificationModel)
-    paths, base = [], 0.0
-    for t, nodes in trees.items():
-        weight = 1.0 / len(trees) if forest else weights[t]
-
-        def cover(n) -> float:
-            s = n["impurityStats"]
-            return float(sum(s)) if shares else float(s[0])
-
-        root = nodes[0]
-        stack = [(root, {})]
-        while stack:
-            n, seen = stack.pop()
-            if n["leftChild"] < 0:
-                value = n["impurityStats"][label] / sum(n["impurityStats"]) if shares else n["prediction"]
-                paths.append((weight * value, [(f, lo, hi, z) for f, (lo, hi, z) in seen.items()]))
-                base += weight * value * cover(n) / cover(root)
-                continue
-            f, cut = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
-            lo, hi, z = seen.get(f, (-np.inf, np.inf, 1.0))
-            for side in ("leftChild", "rightChild"):
-                child = nodes[n[side]]
-                share = z * cover(child) / cover(n)
-                span = (lo, min(hi, cut), share) if side == "leftChild" else (max(lo, cut), hi, share)
-                stack.append((child, {**seen, f: span}))
-    return TreePaths(paths, float(base))
-
-
-def _path_shap(features: int, paths):
-    """Function from a feature matrix to its path-dependent Shapley values.
-
-    The published tree algorithm, one path at a time and all rows of a batch at once.
-    """
-
-    def shap_values(x: np.ndarray) -> np.ndarray:
-        phi = np.zeros((len(x), features))
-        for value, steps in paths:
-            d = len(steps)
-            ones = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in steps]
-            # weight of the subsets of each size, extended by one feature at a time
-            m = [np.ones(len(x))]
-            for size, ((_, _, _, z), o) in enumerate(zip(steps, ones), start=1):
-                grown = [np.zeros(len(x)) for _ in range(size + 1)]
-                for i, w in enumerate(m):
-                    grown[i + 1] += o * w * (i + 1) / (size + 1)
-                    grown[i] += z * w * (size - i) / (size + 1)
-                m = grown
-            for (f, _, _, z), o in zip(steps, ones):
-                followed, skipped = np.zeros(len(x)), np.zeros(len(x))
-                top = m[d]
-                for i in range(d - 1, -1, -1):
-                    part = top * (d + 1) / (i + 1)
-                    followed += part
-                    top = m[i] - part * z * (d - i) / (d + 1)
-                    skipped += m[i] * (d + 1) / (z * (d - i))
-                phi[:, f] += np.where(o > 0, followed, skipped) * (o - z) * value
-        return phi
-
-    return shap_values
-
-
 def tree_shap(df: DataFrame, key: str, bundle: ModelBundle, label: int | None = None) -> tuple[DataFrame, float]:
     """Long table ``key, feature, feature_value, shap`` for every row, and the base value.
 
     For one-vs-rest models ``label`` picks the booster of that class.
     """
-    last = bundle.model.stages[-1]
-    if isinstance(last, OneVsRestModel):
-        last = last.models[label or 0]
-    elif isinstance(last, RandomForestClassificationModel) and label is None:
-        label = 1
-    flat = tree_paths(df.sparkSession, last, label)
     names = list(bundle.feature_names)
-    shared = df.sparkSession.sparkContext.broadcast(flat.paths)  # as large as the model, sent once to each machine
-    features = len(names)
-    # a row costs far more to explain than to move: spread rows evenly (AQE sizes the partitions)
-    rows = df.select(F.col(key), feature_array(df, names, bundle.scaler).alias("x")).repartition(F.xxhash64(key, "x"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shap_values = _path_shap(features, shared.value)
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({key: pdf[key], "x": pdf["x"], "phi": list(shap_values(np.vstack(pdf["x"].to_numpy())))})
-
-    key_type = df.schema[key].dataType.simpleString()
-    per_row = rows.mapInPandas(run, f"`{key}` {key_type}, x array<double>, phi array<double>")
+    per_row, base = tree_shap_rows(df, key, bundle, label)
     label_array = F.array(*[F.lit(n) for n in names])
     cell = F.explode(F.arrays_zip(label_array.alias("feature"), F.col("x").alias("feature_value"), F.col("phi").alias("shap")))
     return per_row.select(key, cell.alias("c")).select(
-        key, F.col("c.feature").alias("feature"), F.col("c.feature_value").alias("feature_value"), F.col("c.shap").alias("shap")), flat.base
+        key, F.col("c.feature").alias("feature"), F.col("c.feature_value").alias("feature_value"), F.col("c.shap").alias("shap")), base
+
+
+def tree_shap_rows(df: DataFrame, key: str, bundle: ModelBundle, label: int | None = None) -> tuple[DataFrame, float]:
+    """The same with one row for each row of ``df``: ``key, x, phi``, two arrays in the order of the bundle's features."""
+    last = bundle.model.stages[-1]
+    if isinstance(last, OneVsRestModel):
+        last = last.models[label or 0]
+    trees = flat_trees(df.sparkSession, last, label)
+    return add_tree_values(df.select(F.col(key), feature_array(df, list(bundle.feature_names), bundle.scaler).alias("x")), trees)
 
 
 # --- any model ------------------------------------------------------------------------------
@@ -209,6 +96,26 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     return sums.select(F.col("_k").alias(key), label.alias("feature"), "shap")
 
 
+def explain(df: DataFrame, key: str, bundle: ModelBundle, background: DataFrame | None = None, background_key: str | None = None,
+            method: str = "auto", label: int | None = None, **sizes) -> tuple[DataFrame, float | None]:
+    """``key, feature, shap`` by the exact tree method or the kernel estimate, and the base value of a tree model.
+
+    ``auto`` takes the tree method wherever the model is a tree ensemble of Spark ML and the kernel estimate for any
+    other, which needs ``background`` rows.
+    """
+    if method not in ("auto", "tree", "kernel"):
+        raise ValueError(f"unknown method: {method}")
+    last = bundle.model.stages[-1]
+    if isinstance(last, OneVsRestModel):
+        last = last.models[0]
+    if method == "tree" or method == "auto" and isinstance(last, TREE_MODELS):
+        long, base = tree_shap(df, key, bundle, label)
+        return long.select(key, "feature", "shap"), base
+    if background is None:
+        raise DataError("background rows are required")
+    return kernel_shap(df, key, bundle, background, background_key or key, label=label, **sizes).select(key, "feature", "shap"), None
+
+
 # --- tables over attributions: long(key, feature, feature_value, shap) ------------------------
 
 

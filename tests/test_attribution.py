@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from propspark.errors import DataError
-from propspark.operators import attribution, learning, ranking
+from propspark.operators import attribution, learning, ranking, tree_shap
 from propspark.operators.split_scale import fit_scaler
 from propspark.session import new_path
 
@@ -42,8 +42,17 @@ def subset_value(nodes, shares, label, x, known):
     return walk(0)
 
 
+def saved_nodes(spark, model):
+    path = new_path(spark, "nodes")
+    model.write().save(path)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    return trees, list(model.treeWeights)
+
+
 def brute_force(spark, model, x, label=None):
-    trees, weights = attribution._node_rows(spark, model)
+    trees, weights = saved_nodes(spark, model)
     shares = label is not None
     forest = "RandomForest" in type(model).__name__
     p = len(x)
@@ -85,9 +94,36 @@ def test_tree_shap_one_vs_rest_and_scaler(spark):
     assert long.count() == 360 and long.where("isnan(shap)").count() == 0
 
 
+def test_deep_trees_in_groups(spark):
+    """Paths that test a feature many times, and trees that do not fit one group."""
+    f, df = frame(spark, 400)
+    b = learning.ModelTrainer("random_forest", "regression", {"n_estimators": 6, "max_depth": 12, "min_samples_leaf": 1}).train(df, NAMES, "y")
+    trees = tree_shap.flat_trees(spark, b.model.stages[-1])
+    rows = df.select("id", F.array(*[F.col(n) for n in NAMES]).alias("x"))
+    most = max(r.nodes for r in trees.collect())
+    assert len(tree_shap._groups([(r.tree, r.nodes) for r in trees.collect()], most)) > 3
+    some, base = tree_shap.add_tree_values(rows, trees, group_nodes=most)
+    got = {r.id: r.phi for r in some.collect()}
+    whole = {r.id: r.phi for r in tree_shap.add_tree_values(rows, trees)[0].collect()}
+    pred = b.predict(df, "p").toPandas().set_index("id")["p"]
+    for i in range(400):
+        np.testing.assert_allclose(got[i], whole[i], atol=1e-12)
+        assert abs(sum(got[i]) + base - pred[i]) < 1e-9
+    for i in (3, 200):
+        np.testing.assert_allclose(got[i], brute_force(spark, b.model.stages[-1], f.loc[i, NAMES].to_numpy(float)), atol=1e-10)
+
+
+def test_a_single_leaf(spark):
+    _, df = frame(spark, 30)
+    b = learning.ModelTrainer("random_forest", "regression", {"n_estimators": 2, "max_depth": 3}).train(df.withColumn("y", F.lit(2.5)), NAMES, "y")
+    long, base = attribution.tree_shap(df, "id", b)
+    assert base == pytest.approx(2.5) and {r.shap for r in long.collect()} == {0.0}
+    assert attribution.tree_shap(df.limit(0), "id", b)[0].count() == 0
+
+
 def test_not_a_tree(spark):
     with pytest.raises(DataError):
-        attribution.tree_paths(spark, object())
+        tree_shap.flat_trees(spark, object())
 
 
 def test_sampled_shap_adds_up(spark):
