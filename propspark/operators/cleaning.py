@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from propspark.columns import (
     FLOATING, WIDE_AGG_LIMIT, clean_double, numeric_columns, present, require_columns, string_columns, to_long,
 )
+from propspark.operators.outlier_bounds import iqr_bounds, zscore_parameters
 from propspark.operators.quantiles import column_quantiles
 from propspark.session import materialize
 
@@ -123,17 +124,20 @@ def remove_outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, thr
     """Keep rows within ``[q25 - t*IQR, q75 + t*IQR]``; missing values are dropped.
 
     ``sequential`` recomputes the quartiles on the survivors of the previous
-    column; ``joint`` takes all bounds from the input table in one set of scans.
+    column, one scan of a narrow table each; ``joint`` takes all bounds from the input table in one set of scans.
     The result is ``df`` under plain range filters, which reach the file scan.
     """
     columns = _outlier_columns(df, columns)
     if mode not in ("sequential", "joint"):
         raise ValueError(f"unknown mode: {mode}")
-    joint = column_quantiles(df, columns, [0.25, 0.75]) if mode == "joint" else {}
-    for c in columns:
-        q = joint[c] if joint else column_quantiles(df, [c], [0.25, 0.75])[c]
-        bounds = _iqr_bounds(q, threshold)
-        df = df.where(present(df, c) & F.col(c).between(*bounds)) if bounds else df.where(F.lit(False))
+    if mode == "joint":
+        bounds = {c: _iqr_bounds(q, threshold) for c, q in column_quantiles(df, columns, [0.25, 0.75]).items()}
+    else:
+        bounds = iqr_bounds(df, columns, threshold)[0]
+    if bounds is None or None in bounds.values():
+        return df.where(F.lit(False))
+    for c, b in bounds.items():
+        df = df.where(present(df, c) & F.col(c).between(*b))
     return df
 
 
@@ -142,12 +146,10 @@ def remove_outliers_zscore(df: DataFrame, columns: Sequence[str] | None = None,
 
     Missing values are dropped; a constant column removes nothing.
     """
-    for c in _outlier_columns(df, columns):
-        x = clean_double(df, c)
+    for c, (mean, deviation) in zscore_parameters(df, _outlier_columns(df, columns), threshold)[0].items():
         df = df.where(present(df, c))
-        s = df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).first()
-        if s["s"]:
-            df = df.where(F.abs((x - F.lit(s["m"])) / F.lit(s["s"])) < threshold)
+        if deviation:
+            df = df.where(F.abs((clean_double(df, c) - F.lit(mean)) / F.lit(deviation)) < threshold)
     return df
 
 

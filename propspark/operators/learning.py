@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -12,10 +13,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from propspark.columns import WIDE_AGG_LIMIT, numeric_columns
@@ -26,6 +25,7 @@ from propspark.operators.evaluation import (
 )
 from propspark.operators.joins import ordered_features
 from propspark.operators.split_scale import Scaler
+from propspark.operators.tuning import grid_scores
 from propspark.operators.validation import record_errors
 from propspark.session import materialize
 
@@ -272,22 +272,21 @@ class ModelTrainer:
                 table = table.where(keyed_uniform(F.col(key), f"tune{self.seed}") < tune_rows / n)
         table = table.withColumn("fold", keyed_fold(F.col(key), self.cv_folds, self.seed))
         points = self.distinct_points(grid)
+        maps = [p if self.engine == "xgboost" else _spark_params(self.engine, p)[0] for p in points]
+
+        def fit(rows: DataFrame, params: dict):
+            return self._with(classes, params).fit(rows)
+
+        scores = grid_scores(table, maps, fit, self.problem_type, self.cv_folds)
+        found = max(range(len(points)), key=lambda i: -math.inf if scores[i] is None else scores[i])
+        return points[found], fit(table, maps[found]) if whole else None
+
+    def _with(self, classes: int, params: dict):
+        """The estimator with other Spark parameters; those of one-vs-rest belong to its classifier."""
         est = self.estimator(classes)
         inner = est.getClassifier() if isinstance(est, OneVsRest) else est
-        maps = []
-        for p in points:
-            spark_params = p if self.engine == "xgboost" else _spark_params(self.engine, p)[0]
-            if inner is est:
-                maps.append({est.getParam(k): v for k, v in spark_params.items()})
-            else:
-                maps.append({est.classifier: inner.copy({inner.getParam(k): v for k, v in spark_params.items()})})
-        scorer = (RegressionEvaluator(metricName="r2") if self.problem_type == "regression"
-                  else MulticlassClassificationEvaluator(metricName="f1"))
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=scorer, numFolds=self.cv_folds,
-                            foldCol="fold", parallelism=4)
-        found = cv.fit(table)
-        best = points[max(range(len(points)), key=lambda i: found.avgMetrics[i])]
-        return best, found.bestModel if whole else None
+        changed = inner.copy({inner.getParam(k): v for k, v in params.items()})
+        return changed if inner is est else est.copy({est.classifier: changed})
 
     def distinct_points(self, grid: dict) -> list[dict]:
         """The grid's points without those that give the same Spark parameters as an earlier one."""

@@ -77,16 +77,22 @@ def _with_bucket(long: DataFrame, edges: dict) -> DataFrame:
     return rows.select("feature", "value", _gap_or_edge(F.col("value"), cols).alias("bucket"))
 
 
-def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = BUDGET) -> dict:
-    """``{(feature, rank): value}`` for 0-based ranks, given first bracket edges."""
+def _counted(long: DataFrame, edges: dict) -> dict:
+    """Rows of each feature in every gap between its edges and on them."""
+    counts: dict = {k: {} for k in edges}
+    for r in _with_bucket(long, edges).groupBy("feature", "bucket").count().collect():
+        counts[r["feature"]][r["bucket"]] = r["count"]
+    return counts
+
+
+def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = BUDGET, counted: dict | None = None) -> dict:
+    """``{(feature, rank): value}`` for 0-based ranks, given first bracket edges (and the counts between them, if known)."""
     found: dict = {}
     edges = {k: sorted(set(v)) for k, v in edges.items()}
     open_ranks = {k: sorted(set(v)) for k, v in wanted.items() if v}
     while open_ranks:
         edges = {k: edges[k] for k in open_ranks}
-        counts: dict = {k: {} for k in open_ranks}
-        for r in _with_bucket(long, edges).groupBy("feature", "bucket").count().collect():
-            counts[r["feature"]][r["bucket"]] = r["count"]
+        counts, counted = counted or _counted(long, edges), None
         gather, narrow = {}, {}
         for k, ranks in open_ranks.items():
             before = 0
@@ -208,12 +214,27 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], budget: int = BUDGE
         found = order_statistics(long, ranks, large, budget)
         for k, hs in spots.items():
             out[k] = []
-            for h in hs:
-                lo, hi = found[k, math.floor(h)], found[k, math.ceil(h)]
-                out[k].append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
+            out[k] += [_between(found[k, math.floor(h)], found[k, math.ceil(h)], h) for h in hs]
     return out
 
 
+def bracketed_quantiles(long: DataFrame, feature: str, probs: Sequence[float], edges: Sequence[float], budget: int = BUDGET) -> list[float] | None:
+    """Quantiles of one feature's values, none of them null, from brackets that are known already (None without values)."""
+    held = {feature: sorted(set(edges))}
+    counted = _counted(long, held)
+    n = sum(counted[feature].values())
+    if not n:
+        return None
+    spots = [(n - 1) * p for p in probs]
+    ranks = {f(h) for h in spots for f in (math.floor, math.ceil)}
+    found = order_statistics(long, {feature: ranks}, held, budget, counted)
+    return [_between(found[feature, math.floor(h)], found[feature, math.ceil(h)], h) for h in spots]
+
+
+def _between(lo: float, hi: float, h: float) -> float:
+    return lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                      budget: int = BUDGET) -> dict[str, list[float | None]]:
     """Exact quantiles of wide columns; one set of scans for all of them."""
