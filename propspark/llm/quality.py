@@ -72,17 +72,17 @@ def repeat_words(words: Column, window: int = 5) -> Column:
     return F.when(F.size(words) > window, let(hashes, detailed)).otherwise(0)
 
 
-#: Pieces of which every phrase has one, in lower case; a text without them has no phrase.
+#: Pieces of which every phrase has one, in lower case; a line without them has no phrase.
 HINTS = ("rights reserved", "licen", "released under", "terms of ", "privacy policy", "cookie", "javascript", "click here", "subscribe",
          "sign in", "log in", "copyright")
 
 
-def may_have_phrase(text: Column) -> Column:
-    """False if no phrase of ``BOILERPLATE`` can be in a text; plain searches, no pattern."""
-    return let(F.lower(text), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(h)) for h in HINTS]))
+def may_have_phrase(line: Column) -> Column:
+    """False if no phrase of ``BOILERPLATE`` can be in a line; plain searches, no pattern."""
+    return let(F.lower(line), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(h)) for h in HINTS]))
 
 
-def line_fails(line: Column, phrases: Column | None = None, min_words: int = 5, max_flood: int = 30) -> Column:
+def line_fails(line: Column, min_words: int = 5, max_flood: int = 30) -> Column:
     """Why a line with a word goes: ``punctuation``, ``navigation`` or ``boilerplate``; null if it stays.
 
     * punctuation: more than ``max_flood`` per cent of its words end in a run of symbols, or it has
@@ -90,8 +90,8 @@ def line_fails(line: Column, phrases: Column | None = None, min_words: int = 5,
     * navigation: three separators between items, or one and as many items as words;
     * boilerplate: phrases of licences, site menus and consent banners are a sixth of its words.
 
-    Where ``phrases`` is false the line is not searched for phrases. Words are counted only for lines that a rule can fail, and
-    the large class of sentence marks is looked up only where the common ones are absent.
+    Words are counted only for lines that a rule can fail, phrases searched only where a piece of one stands, and the large
+    class of sentence marks is looked up only where the common ones are absent.
     """
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     marked = line.rlike("[.,!?;:]") | line.rlike(SENTENCE)
@@ -104,7 +104,7 @@ def line_fails(line: Column, phrases: Column | None = None, min_words: int = 5,
         F.when(F.regexp_count(line, F.lit(SEPARATOR)) >= 3, "navigation")
         .when(let(F.regexp_count(line, F.lit(FLOOD)), lambda n: (n > 0) & (n * 100 > words * max_flood)), "punctuation")
         .when(~marked & (words >= min_words), "punctuation")
-        .when(searched if phrases is None else phrases & searched, "boilerplate"))
+        .when(may_have_phrase(line) & searched, "boilerplate"))
 
 
 def measure(df: DataFrame, text: str = "text", max_lost: int = 50) -> DataFrame:
@@ -126,10 +126,9 @@ def measure(df: DataFrame, text: str = "text", max_lost: int = 50) -> DataFrame:
     parts = df.withColumns({
         "__words": F.filter(F.split(raw, BLANK + "+"), lambda w: w != ""),
         "__lines": F.transform(F.split(raw, "\n"), lambda x: F.struct(
-            x.alias("line"), x.rlike(r"[^\x20\x09-\x0D]").alias("full"))),
-        "__hint": may_have_phrase(raw)})
+            x.alias("line"), x.rlike(r"[^\x20\x09-\x0D]").alias("full")))})
     parts = parts.withColumn("__lines", F.transform("__lines", lambda x: F.struct(
-        x["line"].alias("line"), x["full"].alias("full"), F.when(x["full"], line_fails(x["line"], F.col("__hint"))).alias("why"))))
+        x["line"].alias("line"), x["full"].alias("full"), F.when(x["full"], line_fails(x["line"])).alias("why"))))
     full = F.transform(F.filter("__lines", lambda x: x["full"]), lambda x: x["line"])
     bad = F.filter("__lines", lambda x: x["why"].isNotNull())
 
