@@ -352,10 +352,16 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each class of near copies."""
-    verdict = similar_documents(df, key, text, threshold).filter(~F.col("stays")).select(
-        F.col(key).alias("__near_key"), F.col("hi").alias("__near_hi"), F.col("lo").alias("__near_lo")).distinct()
+    """The rows of ``df`` that stay: one document of each class of near copies, once if its row is repeated (equal key and text)."""
+    same = [F.col(key).alias("__near_key"), F.col("hi").alias("__near_hi"), F.col("lo").alias("__near_lo")]
+    marks = similar_documents(df, key, text, threshold).groupBy(*same).agg(
+        F.bool_or("stays").alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    marks = materialize(marks.filter(~F.col("stays") | F.col("repeated")), "near")
     keyed = df.withColumn("__near", digest(content(F.col(f"`{text}`"))))
-    out = keyed.join(verdict, F.col(f"`{key}`").eqNullSafe(F.col("__near_key")) & (F.col("__near.hi") == F.col("__near_hi"))
-                     & (F.col("__near.lo") == F.col("__near_lo")), "left_anti")
+    met = (F.col(f"`{key}`").eqNullSafe(F.col("__near_key")) & (F.col("__near.hi") == F.col("__near_hi"))
+           & (F.col("__near.lo") == F.col("__near_lo")))
+    # only texts of repeated rows are shuffled to find them again
+    once = keyed.join(marks.filter("stays"), met, "left_semi").withColumn("__near_key", F.col(f"`{key}`"))
+    once = once.dropDuplicates(["__near_key", "__near"]).drop("__near_key")
+    out = keyed.join(marks, met, "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

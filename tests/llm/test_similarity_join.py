@@ -91,3 +91,11 @@ def test_query(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = queries.QUERIES["op9_bayesian_jaccard_join"](spark, SF).orderBy("doc_id").collect()
     assert [(r.class_id, r.n_links) for r in got] == classes(rows)
+
+
+def test_repeated_rows_leave_one(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, body, 5)] * 3 + [(2, body, 6), (3, "short", 7), (3, "short", 7), (None, "none", 8), (None, "none", 8), (3, "other short text", 9), (4, None, 1), (4, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, hi int")
+    got = sorted(map(tuple, sj.one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, body, 5), (3, "short", 7), (3, "other short text", 9), (None, "none", 8), (4, None, 1)], key=str)
