@@ -25,7 +25,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from propspark.llm.store import make_dir, mapped, open_output
+from propspark.llm.store import make_dir, mapped, open_output, qualified
 from propspark.llm.text import content, slices, whole
 from propspark.session import materialize, new_path
 
@@ -152,9 +152,9 @@ def write_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     such a document has the end id only. An empty table gives an empty manifest.
     """
     spark = df.sparkSession
-    folder = path or new_path(spark, "tokens")
+    folder = qualified(spark, path or new_path(spark, "tokens"))
     make_dir(folder)
-    rows = whole(df, key, text).select(F.col(key).cast("bigint").alias("key"), content(F.col(text)).alias("text"))
+    rows = whole(df, key, text).select(F.col(f"`{key}`").cast("bigint").alias("key"), content(F.col(f"`{text}`")).alias("text"))
     order = ("key", F.xxhash64("text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -200,7 +200,7 @@ def read_tokens(manifest: DataFrame, key: str = "doc_id", with_ids: bool = False
         for batch in batches:
             for row in batch.to_pylist():
                 name, dtype = row["path"], "<u2" if row["width"] == 2 else "<u4"
-                ids, off = mapped(f"{name}.bin", dtype), mapped(f"{name}.off", "<u8").astype(np.int64)
+                ids, off = mapped(f"{name}.bin", dtype), mapped(f"{name}.off", "<u8")[:].astype(np.int64)
                 keys, nul = mapped(f"{name}.key", "<i8"), mapped(f"{name}.nul", "u1")
                 step = 4096 if not with_ids else 256
                 for i in range(0, row["n_docs"], step):
