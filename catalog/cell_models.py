@@ -177,6 +177,17 @@ def cell_sampled_shap(spark, sf_dir):
     return long.select("pos", "feature", (F.round("shap", 6) + 0.0).alias("shap"))
 
 
+@query("cell_kernel_shap", f"""WITH x AS (SELECT pos, b1, b2 FROM ({ROWS})), z AS (SELECT b1, b2 FROM x ORDER BY md5(CAST(pos AS VARCHAR) || '#42') LIMIT 100),
+  m AS (SELECT avg(b1) AS m1, avg(b2) AS m2 FROM z)
+  SELECT pos, 'b1' AS feature, round(3 * (x.b1 - m1), 6) + 0.0 AS shap FROM x, m UNION ALL SELECT pos, 'b2', round(5 * (x.b2 - m2), 6) + 0.0 FROM x, m""")
+def cell_kernel_shap(spark, sf_dir):
+    """An additive target over 100 background rows: a feature's value is its distance from the background's mean."""
+    df = cells(spark, sf_dir).withColumn("sum", F.col("b1") * 3.0 + F.col("b2") * 5.0)
+    bundle = learning.ModelTrainer("random_forest", "regression", FOREST).train(df, TWO, "sum", key="pos")
+    long = attribution.kernel_shap(df, "pos", bundle, df, "pos")
+    return long.select("pos", "feature", (F.round("shap", 6) + 0.0).alias("shap"))
+
+
 PAIR = f"""WITH x AS (SELECT pos, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS a, (d - avg(d) OVER ()) / stddev_pop(d) OVER () AS b
   FROM (SELECT pos, y, y / 1.0E5 + o AS d FROM (SELECT *, (pos % 97)::DOUBLE AS o FROM ({ROWS}))))"""
 

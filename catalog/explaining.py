@@ -1,9 +1,11 @@
-from pyspark.sql import functions as F
+from functools import reduce
 
-from catalog.base import query
-from catalog.modelling import small_forest
+from pyspark.sql import DataFrame, functions as F
+
+from catalog.base import FEATURES, query, table
+from catalog.modelling import INPUTS, order_study, small_forest
 from catalog.profiling import SHAP_LONG, shap_long
-from propspark.operators import attribution, ranking
+from propspark.operators import attribution, learning, ranking, row_attribution
 from propspark.session import new_path
 
 
@@ -33,6 +35,31 @@ def tree_shap_classes(spark, sf_dir):
     return ranking.sort_importance(attribution.global_importance(long), "mean_shap")
 
 
+@query("tree_shap_default", "SELECT count(*) AS n, true AS additive FROM orders")
+def tree_shap_default(spark, sf_dir):
+    """Every row of the table explained by the library's default forest: 200 trees, depth 15."""
+    df = order_study(spark, sf_dir)
+    bundle = learning.ModelTrainer("random_forest", "regression").train(df, INPUTS, "boiling_point", key="cid")
+    rows, base = attribution.tree_shap_rows(df, "cid", bundle)
+    gap = F.abs(F.col("p") - F.lit(base) - F.aggregate("phi", F.lit(0.0), lambda a, v: a + v))
+    both = bundle.predict(df, "p").select("cid", "p").join(rows, "cid")
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.max(gap) < 1e-6).alias("additive"))
+
+
+@query("kernel_shap", "SELECT count(*) AS n, true AS additive, true AS close FROM orders")
+def kernel_shap(spark, sf_dir):
+    """100 coalitions over 100 background rows for every row; close: mean importances differ from the tree method's by under a tenth."""
+    df, bundle = small_forest(spark, sf_dir)
+    long = attribution.kernel_shap(df, "cid", bundle, df, "cid")
+    total = long.groupBy("cid").agg(F.sum("shap").alias("s"))
+    gaps = total.join(bundle.predict(df, "p").select("cid", "p"), "cid").agg(
+        F.count(F.lit(1)).alias("n"), (F.max(F.col("p") - F.col("s")) - F.min(F.col("p") - F.col("s")) < 1e-6).alias("additive"))
+    tree = attribution.global_importance(attribution.tree_shap(df, "cid", bundle)[0]).withColumnRenamed("mean_shap", "t")
+    both = attribution.global_importance(long).join(tree, "feature")
+    close = both.agg((F.sum(F.abs(F.col("mean_shap") - F.col("t"))) < 0.1 * F.sum("t")).alias("close"))
+    return gaps.withColumn("close", F.lit(close.first()["close"]))
+
+
 @query("sampled_shap")
 def sampled_shap(spark, sf_dir):
     df, bundle = small_forest(spark, sf_dir)
@@ -73,6 +100,52 @@ def dependence(spark, sf_dir):
     return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("feature_value", "shap", "interaction_value")], "interaction")
 
 
+# the same tables from one array for each row
+def shap_rows(spark, sf_dir):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+    return rows.withColumn("phi", F.transform("x", lambda v, i: v * (i % 3 + 1)))
+
+
+@query("top_contributions_rows", f"""WITH {SHAP_LONG} SELECT vec_id, feature, round(shap, 6) AS shap FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(shap) DESC, feature) AS rank FROM shap) WHERE rank <= 20""")
+def top_contributions_rows(spark, sf_dir):
+    top = shap_rows(spark, sf_dir).select("vec_id", F.inline(row_attribution.top_contributions(FEATURES)))
+    return top.select("vec_id", "feature", F.round("shap", 6).alias("shap"))
+
+
+@query("local_explanation_rows", f"""WITH {SHAP_LONG}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(shap) DESC, feature) AS rank FROM shap QUALIFY rank <= 20)
+  SELECT vec_id, feature, rank, CASE WHEN shap > 0 THEN 'increases' ELSE 'decreases' END AS direction,
+  round(0.5::DOUBLE + sum(shap) OVER (PARTITION BY vec_id ORDER BY rank), 5) AS running FROM t""")
+def local_explanation_rows(spark, sf_dir):
+    out = row_attribution.local_explanation(shap_rows(spark, sf_dir), "vec_id", FEATURES, 0.5)
+    return out.select("vec_id", "feature", F.col("rank").cast("bigint").alias("rank"), "direction", F.round("running", 5).alias("running"))
+
+
+@query("interaction_strength_rows", f"{STRENGTH} SELECT feature, round(strength, 5) AS strength FROM st")
+def interaction_strength_rows(spark, sf_dir):
+    return row_attribution.interaction_strength(shap_rows(spark, sf_dir), FEATURES, "e07").withColumn("strength", F.round("strength", 5))
+
+
+@query("dependence_rows", f"""{STRENGTH}, best AS (SELECT feature FROM st ORDER BY strength DESC, feature LIMIT 1)
+  SELECT m.vec_id, round(m.feature_value, 6) AS feature_value, round(m.shap, 6) AS shap, round(o.feature_value, 6) AS interaction_value, o.feature AS interaction
+  FROM m JOIN shap o ON o.vec_id = m.vec_id JOIN best ON best.feature = o.feature""")
+def dependence_rows(spark, sf_dir):
+    out = row_attribution.dependence(shap_rows(spark, sf_dir), "vec_id", FEATURES, "e07")
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("feature_value", "shap", "interaction_value")], "interaction")
+
+
+@query("explanation_report_tables", f"""WITH {SHAP_LONG}, g AS (SELECT feature, avg(abs(shap)) AS g FROM shap GROUP BY 1 ORDER BY g DESC, feature LIMIT 5)
+  SELECT feature, count(*) AS n, round(sum(feature_value), 4) AS total, round(sum(shap), 4) AS shap FROM shap JOIN g USING (feature) GROUP BY 1""")
+def explanation_report_tables(spark, sf_dir):
+    """The dependence tables of the five most important features, read back from the report."""
+    paths = row_attribution.report(shap_rows(spark, sf_dir), "vec_id", FEATURES, 0.0, new_path(spark, "explain"))
+    parts = [spark.read.parquet(p).select(F.lit(n.removeprefix("dependence_")).alias("feature"), "feature_value", "shap")
+             for n, p in paths.items() if n.startswith("dependence_")]
+    every = reduce(DataFrame.unionAll, parts)
+    return every.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("feature_value"), 4).alias("total"), F.round(F.sum("shap"), 4).alias("shap"))
+
+
 @query("explanation_report", f"WITH {SHAP_LONG} SELECT feature, round(avg(abs(shap)), 6) AS mean_shap FROM shap GROUP BY 1")
 def explanation_report(spark, sf_dir):
     paths = attribution.explanation_report(shap_long(spark, sf_dir), "vec_id", 0.0, new_path(spark, "explain"), dependence_n=2)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from catalog.base import EMB_LONG, FEATURES, ORDER_COMPOUNDS, embedding_wide, proxy, proxy_sql, query, table
 from catalog.cleaning import GAPS, GAPS_CTE, MESSY, NUMBERS, STATS_SQL, long_sql, messy, round_stats
 from propspark.columns import array_to_long
-from propspark.operators import cleaning, profile
+from propspark.operators import cleaning, profile, sketches
 from propspark.operators.quantiles import column_quantiles
 
 LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -30,6 +30,24 @@ def describe(spark, sf_dir):
     return round_stats(profile.describe(table(spark, sf_dir, "lineitem"), LINE_NUM))
 
 
+@query("sketch_quantiles", f"""WITH long AS ({long_sql('lineitem', LINE_NUM)}) SELECT feature, count(value) AS n, true AS within, true AS counted FROM long GROUP BY 1""")
+def sketch_quantiles(spark, sf_dir):
+    """Quartiles and distinct counts from merged sketches of two halves of the table, held against all rows: rank error at most
+    a hundredth, distinct values within a tenth."""
+    df = table(spark, sf_dir, "lineitem")
+    halves = [df.where(F.col("l_orderkey") % 2 == i) for i in (0, 1)]
+    state = sketches.merge(*[sketches.build(h, LINE_NUM, 0.01) for h in halves])
+    q = sketches.quantiles(state, [0.25, 0.5, 0.75])
+    counts = {r.feature: r["distinct"] for r in sketches.distinct_counts(state).collect()}
+    rows = []
+    for c in LINE_NUM:
+        aggs = [F.count_if(F.col(c) < v).alias(f"lo{i}") for i, v in enumerate(q[c])] + [F.count_if(F.col(c) <= v).alias(f"hi{i}") for i, v in enumerate(q[c])]
+        r = df.agg(F.count(c).alias("n"), F.count_distinct(c).alias("d"), *aggs).first()
+        within = all(r[f"lo{i}"] / r.n - 0.01 <= p <= r[f"hi{i}"] / r.n + 0.01 for i, p in enumerate((0.25, 0.5, 0.75)))
+        rows.append((c, r.n, within, abs(counts[c] - r.d) <= 0.1 * r.d))
+    return spark.createDataFrame(rows, "feature string, n bigint, within boolean, counted boolean")
+
+
 @query("value_counts", "SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY 1")
 def value_counts(spark, sf_dir):
     return profile.value_counts(table(spark, sf_dir, "orders"), "o_orderpriority")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from propspark.columns import (
     FLOATING, WIDE_AGG_LIMIT, clean_double, numeric_columns, present, require_columns, string_columns, to_long,
 )
+from propspark.operators import sketches
 from propspark.operators.outlier_bounds import iqr_bounds, zscore_parameters
 from propspark.operators.quantiles import column_quantiles
 from propspark.session import materialize
@@ -92,12 +93,18 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {r["feature"]: r["top"]["value"] for r in top.collect()}
 
 
-def impute(df: DataFrame) -> DataFrame:
-    """Median for numeric columns and mode for string columns that have gaps."""
+def impute(df: DataFrame, accuracy: float | None = None) -> DataFrame:
+    """Median for numeric columns and mode for string columns that have gaps.
+
+    Medians are exact, or with ``accuracy`` within that share of the ranks, from one scan for all columns.
+    """
     numeric, text = numeric_columns(df), string_columns(df)
     gaps = missing_counts(df, numeric + text)
     holes = [c for c in numeric if gaps[c]]
-    medians = {c: q[0] for c, q in column_quantiles(df, holes, [0.5]).items()}
+    if accuracy is None:
+        medians = {c: q[0] for c, q in column_quantiles(df, holes, [0.5]).items()}
+    else:
+        medians = {c: q[0] for c, q in sketches.quantiles(sketches.build(df, holes, accuracy), [0.5]).items()} if holes else {}
     modes = column_modes(df, [c for c in text if gaps[c]])
     fills: dict[str, Column] = {}
     for c, v in medians.items():

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from propspark.columns import require_columns
 from propspark.functions import formulas, smiles as sm
+from propspark.operators.graph_distances import SOURCES, distance_sums
 from propspark.session import materialize
 
 # fixed values: fingerprint sizes, feature-name groups
@@ -20,9 +21,6 @@ PHYSICOCHEMICAL = (
     "NumRotatableBonds", "NumRings", "NumAromaticRings",
 )
 
-LARGEST_GRAPH = 20_000  # bonds of a molecule that is walked in memory
-SOURCES_PER_CHUNK = 256  # starting atoms per task row
-
 
 def key_bits(text: Column, patterns: Sequence[str], slots: int = KEY_BITS) -> Column:
     """Positions (from 0) of the patterns that occur in the text, as an array."""
@@ -165,96 +163,18 @@ def zagreb_index(bonds: DataFrame, atoms: DataFrame | None = None) -> DataFrame:
             .select("mol_id", F.coalesce("zagreb", "_z").alias("zagreb")))
 
 
-def _distance_sum():
-    per_chunk = SOURCES_PER_CHUNK
-
-    @F.pandas_udf("long")
-    def distance_sum(src: pd.Series, dst: pd.Series, chunk: pd.Series) -> pd.Series:
-        def one(a, b, c) -> int:
-            near: dict = {}
-            for x, y in zip(a, b):
-                near.setdefault(x, set()).add(y)
-                near.setdefault(y, set()).add(x)
-            total = 0
-            for start in sorted(near)[c * per_chunk:(c + 1) * per_chunk]:
-                seen, front, depth = {start}, [start], 0
-                while front:
-                    depth += 1
-                    front = list({v for u in front for v in near[u] if v not in seen})
-                    seen.update(front)
-                    total += depth * len(front)
-            return total
-
-        return pd.Series([one(a, b, c) for a, b, c in zip(src, dst, chunk)])
-
-    return distance_sum
-
-
-def wiener_index(bonds: DataFrame, atoms: DataFrame | None = None, largest: int = LARGEST_GRAPH) -> DataFrame:
-    """Sum of shortest path lengths over unordered atom pairs, per molecule.
-
-    A plausible molecule (at most 5000 mass units) has a few thousand atoms, so its
-    bonds fit one row. The starting atoms are cut into chunks that run as separate
-    rows, so a large molecule spreads over tasks; a chunk returns one number and no
-    pair is ever written. Graphs above ``largest`` bonds are beyond any valid
-    molecule; they are expanded level by level with joins keyed on (molecule,
-    source, atom). Pairs without a path add 0.
+def wiener_index(bonds: DataFrame, atoms: DataFrame | None = None, sources: int = SOURCES) -> DataFrame:
+    """Sum of shortest path lengths over unordered atom pairs, per molecule; with an atoms table, bond-free molecules give 0.
+
+    All molecules go one way (see ``graph_distances``); ``sources`` is the number of starting atoms that one task row searches from.
     """
-    bonds = bonds.select("mol_id", "src", "dst").where("src <> dst")
-    sizes = bonds.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_bonds"))
-    big = sizes.where(F.col("n_bonds") > largest)
-    has_big = bool(big.take(1))
-    rest = bonds.join(big, "mol_id", "left_anti") if has_big else bonds
-    lists = rest.groupBy("mol_id").agg(F.collect_list("src").alias("s"), F.collect_list("dst").alias("d"))
-    # a graph has at most twice as many atoms as bonds; chunks past the last atom add 0
-    last = F.floor((F.size("s") * 2 - 1) / SOURCES_PER_CHUNK).cast("int")
-    chunks = lists.select("mol_id", "s", "d", F.explode(F.sequence(F.lit(0), last)).alias("c"))
-    out = (
-        chunks.repartition("mol_id", "c").select("mol_id", _distance_sum()("s", "d", "c").alias("part"))
-        .groupBy("mol_id").agg((F.sum("part") / 2).cast("long").alias("wiener"))
-    )
-    if has_big:
-        out = out.unionByName(_wiener_by_joins(bonds.join(big.select("mol_id"), "mol_id", "left_semi")))
+    out = distance_sums(bonds.select("mol_id", "src", "dst"), sources)
     if atoms is None:
         return out
     return (atoms.groupBy("mol_id").agg(F.lit(0).cast("long").alias("_z")).join(out, "mol_id", "left")
             .select("mol_id", F.coalesce("wiener", "_z").alias("wiener")))
 
 
-def _wiener_by_joins(bonds: DataFrame) -> DataFrame:
-    """Breadth-first levels from every atom at once.
-
-    In an undirected graph the next level borders only on the current and the
-    previous one, so two anti-joins keep each (source, atom) pair at its shortest
-    distance. A level is written out before the next is built; only its sum stays.
-    """
-    edges = materialize(_both_ways(bonds).distinct(), "edges")
-    front = edges.select("mol_id", F.col("a").alias("s"), F.col("b").alias("v"))
-    last = edges.select("mol_id", F.col("a").alias("s"), F.col("a").alias("v")).distinct()
-    levels, depth = [], 1
-    while True:
-        front = materialize(front, f"level{depth}")
-        if not front.take(1):
-            break
-        levels.append(front.groupBy("mol_id").agg((F.count(F.lit(1)) * depth).alias("part")))
-        step = (
-            front.withColumnRenamed("v", "a").join(edges, ["mol_id", "a"])
-            .select("mol_id", "s", F.col("b").alias("v")).distinct()
-        )
-        nxt = step.join(front, ["mol_id", "s", "v"], "left_anti").join(last, ["mol_id", "s", "v"], "left_anti")
-        last, front, depth = front, nxt, depth + 1
-        if len(levels) % 20 == 0:  # keep the union short on long chains
-            levels = [materialize(_add_up(levels), "sums")]
-    return _add_up(levels).select("mol_id", (F.col("part") / 2).cast("long").alias("wiener"))
-
-
-def _add_up(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("mol_id").agg(F.sum("part").alias("part"))
-
-
 def _h32(*parts: Column) -> Column:
     """32-bit hash of the parts as a non-negative long."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")

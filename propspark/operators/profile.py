@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +18,7 @@ from propspark.session import small_table
 
 STATS = ("feature", "count", "mean", "std", "min", "max", "missing", "missing_pct", "skewness", "kurtosis")
 BLOCK = 64  # columns of one block of a matrix of pairs
+MERGED_AT_ONCE = 64  # parts in which the tasks' moments of a pair of blocks are merged first
 
 
 def profile_long(long: DataFrame) -> DataFrame:
@@ -59,9 +61,25 @@ def target_counts(df: DataFrame, targets: Sequence[str]) -> DataFrame:
         [(t, row[f"n{i}"], row["total"]) for i, t in enumerate(targets)], "target string, present long, total long")
 
 
-def problem_type(df: DataFrame, target: str, max_classes: int = 10) -> tuple[str, int]:
-    """``classification`` when the target has few distinct values, and their number."""
-    distinct = df.where(F.col(target).isNotNull()).select(F.count_distinct(target)).first()[0]
+def target_kind(df: DataFrame, target: str, max_classes: int = 10) -> str:
+    """``classification`` when the target has at most ``max_classes`` distinct values, else ``regression``.
+
+    Looks for one value more than that: tasks pass on at most so many, whatever the table holds.
+    """
+    seen = df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1)
+    return "classification" if len(seen.collect()) <= max_classes else "regression"
+
+
+def problem_type(df: DataFrame, target: str, max_classes: int = 10, accuracy: float | None = None) -> tuple[str, int]:
+    """``classification`` when the target has few distinct values, and their number.
+
+    With ``accuracy`` (relative standard deviation, at least 0.001) the number of a target with many values is a
+    HyperLogLog estimate; the kind is exact either way.
+    """
+    values = df.where(F.col(target).isNotNull())
+    if accuracy is not None and target_kind(df, target, max_classes) == "regression":
+        return "regression", values.select(F.approx_count_distinct(target, accuracy)).first()[0]
+    distinct = values.select(F.count_distinct(target)).first()[0]
     return ("classification" if distinct <= max_classes else "regression"), distinct
 
 
@@ -151,8 +169,8 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], others: Sequence[st
     """``i, j, r`` of all pairs of a column and a later one (or of a column and one of ``others``), in one pass.
 
     Rows that lack a value drop out pair by pair; ``r`` is null where it is undefined. Each task sums the products of its
-    rows block of columns by block of columns; the blocks' moments meet by block pair, so neither the
-    pairs nor the matrix pass through one task or the driver.
+    rows block of columns by block of columns; the blocks' moments meet by block pair, first in parts by task number and then
+    the parts, so neither the pairs nor the matrix nor all tasks' moments of a pair pass through one task or the driver.
     """
     columns, others_ = list(columns), list(columns if others is None else others)
     every = list(dict.fromkeys([*columns, *others_]))
@@ -175,10 +193,33 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], others: Sequence[st
             for k, (i, j) in enumerate(pairs):
                 got = _block_sums(x - around, left[i], right[j])
                 total[k] = total[k] + got if k in total else got
+        task = TaskContext.get().partitionId()
         for k, got in total.items():
             i, j = pairs[k]
-            data = _as_moments(got, around[left[i]], around[right[j]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["pair", "moments"])
+            yield moved(k, task % MERGED_AT_ONCE, _as_moments(got, around[left[i]], around[right[j]]))
+
+    def moved(k: int, part: int, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["pair", "part", "moments"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Moments of neighbouring rows of one pair and part together."""
+        now, held = None, None
+        for batch in batches:
+            for k, part, data in zip(*(batch.column(c).to_pylist() for c in ("pair", "part", "moments"))):
+                m = np.frombuffer(data).reshape(6, len(left[pairs[k][0]]), len(right[pairs[k][1]]))
+                if (k, part) == now:
+                    held = _merged(held, m)
+                    continue
+                if held is not None:
+                    yield *now, held
+                now, held = (k, part), m
+        if held is not None:
+            yield *now, held
+
+    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, _, m in merged(batches):
+            yield moved(k, 0, m)
 
     def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(k: int, m: np.ndarray) -> pa.RecordBatch:
@@ -192,22 +233,12 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], others: Sequence[st
                 [pa.array(a[keep], pa.int32()), pa.array(b[keep], pa.int32()), pa.array(np.clip(r[keep], -1, 1), pa.float64(), mask=bad[keep])],
                 names=["i", "j", "r"])
 
-        now, held = None, None
-        for batch in batches:
-            for k, data in zip(batch.column("pair").to_pylist(), batch.column("moments").to_pylist()):
-                i, j = pairs[k]
-                m = np.frombuffer(data).reshape(6, len(left[i]), len(right[j]))
-                if k == now:
-                    held = _merged(held, m)
-                    continue
-                if held is not None:
-                    yield result(now, held)
-                now, held = k, m
-        if held is not None:
-            yield result(now, held)
+        for k, _, m in merged(batches):
+            yield result(k, m)
 
-    parts = rows.mapInArrow(sums, "pair int, moments binary")
-    return parts.repartition("pair").sortWithinPartitions("pair").mapInArrow(correlate, "i int, j int, r double")
+    kind = "pair int, part int, moments binary"
+    parts = rows.mapInArrow(sums, kind).repartition("pair", "part").sortWithinPartitions("pair", "part").mapInArrow(first_level, kind)
+    return parts.repartition("pair").sortWithinPartitions("pair", "part").mapInArrow(correlate, "i int, j int, r double")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:

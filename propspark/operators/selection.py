@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -10,16 +11,18 @@ import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, PCAModel, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector, MatrixUDT, VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
 from propspark.errors import DataError
 from propspark.functions import moments
-from propspark.operators.profile import correlations
+from propspark.operators.profile import pair_correlations
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges, with_edges
 from propspark.operators.split_scale import Scaler, fit_scaler
-from propspark.session import materialize
+from propspark.session import materialize, new_path
 
 METHODS = ("variance", "correlation", "mutual_info", "f_statistic", "rfe", "pca", "combined")
 NEEDS_TARGET = ("mutual_info", "f_statistic", "rfe")
@@ -43,9 +46,10 @@ def keep_uncorrelated(df: DataFrame, features: Sequence[str], threshold: float =
     """Drop a column when any earlier one (kept or not) correlates above the threshold."""
     if not features:
         return []
-    with np.errstate(invalid="ignore"):
-        above = np.triu(np.abs(correlations(df, features)) > threshold, 1)  # an undefined value is not above
-    return [c for c, drop in zip(features, above.any(axis=0)) if not drop]
+    # judged where the pairs are: a number for each dropped column is all that comes back; an undefined value is not above
+    above = pair_correlations(df, features).where(F.abs("r") > threshold).select("j").distinct().collect()
+    dropped = {r["j"] for r in above}
+    return [c for j, c in enumerate(features) if j not in dropped]
 
 
 def bin_edges(long: DataFrame, bins: int, binning: str) -> dict[str, list[float]]:
@@ -176,6 +180,22 @@ class PcaModel:
         return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(self.explained)], "component int, variance double")
 
 
+def _first_components(spark: SparkSession, model: PCAModel, k: int) -> PCAModel:
+    """The model of the first ``k`` components, by way of its saved form: rows are then multiplied with these only."""
+    loadings = model.pc.toArray()
+    if k >= loadings.shape[1]:
+        return model
+    whole, part = new_path(spark, "pca"), new_path(spark, "components")
+    model.write().save(whole)
+    meta = json.loads(spark.read.text(f"{whole}/metadata").first()["value"])
+    meta["paramMap"]["k"] = k
+    row = (DenseMatrix(loadings.shape[0], k, loadings[:, :k].ravel("F").tolist()), DenseVector(model.explainedVariance.toArray()[:k]))
+    held = spark.createDataFrame([row], StructType([StructField("pc", MatrixUDT()), StructField("explainedVariance", VectorUDT())]))
+    held.coalesce(1).write.parquet(f"{part}/data")
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{part}/metadata")
+    return PCAModel.load(part)
+
+
 def _standardised(df: DataFrame, scaler: Scaler, carry: Sequence[str] = ()) -> DataFrame:
     """The scaled vector; a missing value stands at its column's mean."""
     return df.select(*carry, array_to_vector(F.array(*[
@@ -198,7 +218,7 @@ def fit_pca(df: DataFrame, features: Sequence[str], k: int | None = None, varian
     loadings = full.pc.toArray()[:, :k]
     size = np.abs(loadings)
     peak = loadings[(size >= size.max(axis=0) * (1 - 1e-9)).argmax(axis=0), range(loadings.shape[1])]
-    return PcaModel(scaler, full, [1.0 if x >= 0 else -1.0 for x in peak], [float(x) for x in explained])
+    return PcaModel(scaler, _first_components(df.sparkSession, full, k or len(features)), [1.0 if x >= 0 else -1.0 for x in peak], [float(x) for x in explained])
 
 
 @dataclass

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from propspark.columns import WIDE_AGG_LIMIT, clean_double, to_long
 from propspark.errors import DataError
 from propspark.functions.hashing import keyed_long, keyed_uniform
+from propspark.operators import sketches
 from propspark.operators.quantiles import column_quantiles
 
 SCALERS = ("standard", "minmax", "robust")
@@ -110,13 +111,18 @@ def _stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     return {r["feature"]: (r["m"], r["s"], r["a"], r["b"]) for r in got.collect()}
 
 
-def fit_scaler(train: DataFrame, columns: Sequence[str], kind: str = "standard") -> Scaler:
-    """``standard`` (mean, population std), ``minmax`` or ``robust`` (median, IQR); a zero scale becomes 1."""
+def fit_scaler(train: DataFrame, columns: Sequence[str], kind: str = "standard", accuracy: float | None = None) -> Scaler:
+    """``standard`` (mean, population std), ``minmax`` or ``robust`` (median, IQR); a zero scale becomes 1.
+
+    The quantiles of ``robust`` are exact, or with ``accuracy`` within that share of the ranks, from one scan.
+    """
     if kind not in SCALERS:
         raise ValueError(f"unknown scaler: {kind}")
     columns = list(columns)
     if kind == "robust":
-        q = column_quantiles(train, columns, [0.25, 0.5, 0.75])
+        probs = [0.25, 0.5, 0.75]
+        q = (column_quantiles(train, columns, probs) if accuracy is None or not columns
+             else sketches.quantiles(sketches.build(train, columns, accuracy), probs))
         pairs = {c: (v[1], None if v[1] is None else v[2] - v[0]) for c, v in q.items()}
     else:
         st = _stats(train, columns)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from propspark.functions import formulas, smiles as sm
 from propspark.operators.cleaning import dedup_by_key
 from propspark.operators.joins import lookup_synonyms
+from propspark.session import materialize
 from propspark.sources.tables import require_rows, write_csv
 
 def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None = None, min_mass: float = 50.0,
@@ -39,7 +40,11 @@ def assemble_compounds(batches: Sequence[DataFrame], synonyms: DataFrame | None
         "boiling_point": formulas.boiling_point(mw, lp, hba, hbd, F.col("rotatable_bonds"), key, noise_sd[0], seed),
         "solubility": formulas.solubility_mol_per_l(mw, lp, hba, hbd, F.col("tpsa"), key, noise_sd[1], seed),
     })
+    if fail_if_empty:
+        df = require_rows(df, "no compounds were collected")
+    elif output_path:
+        df = materialize(df, "compounds")  # written for the file, then read again by the caller
     if output_path:
         flat = [F.array_join(c, "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
         write_csv(df.select(*flat), output_path)
-    return require_rows(df, "no compounds were collected") if fail_if_empty else df
+    return df

@@ -13,6 +13,7 @@ from propspark.columns import require_columns
 from propspark.errors import DataError
 from propspark.functions import smiles as sm
 from propspark.operators.cleaning import drop_missing
+from propspark.session import materialize
 from propspark.operators.descriptors import FINGERPRINT_PREFIXES, attach_heuristic_targets
 
 # fixed values: source property names, our column names and types
@@ -98,6 +99,7 @@ def _envelopes(spark: SparkSession, path: str, schema: str, items: str, multi_li
 
 
 PROPERTIES = ("PropertyTable struct<Properties: array<map<string,string>>>", "PropertyTable.Properties")
+IDENTIFIERS = ("IdentifierList struct<CID: array<string>>", "IdentifierList.CID")
 INFORMATION = ("InformationList struct<Information: array<struct<CID: string, Synonym: string>>>", "InformationList.Information")
 
 
@@ -145,10 +147,14 @@ def read_synonym_json(spark: SparkSession, path: str, keep: int = SYNONYMS_KEPT,
     return item.select(_number(F.col("i.CID"), "bigint").alias("cid"), F.slice(names, 1, keep).alias("synonyms"))
 
 
-def read_id_json(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """``pos, cid``: the first ``n`` ids of each landed search result, in document order."""
-    raw = spark.read.schema("term string, IdentifierList struct<CID: array<bigint>>").json(path)
-    return raw.select("term", F.posexplode(F.slice("IdentifierList.CID", 1, n)).alias("pos", "cid"))
+def read_id_json(spark: SparkSession, path: str, n: int, multi_line: bool = False) -> DataFrame:
+    """``term, pos, cid``: the first ``n`` ids of each landed search result, in document order; one to a line or to a file.
+
+    Ids may be written as text. What cannot be read is in ``broken_envelopes(..., kind=IDENTIFIERS)``.
+    """
+    found = _envelopes(spark, path, *IDENTIFIERS, multi_line).select(F.get_json_object("value", "$.term").alias("term"), "items")
+    ids = found.select("term", F.posexplode(F.slice("items", 1, n)).alias("pos", "id"))
+    return ids.select("term", "pos", _number(F.col("id"), "bigint").alias("cid"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -178,6 +184,8 @@ def write_metrics_report(spark: SparkSession, path: str, metrics: DataFrame, **f
 
 
 def require_rows(df: DataFrame, message: str = "no rows left") -> DataFrame:
-    if not df.take(1):
+    """The rows of ``df``, written once so that looking for a first one does not run it a second time; an error if there are none."""
+    held = materialize(df, "rows")
+    if held.isEmpty():
         raise DataError(message)
-    return df
+    return held

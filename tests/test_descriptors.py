@@ -72,8 +72,8 @@ def bonds(spark):
 
 
 def test_graph_indices(spark):
-    for largest in (20_000, 2):  # in memory and by joins
-        got = {r["mol_id"]: r["wiener"] for r in descriptors.wiener_index(bonds(spark), largest=largest).collect()}
+    for sources in (64, 256):
+        got = {r["mol_id"]: r["wiener"] for r in descriptors.wiener_index(bonds(spark), sources=sources).collect()}
         assert got == {m: w for m, (_, _, w) in GRAPHS.items()}
     got = {r["mol_id"]: r["zagreb"] for r in descriptors.zagreb_index(bonds(spark)).collect()}
     assert got == {m: z for m, (_, z, _) in GRAPHS.items()}
@@ -88,6 +88,43 @@ def test_long_path_and_lonely_atom(spark):
     assert got == {1: n * (n * n - 1) // 6, 2: 2, 3: 0}
 
 
+def plain_distance_sum(edges):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    total = 0
+    for start in near:
+        seen, front, depth = {start}, {start}, 0
+        while front:
+            depth += 1
+            front = {v for x in front for v in near[x]} - seen
+            seen |= front
+            total += depth * len(front)
+    return total // 2
+
+
+def test_distance_sums_of_random_graphs(spark):
+    """Trees, rings, rings with chains, several components, repeated bonds and loops, many molecules in a batch."""
+    rng, rows, want = random.Random(9), [], {}
+    for m in range(60):
+        n = rng.choice([2, 3, 5, 12, 40, 90])
+        edges = [(i, rng.randrange(i)) for i in range(1, n) if rng.random() < 0.95]
+        edges += [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([0, 0, 1, 3, n // 4]))]
+        edges += edges[:1]
+        rows += [(m, 1000 * a + 7, 1000 * b + 7) for a, b in edges]
+        if any(a != b for a, b in edges):
+            want[m] = plain_distance_sum(edges)
+    ring = [(i, (i + 1) % 700) for i in range(700)]  # more starting atoms than a task row searches from
+    rows += [(99, a, b) for a, b in ring]
+    want[99] = 700 * 350 * 350 // 2
+    df = spark.createDataFrame(rows, "mol_id int, src long, dst long")
+    for sources in (64, 256):
+        assert {r["mol_id"]: r["wiener"] for r in descriptors.wiener_index(df, sources=sources).collect()} == want
+    assert descriptors.wiener_index(df.limit(0)).count() == 0
+
+
 def graph_tables(spark, rename=None, shuffle=None):
     atoms, edges = [], []
     for m, (e, _, _) in GRAPHS.items():

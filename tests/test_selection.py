@@ -116,3 +116,26 @@ def test_pca_auto_components_and_stored_scaling(spark):
     whole = sel.transform(df, ["y"]).toPandas().set_index("y")
     part = sel.transform(df.limit(5), ["y"]).toPandas().set_index("y")
     np.testing.assert_allclose(whole.loc[part.index].to_numpy(), part.to_numpy())
+
+
+def test_many_columns_with_gaps_are_judged_where_the_pairs_are(spark):
+    """500 columns, every tenth a copy of an earlier one with gaps: what comes back is a number for each dropped column."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 500))
+    for j in range(9, 500, 10):
+        x[:, j] = 2 * x[:, j - 5] + 1
+        x[rng.choice(60, 5, replace=False), j] = np.nan
+    names = [f"c{i:03d}" for i in range(500)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(7)
+    assert selection.keep_uncorrelated(df, names, 0.999) == [c for i, c in enumerate(names) if i % 10 != 9]
+
+
+def test_components_kept_are_the_first_of_all(spark):
+    rng = np.random.default_rng(13)
+    f = pd.DataFrame(rng.normal(size=(80, 6)) @ rng.normal(size=(6, 6)), columns=list("abcdef"))
+    df = spark.createDataFrame(f)
+    whole, part = selection.fit_pca(df, list("abcdef"), k=6), selection.fit_pca(df, list("abcdef"), variance_ratio=0.8)
+    k = len(part.names)
+    assert 0 < k < 6 and part.model.getK() == k
+    got = part.transform(df).toPandas().to_numpy()
+    np.testing.assert_allclose(got, whole.transform(df).toPandas().to_numpy()[:, :k], atol=1e-9)

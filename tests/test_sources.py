@@ -98,3 +98,11 @@ def test_assembly(spark):
 def test_slim(spark):
     df = spark.range(2).withColumn("Morgan_1", F.lit(0)).withColumn("MACCS_2", F.lit(0)).withColumn("MolWt", F.lit(1.0))
     assert tables.slim(df).columns == ["id", "MolWt"]
+
+
+def test_broken_id_lists(spark):
+    """Numbers as text, ids that are none, and envelopes that cannot be read."""
+    path = land(spark, ['{"term":"x","IdentifierList":{"CID":["5",6,"seven"]}}', '{"Fault":{}}', '{"IdentifierList":{"CID":[1'])
+    assert [(r.pos, r.cid) for r in tables.read_id_json(spark, path, 9).orderBy("pos").collect()] == [(0, 5), (1, 6), (2, None)]
+    bad = tables.broken_envelopes(spark, path, tables.IDENTIFIERS).collect()
+    assert sorted(r.reason for r in bad) == ["no IdentifierList.CID", "not JSON"]
