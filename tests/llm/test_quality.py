@@ -79,3 +79,33 @@ def test_clean_lines_stay(spark):
     got = {r.doc_id: (r.n_bad_lines, r.kept) for r in quality.measure(df).collect()}
     assert [got[i] for i in range(len(stay))] == [(0, True)] * len(stay)
     assert [got[i][0] for i in range(len(stay), len(got))] == [1] * len(go)
+
+
+def test_sql_says_the_same_on_odd_lines(spark):
+    """Scripts without sentence marks, their own marks, phrases beside each other, after articles, inside words, in long lines."""
+    import duckdb
+
+    prose = "The keeper of the small lighthouse wrote down every ship, and nobody ever read what it said."
+    lines = [
+        "\u0e19\u0e35\u0e48 \u0e04\u0e37\u0e2d \u0e1b\u0e23\u0e30\u0e42\u0e22\u0e04 \u0e22\u0e32\u0e27 \u0e21\u0e32\u0e01", "\u092f\u0939 \u090f\u0915 \u0938\u0930\u0932 \u0935\u093e\u0915\u094d\u092f \u0939\u0948\u0964",
+        "cookies javascript", "cookies, javascript; copyright", "Cookie-Cookie cookies", "a sign in", "A SIGN IN the hall", "visa log in", "please Sign in", "sign  in",
+        "sign inside", "catalog in", "copyrighted", "xcookie", "cookie9", "\u00e9cookie", "terms of use and terms of service", "terms of  use", "LICENSED UNDER", "licenced under x",
+        prose + " cookie", prose + " all rights reserved click here subscribe", "no log in, no sign in", "click here now please, sir or madam, thank you very much indeed",
+        "Home | News", "Home | News | About | Contact", "a :: b :: c :: d", "wow!! what?? this|| is<< so>> odd##", "", "   ", "one two three four five", "five words with one mark.",
+    ]
+    rng = random.Random(4)
+    texts = [None, "", *lines, *("\n".join(rng.choice(lines + [prose]) for _ in range(rng.randint(1, 9))) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    columns = ["doc_id", *quality.COUNTS, "n_lines", "n_bad_lines", "line_chars", "lost_chars", "base_failed", "kept"]
+    got = [tuple(r) for r in quality.measure(df).select(*columns).orderBy("doc_id").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({quality.MEASURE_SQL}) ORDER BY doc_id").fetchall()
+    assert got == want
+
+
+def test_rules_stand_once_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
+    plan = quality.clean(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("all rights") == 1 and plan.count("2CF9") == 1
