@@ -355,3 +355,35 @@ def prefix_trie(sequences: DataFrame, block_rows: int = BLOCK_ROWS, block_bytes:
     rest = every.filter("parent_owner IS NOT NULL").join(parents, ["parent_owner", "depth"], "left").withColumn("parent_conv", F.col("open_parent"))
     result = ["conv_id", "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     return every.filter("parent_owner IS NULL").select(*result).unionAll(rest.select(*result))
+
+
+#: The trie of ``op12`` as SQL: every prefix of every rebuilt conversation is a group of its own (CRC-32 by its table of 256 numbers).
+TRIE_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
+), ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+    lambda a, b: xor(a // 256, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crc
+), turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), sequences AS (SELECT c, list({'r': r, 'x': x} ORDER BY p) AS s FROM turns GROUP BY c),
+built AS (
+  SELECT h.c, list_concat(coalesce(b.s[1:h.h], []), o.s[h.h + 1:]) AS s
+  FROM h JOIN sequences o USING (c) LEFT JOIN sequences b ON b.c = h.c - h.c % 5
+), prefixes AS (SELECT c, d, s[1:d] AS node, len(s) = d AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends
+  FROM prefixes GROUP BY node, d
+), kids AS (SELECT node[1:d - 1] AS node, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+weighed AS (
+  SELECT n.*, coalesce(k, 0) AS k, CASE WHEN d > 0 THEN (n - 1) * strlen(node[d].x) ELSE 0 END AS w FROM nodes n LEFT JOIN kids USING (node)
+), above AS (
+  SELECT node[1:e] AS node, sum(w) AS saved, count(*) FILTER (k = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM weighed) GROUP BY 1
+)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n AS n_convs, w.k AS n_children, a.leaves AS n_leaves,
+  a.saved::BIGINT AS saved_tokens, w.ends AS ends_sha256
+FROM weighed w JOIN above a USING (node) LEFT JOIN nodes p ON w.d > 0 AND p.node = w.node[1:w.d - 1]
+"""

@@ -106,7 +106,7 @@ def trie_of(turns: DataFrame) -> DataFrame:
     return prefix_trie.prefix_trie(shared)
 
 
-@query("op12_sparse_table_trie")
+@query("op12_sparse_table_trie", prefix_trie.TRIE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All prefixes of all conversations."""
     return trie_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
