@@ -44,7 +44,7 @@ def stream_every_row(spark, sf_dir):
     jobs.run_to_end(jobs.collect_every_row(events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), out, "event_id", "ts"))
     stored = [jobs.collected(spark, out, s).agg(F.count(F.lit(1)).alias(s)) for s in ("kept", "repeat")]
     counts = jobs.collected_counts(spark, out).select("rows_in", "late")
-    return counts.withColumns({c: F.lit(d.first()[0]) for c, d in zip(("kept", "repeat"), stored)}).select("rows_in", "kept", "repeat", "late")
+    return counts.withColumns({c: F.lit(d.first()[0]).cast("bigint") for c, d in zip(("kept", "repeat"), stored)}).select("rows_in", "kept", "repeat", "late")
 
 
 @query("stream_counts", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2")

@@ -312,3 +312,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         kind = docs.schema["n_chars"].dataType.simpleString()
         out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in names])
+
+
+#: The counts of ``op10`` as SQL: windows of items and documents meet as lists of words.
+FIND_SQL = r"""
+WITH text_words AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id, doc_id, text FROM documents UNION ALL SELECT 'i', item_id::VARCHAR, NULL, text FROM benchmark
+), words AS (
+  SELECT side, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM text_words
+), item_windows AS (
+  SELECT DISTINCT id, s, w[i:i + s - 1] AS g
+  FROM (SELECT id, w, least(10, len(w)) AS s, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM words WHERE side = 'i' AND len(w) > 0)
+), sizes AS (SELECT DISTINCT s FROM item_windows),
+found AS (
+  SELECT d.doc_id, d.i, d.s, v.id
+  FROM (SELECT doc_id, s, i, w[i:i + s - 1] AS g FROM (
+    SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(w) >= s)) d
+  JOIN item_windows v ON v.g = d.g AND v.s = d.s
+), hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + s)) AS p FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM found) GROUP BY 1)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN items t ON t.doc_id = w.doc_id WHERE w.side = 'd'
+"""

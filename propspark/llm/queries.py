@@ -42,7 +42,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest)
 
 
-@query("op10_suffix_automaton")
+@query("op10_suffix_automaton", decontamination.FIND_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
