@@ -35,7 +35,7 @@ def proxy_sql(name: str, columns: dict[str, str]) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {name}"
 
 
-# test molecules, chosen by key
+# fixed values: acceptance molecules (the first ten), then texts that fail or have rarer syntax; chosen by key
 MOLECULES = (
     "CCO", "c1ccccc1", "CC(C)C", "CCN(CC)CC", "CC(=O)O", "CCCCCCCCCC", "c1ccc(cc1)O", "CC(C)CO", "CCCC(=O)O",
     "CC(C)(C)C", "XYZ123!!!", "[Na]", "CCO@#$", "N[C@@H](C)C(=O)O", "[NH4+].[Cl-]",

@@ -1,5 +1,6 @@
 """Small inputs with known answers."""
 
+# fixed acceptance values: molecules with measured properties, and counts of their texts
 MOLECULES = [
     (0, "CCO", 1.0, 78.4, 0), (1, "c1ccccc1", 0.02, 80.1, 2), (2, "CC(C)C", 0.005, -11.7, 1),
     (3, "CCN(CC)CC", 0.1, 89.0, 2), (4, "CC(=O)O", 0.8, 118.1, 1), (5, "CCCCCCCCCC", 0.001, 174.1, 0),
