@@ -215,7 +215,8 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
 
     ``vocabulary`` is a ``.tiktoken`` file with all 256 single bytes. Every text is split by the rank files' pattern and
     each match encoded separately, without special tokens. Null is the empty text: no ids. ``keep`` names the columns
-    of ``df`` that come back (all). Rows are independent; repeated rows get equal results.
+    of ``df`` that come back (all). Rows are independent; repeated rows get equal results, an empty table an empty one, and a
+    text is encoded whole, whatever its length (long words by a heap of merges).
     """
     spark, ranks = df.sparkSession, read_ranks(vocabulary)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_bytes

@@ -220,7 +220,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     of ``block_words`` words at a time (an item longer than that is a block alone), and every block is sent to
     the workers as an automaton's input: what is broadcast has a fixed bound, and a larger benchmark means more
     passes. Null texts have no words; items with a null id or no words have no windows; several rows of one id
-    count as one item. Repeated documents all stay. ``keep`` names the columns of ``docs`` that are wanted back (all).
+    count as one item. Repeated documents all stay; empty tables on either side are
+    allowed, and long texts are read whole. ``keep`` names the columns of ``docs`` that are wanted back (all).
     """
     clash = {"n_words", "n_hit", "items", "spans"} & set(docs.columns)
     if clash:

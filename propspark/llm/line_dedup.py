@@ -93,7 +93,8 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     a window of fewer lines that reach ``words`` words together while none does alone, which occurs earlier
     in the order of (key, text hash, line); null keys come first. Lines without a word are passed over and stay.
     Lines are compared whole, by 128 bits of hash. Rows equal in key and text are one document and
-    get equal results. Null text has no lines. Columns of ``df`` may have any names but the new ones.
+    get equal results. Null text has no lines; an empty table gives an empty result. A text is one row of lines, of
+    any number; time for a text grows with its lines times its runs. Columns of ``df`` may have any names but the new ones.
     """
     clash = {"n_lines", "n_removed_lines", "runs", "clean_text"} & set(df.columns)
     if clash:

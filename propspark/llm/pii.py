@@ -252,7 +252,8 @@ def replace_entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     names after a title or a known given name are replaced. The same unit gets the same surrogate in all documents, also
     when it is written differently (case, separators, a country prefix); different units get different ones. Cards that
     pass Luhn's check still do, country prefixes and issuer digits stay, names keep gender and script. Texts without an
-    entity stay as they are, null stays null. Repeated rows get equal results. Columns of ``df`` may have any other names.
+    entity stay as they are, null stays null. Repeated rows get equal results, an empty table gives an empty one. A text of any
+    length is searched whole. Columns of ``df`` may have any other names.
     """
     clash = {"n_entities", "kinds"} & set(df.columns)
     if clash:

@@ -114,7 +114,8 @@ def measure(df: DataFrame, text: str = "text", max_lost: int = 50) -> DataFrame:
     Lines are judged first and those that fail go (blank lines stay as they are); a document that loses more than
     ``max_lost`` per cent of its line characters is rejected, as is one of under ten words or with more than a fifth of
     its words in repeated five-word windows. Windows of one text are compared by 64-bit hashes. Null counts as empty:
-    no words, hence rejected. Every row is judged alone, so repeated rows get equal results. Columns of these
+    no words, hence rejected. Every row is judged alone and whole, so repeated rows get equal results; an empty
+    table gives an empty one. Columns of these
     names in ``df`` are an error.
     """
     added = [*COUNTS, "n_lines", "n_bad_lines", "line_chars", "lost_chars", "base_failed", "kept", "clean_text"]

@@ -304,7 +304,8 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", th
     the least key among all documents connected by such links, ``n_copies`` the documents with the same shingle
     set. ``stays`` marks one document of each class: the least (key, text digest), null keys first. Documents without
     words have no links and a class of their own (their key; null if it is null), and stay. Rows equal in key and
-    text share one result. A pair at the threshold is missed with a probability below 1e-6 by its bands and below
+    text share one result, an empty table gives an empty one, and texts of any length are compared by all of their
+    shingles. A pair at the threshold is missed with a probability below 1e-6 by its bands and below
     ``tolerance`` by the pruning, and not even then if other links put it in one cluster; what is found is exact.
     """
     kind = df.schema[key].dataType.simpleString()

@@ -351,7 +351,8 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, crow
 
     Removed is each byte of a text's UTF-8 covered by a string of ``length`` bytes that starts anywhere else
     too, in the same text (overlaps count) or another row; all copies go, judged on the input. What is left may cut a
-    character, so it is given as bytes. Null is the empty text. Repeated rows are copies of each other. ``keep`` names
+    character, so it is given as bytes. Null is the empty text. Repeated rows are copies of each other. Long texts
+    are cut into stretches that overlap by a string; an empty table gives an empty result. ``keep`` names
     the columns of ``df`` that come back.
     """
     keep = list(df.columns if keep is None else keep)
