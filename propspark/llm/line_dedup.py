@@ -131,7 +131,8 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
         "n_removed_lines": F.when(F.col("__cuts").isNull(), 0).otherwise(
             F.size("__lines") - F.size(kept)).cast("bigint"),
     })
-    return out.select(*[keyed[f"`{c}`"] for c in df.columns], "n_lines", "n_removed_lines", "runs", "clean_text")
+    # a filter on these columns must not be moved below them: all would be computed twice
+    return out.select(*[keyed[f"`{c}`"] for c in df.columns], F.inline(F.array(F.struct("n_lines", "n_removed_lines", "runs", "clean_text"))))
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES, words: int = WORDS) -> DataFrame:
