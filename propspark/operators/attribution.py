@@ -96,6 +96,12 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     return sums.select(F.col("_k").alias(key), label.alias("feature"), "shap")
 
 
+def has_tree_method(bundle: ModelBundle) -> bool:
+    """Whether the model is a tree ensemble of Spark ML, so that exact attributions exist."""
+    last = bundle.model.stages[-1]
+    return isinstance(last.models[0] if isinstance(last, OneVsRestModel) else last, TREE_MODELS)
+
+
 def explain(df: DataFrame, key: str, bundle: ModelBundle, background: DataFrame | None = None, background_key: str | None = None,
             method: str = "auto", label: int | None = None, **sizes) -> tuple[DataFrame, float | None]:
     """``key, feature, shap`` by the exact tree method or the kernel estimate, and the base value of a tree model.
@@ -105,10 +111,7 @@ def explain(df: DataFrame, key: str, bundle: ModelBundle, background: DataFrame
     """
     if method not in ("auto", "tree", "kernel"):
         raise ValueError(f"unknown method: {method}")
-    last = bundle.model.stages[-1]
-    if isinstance(last, OneVsRestModel):
-        last = last.models[0]
-    if method == "tree" or method == "auto" and isinstance(last, TREE_MODELS):
+    if method == "tree" or method == "auto" and has_tree_method(bundle):
         long, base = tree_shap(df, key, bundle, label)
         return long.select(key, "feature", "shap"), base
     if background is None:

@@ -82,7 +82,10 @@ def run_study(df: DataFrame, spec: RunSpec, output: str | None = None) -> RunRes
     top = best.where(F.col("target") == first).first()
     if spec.explain and top is not None:
         bundle = bundles[first, top["model_type"]]
-        result.attributions, result.base_value = attribution.tree_shap(test, spec.key, bundle)
+        if attribution.has_tree_method(bundle):
+            result.attributions, result.base_value = attribution.tree_shap(test, spec.key, bundle)
+        else:
+            result.attributions, result.base_value = attribution.explain(test, spec.key, bundle, train)
     if output:
         paths["table"] = f"{output}/features_slim"
         slim(df).write.mode("overwrite").parquet(paths["table"])
