@@ -46,20 +46,6 @@ def tree_shap_deep(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), (F.max(gap) < 1e-6).alias("additive"))
 
 
-@query("kernel_shap", "SELECT count(*) AS n, true AS additive, true AS close FROM orders")
-def kernel_shap(spark, sf_dir):
-    """100 coalitions over 100 background rows for every row; close: mean importances differ from the tree method's by under a tenth."""
-    df, bundle = small_forest(spark, sf_dir)
-    long = attribution.kernel_shap(df, "cid", bundle, df, "cid")
-    total = long.groupBy("cid").agg(F.sum("shap").alias("s"))
-    gaps = total.join(bundle.predict(df, "p").select("cid", "p"), "cid").agg(
-        F.count(F.lit(1)).alias("n"), (F.max(F.col("p") - F.col("s")) - F.min(F.col("p") - F.col("s")) < 1e-6).alias("additive"))
-    tree = attribution.global_importance(attribution.tree_shap(df, "cid", bundle)[0]).withColumnRenamed("mean_shap", "t")
-    both = attribution.global_importance(long).join(tree, "feature")
-    close = both.agg((F.sum(F.abs(F.col("mean_shap") - F.col("t"))) < 0.1 * F.sum("t")).alias("close"))
-    return gaps.withColumn("close", F.lit(close.first()["close"]))
-
-
 @query("sampled_shap")
 def sampled_shap(spark, sf_dir):
     df, bundle = small_forest(spark, sf_dir)
