@@ -11,7 +11,7 @@ from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier,
+    GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -119,6 +119,16 @@ def _importances(model, features: int) -> list[float]:
     return [found.get(f"f{i}", 0.0) / total for i in range(features)]
 
 
+def fit_model(estimator, table: DataFrame):
+    """The fitted model without its training summary.
+
+    The summary of a classification forest holds the session, which would go to the tasks with the model and cannot be
+    serialized once the session has, for example, observed a metric. A copy leaves it out.
+    """
+    model = estimator.fit(table)
+    return model.copy() if isinstance(model, RandomForestClassificationModel) else model
+
+
 @dataclass
 class ModelBundle:
     """A fitted model with everything needed to score raw columns."""
@@ -249,7 +259,7 @@ class ModelTrainer:
         classes = self._classes(table)
         best, fitted = self._search(table, key, grid, tune_rows, classes) if tune else (None, None)
         if fitted is None:
-            fitted = self.estimator(classes, **(best or {})).fit(table)
+            fitted = fit_model(self.estimator(classes, **(best or {})), table)
         bundle = ModelBundle(target, self.model_type, self.engine, self.problem_type, list(features),
                              PipelineModel([fitted]), scaler, best_params=best, ignored_params=list(self.ignored))
         bundle.metrics = bundle.evaluate(val if val is not None else train)
@@ -275,7 +285,7 @@ class ModelTrainer:
         maps = [p if self.engine == "xgboost" else _spark_params(self.engine, p)[0] for p in points]
 
         def fit(rows: DataFrame, params: dict):
-            return self._with(classes, params).fit(rows)
+            return fit_model(self._with(classes, params), rows)
 
         scores = grid_scores(table, maps, fit, self.problem_type, self.cv_folds)
         found = max(range(len(points)), key=lambda i: -math.inf if scores[i] is None else scores[i])
@@ -306,7 +316,7 @@ class ModelTrainer:
         classes = self._classes(table)
         rows = []
         for i in range(self.cv_folds):
-            fitted = self.estimator(classes).fit(table.where(F.col("fold") != i))
+            fitted = fit_model(self.estimator(classes), table.where(F.col("fold") != i))
             got = evaluate(fitted.transform(table.where(F.col("fold") == i)), "label", "prediction", self.problem_type)
             rows.append((i, got.first()[self.scoring]))
         return df.sparkSession.createDataFrame(rows, "fold int, score double")

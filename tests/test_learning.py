@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from propspark.errors import DataError, NotFittedError
 from propspark.operators import evaluation, learning, ranking
@@ -213,3 +213,12 @@ def test_learning_curve(spark):
     out = evaluation.learning_curve_summary(learning.learning_curve(t, df.where("id < 200"), df.where("id >= 200"), names, "target", "id", (0.3, 1.0)))
     assert out.where("train_size = 200").count() == 2
     assert all(30 < r["train_size"] < 90 for r in out.where("train_size < 200").collect())
+
+
+def test_class_forest_after_observed_metric(spark):
+    """What the session has done before does not reach the tasks with the model."""
+    df, names = classes(spark)
+    df.observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
+    b = learning.ModelTrainer("random_forest", "classification", SMALL).train(df, names, "target")
+    assert b.predict(df).count() == df.count() and b.metrics["accuracy"] > 0.7
+    assert not b.model.stages[-1].hasSummary
