@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from itertools import permutations
+
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from propspark.errors import DataError
 from propspark.functions import moments
@@ -13,6 +16,7 @@ from propspark.operators.learning import ModelBundle, feature_array
 from propspark.operators.quantiles import edges_upto, exact_quantiles, literal_edges
 from propspark.operators.ranking import sort_importance, top_features, top_per_row
 from propspark.operators.tree_shap import TREE_MODELS, add_tree_values, flat_trees
+from propspark.session import small_table
 
 # --- tree ensembles -------------------------------------------------------------------------
 
@@ -51,7 +55,9 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     ``background_rows`` rows. A step adds its prediction to the feature
     switched on and takes it from the next one, so one partial aggregate per
     (row, feature) finishes the job; contributions add up to the prediction minus
-    the mean background prediction of the samples.
+    the mean background prediction of the samples. Where fewer walks exist (orders
+    times background rows) than samples are drawn, equal walks of a row are walked
+    once and counted.
     """
     names = list(bundle.feature_names)
     p = len(names)
@@ -61,36 +67,59 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     zs = [list(r["z"]) for r in marks.orderBy("_h").limit(background_rows).collect()]
     if not zs:
         raise DataError("background rows are required")
-    bank = df.sparkSession.createDataFrame(list(enumerate(zs)), "_b int, z array<double>")
-
-    # every row becomes samples x (features + 1) predictions: spread rows evenly first
-    rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition(F.xxhash64("_k", "x"))
-    walks = rows.select(
-        "_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
-    text = F.concat_ws("#", F.col("_k").cast("string"), F.col("s").cast("string"), F.lit(str(seed)))
-    order = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(p - 1)),
-                                 lambda j: F.struct(F.xxhash64(text, j).alias("h"), j.alias("j")))),
-        lambda c: c["j"])
-    walks = walks.select(
-        "_k", "s", "x", order.alias("ord"), F.pmod(F.xxhash64(text, F.lit("row")), F.lit(len(zs))).cast("int").alias("_b"),
-    ).join(F.broadcast(bank), "_b")  # at most `background_rows` rows
+
+    # every row becomes up to samples x (features + 1) predictions: spread rows evenly first
+    # (over a number that is not made smaller: the rows are few bytes before they are multiplied)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition(parts, F.xxhash64("_k", "x"))
+    numbers = F.sequence(F.lit(0), F.lit(p - 1))
+
+    def drawn(s: Column) -> tuple[Column, Column]:
+        """Feature order and background row of a sample."""
+        text = F.concat_ws("#", F.col("_k").cast("string"), s.cast("string"), F.lit(str(seed)))
+        hashed = F.transform(numbers, lambda j: F.struct(F.xxhash64(text, j).alias("h"), j.alias("j")))
+        order = F.transform(F.array_sort(hashed), lambda c: c["j"])
+        return order, F.pmod(F.xxhash64(text, F.lit("row")), F.lit(len(zs))).cast("int")
+
+    if math.factorial(min(p, samples)) * len(zs) <= samples:
+        # fewer walks exist than samples are drawn: a row counts its samples for each walk and takes every walk once
+        orders = list(permutations(range(p)))
+        known = F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders])
+
+        def number(s: Column) -> Column:
+            order, at = drawn(s)
+            return (F.array_position(known, order).cast("int") - 1) * len(zs) + at
+
+        none = F.array_repeat(F.lit(0), len(orders) * len(zs))
+        drawn_walks = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), number)
+        times = F.aggregate(drawn_walks, none, lambda held, w: F.transform(held, lambda n, i: n + (i == w).cast("int")))
+        walks = rows.select("_k", "x", F.posexplode(times).alias("_w", "n")).where("n > 0")
+        ways = [(i * len(zs) + b, list(o), z) for i, o in enumerate(orders) for b, z in enumerate(zs)]
+        bank = small_table(df.sparkSession, ways, _w="int", ord="array<int>", z="array<double>")
+        walks = walks.join(F.broadcast(bank), "_w")  # at most `samples` rows
+    else:
+        bank = small_table(df.sparkSession, list(enumerate(zs)), _b="int", z="array<double>")
+        walks = rows.select("_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
+        order, at = drawn(F.col("s"))
+        walks = walks.select("_k", "x", order.alias("ord"), at.alias("_b"), F.lit(1).alias("n"))
+        walks = walks.join(F.broadcast(bank), "_b")  # at most `background_rows` rows
     # place of every feature in the order: computed once per walk, before the steps multiply the rows
-    rank = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.array_position("ord", j))
-    walks = walks.select("_k", "x", "z", "ord", rank.alias("rank"))
+    rank = F.transform(numbers, lambda j: F.array_position("ord", j))
+    walks = walks.select("_k", "x", "z", "n", "ord", rank.alias("rank"))
     steps = walks.select("*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("step"))
     mixed = F.transform("x", lambda v, j: F.when(F.get("rank", j) <= F.col("step"), v).otherwise(F.get("z", j)))
-    raw = steps.select("_k", "step", "ord", mixed.alias("v"))
+    raw = steps.select("_k", "step", "n", "ord", mixed.alias("v"))
     if bundle.scaler is not None:
         centers = F.array(*[F.lit(bundle.scaler.center.get(n, 0.0)) for n in names])
         scales = F.array(*[F.lit(bundle.scaler.scale.get(n, 1.0)) for n in names])
         raw = raw.withColumn("v", F.transform("v", lambda v, j: (v - F.get(centers, j)) / F.get(scales, j)))
-    scored = bundle.model.transform(raw.withColumn("features", array_to_vector("v"))).select("_k", "step", "ord", "prediction")
-    parts = F.array_compact(F.array(
-        F.when(F.col("step") >= 1, F.struct(F.element_at("ord", F.greatest(F.col("step"), F.lit(1))).alias("j"), F.col("prediction").alias("d"))),
-        F.when(F.col("step") < p, F.struct(F.element_at("ord", F.least(F.col("step") + 1, F.lit(p))).alias("j"), (-F.col("prediction")).alias("d"))),
+    scored = bundle.model.transform(raw.withColumn("features", array_to_vector("v"))).select(
+        "_k", "step", "ord", (F.col("n") * F.col("prediction")).alias("d"))
+    shares = F.array_compact(F.array(
+        F.when(F.col("step") >= 1, F.struct(F.element_at("ord", F.greatest(F.col("step"), F.lit(1))).alias("j"), F.col("d"))),
+        F.when(F.col("step") < p, F.struct(F.element_at("ord", F.least(F.col("step") + 1, F.lit(p))).alias("j"), (-F.col("d")).alias("d"))),
     ))
-    sums = scored.select("_k", F.explode(parts).alias("c")).groupBy("_k", F.col("c.j").alias("j")).agg(
+    sums = scored.select("_k", F.explode(shares).alias("c")).groupBy("_k", F.col("c.j").alias("j")).agg(
         (F.sum("c.d") / F.lit(float(samples))).alias("shap"))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
     return sums.select(F.col("_k").alias(key), label.alias("feature"), "shap")
