@@ -100,8 +100,9 @@ def kernel_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataFr
     parts of it (null if there are fewer rows than two parts). Values add up to the prediction minus the mean
     background prediction; classifiers are explained by the probability of ``label``.
 
-    Keys must be unique. A row becomes ``background_rows * (coalitions + 2)`` predictions, which are summed where they are
-    made; a short row for each coalition and key is all that is shuffled.
+    Keys must be unique. A row becomes at most ``background_rows * coalitions + 1`` predictions (one for background rows
+    that agree in all features outside a coalition), which are summed where they are made; a short row for each coalition and
+    key is all that is shuffled.
     """
     names = list(bundle.feature_names)
     p = len(names)
@@ -113,32 +114,46 @@ def kernel_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataFr
     members, weights = coalitions(p, samples, seed)
     every = np.vstack([np.zeros(p), np.ones(p), members])
     solve = solver(members, weights)
-    bank = small_table(spark, list(enumerate(zs)), _b="int", z="array<double>")
-    sets = small_table(spark, [(i, np.flatnonzero(m).tolist()) for i, m in enumerate(every)], _s="int", members="array<int>")
-
+    few = min(BATCHES, len(zs))
+    # the empty coalition is the same for all rows; of the others, background rows that agree outside it count as one
+    mixes: list[tuple[int, list, list]] = []
+    for s in range(1, len(every)):
+        counts: dict[tuple, list[float]] = {}
+        for b, z in enumerate(zs):
+            rest = tuple(None if m else v for m, v in zip(every[s], z))
+            counts.setdefault(rest, [0.0] * few)[b % BATCHES] += 1.0
+        mixes += [(s, list(rest), w) for rest, w in counts.items()]
+    bank = small_table(spark, [(i, *m) for i, m in enumerate(mixes)], _m="int", _s="int", z="array<double>", w="array<double>")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    none = small_table(spark, list(enumerate(zs)), _b="int", v="array<double>")
     rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition(parts, F.xxhash64("_k", "x"))
-    # both tables are short (a coalition or a background row each) and are matched by number
-    rows = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1)))).join(F.broadcast(sets), "_s")
-    rows = rows.withColumn("on", F.transform("x", lambda _, j: F.array_contains("members", j)))
-    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(len(zs) - 1)))).join(F.broadcast(bank), "_b")
-    mixed = rows.select("_k", "_s", "_b", F.zip_with(F.zip_with("x", "on", lambda v, on: F.when(on, v)), "z", lambda v, z: F.coalesce(v, z)).alias("v"))
-    if bundle.scaler is not None:
-        centers = F.lit([float(bundle.scaler.center.get(n, 0.0)) for n in names])
-        scales = F.lit([float(bundle.scaler.scale.get(n, 1.0)) for n in names])
-        mixed = mixed.withColumn("v", F.transform("v", lambda v, j: (v - F.get(centers, j)) / F.get(scales, j)))
-    scored = bundle.model.transform(mixed.withColumn("features", array_to_vector("v"))).select("_k", "_s", "_b", output_of(bundle, label).alias("y"))
-    batch = F.col("_b") % BATCHES
-    worth = scored.groupBy("_k", "_s").agg(F.array(*[F.sum(F.when(batch == i, F.col("y"))) for i in range(min(BATCHES, len(zs)))]).alias("sums"))
-    per_row = worth.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_s", "sums"))).alias("worths"))
-    sizes = np.bincount(np.arange(len(zs)) % BATCHES, minlength=min(BATCHES, len(zs)))
+    # a short table (coalitions times background rows at most), matched by number
+    rows = rows.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(len(mixes) - 1)))).join(F.broadcast(bank), "_m")
+    mixed = rows.select("_k", "_s", "w", F.zip_with("z", "x", lambda z, v: F.coalesce(z, v)).alias("v"))
+
+    def predicted(mixed: DataFrame) -> DataFrame:
+        if bundle.scaler is not None:
+            centers = F.lit([float(bundle.scaler.center.get(n, 0.0)) for n in names])
+            scales = F.lit([float(bundle.scaler.scale.get(n, 1.0)) for n in names])
+            mixed = mixed.withColumn("v", F.transform("v", lambda v, j: (v - F.get(centers, j)) / F.get(scales, j)))
+        return bundle.model.transform(mixed.withColumn("features", array_to_vector("v"))).withColumn("y", output_of(bundle, label))
+
+    empty = np.zeros(few)
+    for r in predicted(none).select("_b", "y").collect():
+        empty[r._b % BATCHES] += r.y
+    sums = [F.sum(F.get("w", F.lit(i)) * F.col("y")) for i in range(few)]
+    # the full coalition has one prediction a row, so it also counts the rows
+    worth = predicted(mixed).groupBy("_k", "_s").agg(F.array(*sums).alias("sums"), F.count(F.lit(1)).alias("n"))
+    per_row = worth.groupBy("_k").agg(
+        F.array_sort(F.collect_list(F.struct("_s", "sums"))).alias("worths"), F.max(F.when(F.col("_s") == 1, F.col("n"))).alias("n"))
+    sizes = np.bincount(np.arange(len(zs)) % BATCHES, minlength=few)
     enough = len(zs) >= 2 * BATCHES
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, worths in zip(pdf["_k"], pdf["worths"]):
-                sums = np.array([w["sums"] for w in worths])
+            for k, worths, n in zip(pdf["_k"], pdf["worths"], pdf["n"]):
+                sums = np.array([n * empty, *[w["sums"] for w in worths]])
                 phi = solve @ (sums.sum(axis=1) / len(zs))
                 each = solve @ (sums / sizes)
                 error = each.std(axis=1, ddof=1) / np.sqrt(BATCHES) if enough else [None] * p

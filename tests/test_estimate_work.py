@@ -55,3 +55,10 @@ def test_many_walks(spark):
     df, b = frame(spark), bundle()
     got = attribution.sampled_shap(df, "id", b, df, "id", background_rows=20, samples=10)
     assert b.model.tables[0].count() == 40 * 10 * 3 and got.count() == 80
+
+
+def test_equal_mixes_are_predicted_once(spark):
+    df, b = frame(spark), bundle()
+    got = attribution.kernel_shap(df, "id", b, df, "id", background_rows=40)
+    check(got, df, df.collect(), 1e-9)
+    assert sum(t.count() for t in b.model.tables) == 40 + 40 * (1 + 2 + 2)
