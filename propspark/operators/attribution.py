@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from itertools import permutations
+from functools import reduce
+from itertools import combinations, permutations
+from operator import add
 
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.functions import array_to_vector
@@ -74,34 +76,41 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
     rows = df.select(F.col(key).alias("_k"), feature_array(df, names).alias("x")).repartition(parts, F.xxhash64("_k", "x"))
     numbers = F.sequence(F.lit(0), F.lit(p - 1))
 
-    def drawn(s: Column) -> tuple[Column, Column]:
-        """Feature order and background row of a sample."""
-        text = F.concat_ws("#", F.col("_k").cast("string"), s.cast("string"), F.lit(str(seed)))
-        hashed = F.transform(numbers, lambda j: F.struct(F.xxhash64(text, j).alias("h"), j.alias("j")))
-        order = F.transform(F.array_sort(hashed), lambda c: c["j"])
-        return order, F.pmod(F.xxhash64(text, F.lit("row")), F.lit(len(zs))).cast("int")
+    def text(s: Column) -> Column:
+        return F.concat_ws("#", F.col("_k").cast("string"), s.cast("string"), F.lit(str(seed)))
+
+    def place(t: Column) -> Column:
+        return F.pmod(F.xxhash64(t, F.lit("row")), F.lit(len(zs))).cast("int") if len(zs) > 1 else F.lit(0)
 
+    draws = F.sequence(F.lit(0), F.lit(samples - 1))
     if math.factorial(min(p, samples)) * len(zs) <= samples:
-        # fewer walks exist than samples are drawn: a row counts its samples for each walk and takes every walk once
-        orders = list(permutations(range(p)))
-        known = F.array(*[F.array(*[F.lit(j) for j in o]) for o in orders])
-
-        def number(s: Column) -> Column:
-            order, at = drawn(s)
-            return (F.array_position(known, order).cast("int") - 1) * len(zs) + at
-
-        none = F.array_repeat(F.lit(0), len(orders) * len(zs))
-        drawn_walks = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), number)
-        times = F.aggregate(drawn_walks, none, lambda held, w: F.transform(held, lambda n, i: n + (i == w).cast("int")))
-        walks = rows.select("_k", "x", F.posexplode(times).alias("_w", "n")).where("n > 0")
-        ways = [(i * len(zs) + b, list(o), z) for i, o in enumerate(orders) for b, z in enumerate(zs)]
+        # fewer walks exist than samples are drawn: a row counts its samples for each walk and takes every walk once;
+        # an order is known by which of each two features comes first, so no sample sorts anything
+        pairs = list(combinations(range(p), 2))
+
+        def number(t: Column) -> Column:
+            later = [F.when(F.xxhash64(t, F.lit(i)) > F.xxhash64(t, F.lit(j)), 1 << k).otherwise(0) for k, (i, j) in enumerate(pairs)]
+            return reduce(add, later, F.lit(0)) * len(zs) + place(t)
+
+        ways = []
+        for o in permutations(range(p)):
+            way = sum(1 << k for k, (i, j) in enumerate(pairs) if o.index(i) > o.index(j))
+            ways += [(way * len(zs) + b, list(o), z) for b, z in enumerate(zs)]
+        # each array is bound to a name before it is used more than once
+        drawn = F.transform(F.transform(draws, text), number)
+        known = F.lit([w for w, _, _ in ways])
+        times = F.transform(F.array(drawn), lambda d: F.transform(known, lambda w: F.struct(
+            w.alias("_w"), F.size(F.filter(d, lambda e: e == w)).alias("n"))))[0]
+        walks = rows.select("_k", "x", F.inline(times)).where("n > 0")
         bank = small_table(df.sparkSession, ways, _w="int", ord="array<int>", z="array<double>")
         walks = walks.join(F.broadcast(bank), "_w")  # at most `samples` rows
     else:
         bank = small_table(df.sparkSession, list(enumerate(zs)), _b="int", z="array<double>")
-        walks = rows.select("_k", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
-        order, at = drawn(F.col("s"))
-        walks = walks.select("_k", "x", order.alias("ord"), at.alias("_b"), F.lit(1).alias("n"))
+        walks = rows.select("_k", "x", F.explode(draws).alias("s"))
+        drawn = text(F.col("s"))
+        hashed = F.transform(numbers, lambda j: F.struct(F.xxhash64(drawn, j).alias("h"), j.alias("j")))
+        order = F.transform(F.array_sort(hashed), lambda c: c["j"])
+        walks = walks.select("_k", "x", order.alias("ord"), place(drawn).alias("_b"), F.lit(1).alias("n"))
         walks = walks.join(F.broadcast(bank), "_b")  # at most `background_rows` rows
     # place of every feature in the order: computed once per walk, before the steps multiply the rows
     rank = F.transform(numbers, lambda j: F.array_position("ord", j))
