@@ -13,7 +13,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -144,23 +144,30 @@ def kernel_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataFr
     sums = [F.sum(F.get("w", F.lit(i)) * F.col("y")) for i in range(few)]
     # the full coalition has one prediction a row, so it also counts the rows
     worth = predicted(mixed).groupBy("_k", "_s").agg(F.array(*sums).alias("sums"), F.count(F.lit(1)).alias("n"))
-    per_row = worth.groupBy("_k").agg(
-        F.array_sort(F.collect_list(F.struct("_s", "sums"))).alias("worths"), F.max(F.when(F.col("_s") == 1, F.col("n"))).alias("n"))
+    sorted_worths = F.array_sort(F.collect_list(F.struct("_s", "sums")))
+    per_row = worth.groupBy("_k").agg(F.flatten(F.transform(sorted_worths, lambda c: c["sums"])).alias("worths"), F.max(F.when(F.col("_s") == 1, F.col("n"))).alias("n"))
     sizes = np.bincount(np.arange(len(zs)) % BATCHES, minlength=few)
     enough = len(zs) >= 2 * BATCHES
 
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, worths, n in zip(pdf["_k"], pdf["worths"], pdf["n"]):
-                sums = np.array([n * empty, *[w["sums"] for w in worths]])
-                phi = solve @ (sums.sum(axis=1) / len(zs))
-                each = solve @ (sums / sizes)
-                error = each.std(axis=1, ddof=1) / np.sqrt(BATCHES) if enough else [None] * p
-                out.append((k, phi, error))
-            yield pd.DataFrame(out, columns=["_k", "phi", "error"])
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            told = batch.column("worths").flatten().to_numpy(zero_copy_only=False).reshape(n, len(every) - 1, few)
+            rows = batch.column("n").to_numpy(zero_copy_only=False)
+            sums = np.concatenate([(rows[:, None] * empty)[:, None, :], told], axis=1)
+            phi = sums.sum(axis=2) / len(zs) @ solve.T
+            ends = np.arange(n + 1, dtype=np.int32) * p
+            out = [batch.column("_k"), pa.ListArray.from_arrays(ends, phi.ravel())]
+            if enough:
+                error = np.matmul(solve, sums / sizes).std(axis=2, ddof=1) / np.sqrt(BATCHES)
+                out.append(pa.ListArray.from_arrays(ends, error.ravel()))
+            else:
+                out.append(pa.array([[None] * p] * n, pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(out, names=["_k", "phi", "error"])
 
     kind = df.schema[key].dataType.simpleString()
-    values = per_row.mapInPandas(solved, f"_k {kind}, phi array<double>, error array<double>")
+    values = per_row.mapInArrow(solved, f"_k {kind}, phi array<double>, error array<double>")
     cell = F.inline(F.arrays_zip(F.lit(names).alias("feature"), F.col("phi").alias("shap"), F.col("error").alias("error")))
     return values.select(F.col("_k").alias(key), cell)
