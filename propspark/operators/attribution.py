@@ -83,7 +83,7 @@ def sampled_shap(df: DataFrame, key: str, bundle: ModelBundle, background: DataF
         return F.pmod(F.xxhash64(t, F.lit("row")), F.lit(len(zs))).cast("int") if len(zs) > 1 else F.lit(0)
 
     draws = F.sequence(F.lit(0), F.lit(samples - 1))
-    if math.factorial(min(p, samples)) * len(zs) <= samples:
+    if math.factorial(min(p, 20)) * len(zs) <= samples:
         # fewer walks exist than samples are drawn: a row counts its samples for each walk and takes every walk once;
         # an order is known by which of each two features comes first, so no sample sorts anything
         pairs = list(combinations(range(p), 2))

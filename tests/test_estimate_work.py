@@ -62,3 +62,12 @@ def test_equal_mixes_are_predicted_once(spark):
     got = attribution.kernel_shap(df, "id", b, df, "id", background_rows=40)
     check(got, df, df.collect(), 1e-9)
     assert sum(t.count() for t in b.model.tables) == 40 + 40 * (1 + 2 + 2)
+
+
+def test_more_features_than_samples(spark):
+    """Orders are far too many to list, however few the samples and background rows are."""
+    names = ["a", "b"] + [f"c{i}" for i in range(10)]
+    df = frame(spark).select("id", "a", "b", *[F.lit(float(i)).alias(n) for i, n in enumerate(names[2:])])
+    b = learning.ModelBundle("y", "any", "any", "regression", names, Product())
+    got = attribution.sampled_shap(df, "id", b, df, "id", background_rows=1, samples=1)
+    assert b.model.tables[0].count() == 40 * 13 and got.count() == 40 * 12
