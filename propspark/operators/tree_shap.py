@@ -9,11 +9,18 @@ a path the Shapley weights of subset sizes are integrals of ``t^k (1-t)^(D-1-k)`
 a polynomial of degree ``D - 1``, which ``ceil(D / 2)`` Gauss-Legendre points integrate exactly. At each point the products are
 carried down and the leaves' sums carried up the tree one level at a time, for all rows of a block and all nodes of the
 level at once. A feature that comes up again on a path replaces its earlier factor.
+
+That visits every leaf for every row. Trees over few features are summed into tables first: what they predict from a set of
+known features is constant on the cells between their thresholds, and a leaf adds a constant to a box of cells. A row then looks up
+one cell for each set of features, and its Shapley values are weighted sums of these, exactly as defined.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +39,8 @@ FORESTS = (RandomForestRegressionModel, RandomForestClassificationModel)
 GROUP_NODES = 1 << 20
 #: Numbers in an array of a block: rows times nodes.
 BLOCK = 1 << 18
+#: Tables are made for at most so many features and cells (8 bytes each, held by every Python worker).
+TABLE_FEATURES, TABLE_CELLS = 8, 1 << 24
 
 FLAT = ("tree int, nodes bigint, base double, level array<int>, parent array<int>, feature array<int>, low array<double>, "
         "high array<double>, share array<double>, before array<int>, value array<double>")
@@ -157,6 +166,110 @@ def tree_values(tree: Tree, x: np.ndarray, phi: np.ndarray) -> None:
         phi[s:s + step, used] += np.add.reduceat(change[order], starts, axis=0).T
 
 
+class Tables:
+    """What a group of trees predicts from each set of known features, cell by cell between the thresholds.
+
+    ``features`` are those the trees test, ``cuts`` their thresholds; ``values`` has the table of every proper subset (a mask
+    over ``features``). With all features known a row is sent down the trees.
+    """
+
+    def __init__(self, trees: Sequence[Tree], features: list[int], cuts: list[np.ndarray]):
+        self.trees, self.features, self.cuts = trees, features, cuts
+        start, stop, share, value = (np.concatenate(c) for c in zip(*[self._leaves(t) for t in trees]))
+        m, self.values = len(features), {}
+        for mask in range(1 << m):
+            known = [k for k in range(m) if mask >> k & 1]
+            if len(known) < m:
+                rest = value * np.prod([share[:, k] for k in range(m) if k not in known], axis=0)
+                self.values[mask] = self._boxes(start[:, known], stop[:, known], rest, [len(cuts[k]) + 1 for k in known])
+        # a tree goes on at the left one of two brothers, or not at all
+        self.left = []
+        for tree in trees:
+            left = np.full(len(tree.parent), -1)
+            left[tree.parent[1::2]] = np.arange(1, len(tree.parent), 2)
+            self.left.append(left)
+
+    @staticmethod
+    def fitting(trees: Sequence[Tree]) -> Tables | None:
+        """Tables of the trees, or None where they would be too large."""
+        tests = np.concatenate([np.empty(0, np.int64), *[t.feature[1:] for t in trees]])
+        ends = np.concatenate([np.empty(0), *[t.high[1:] for t in trees]])
+        features = np.unique(tests).tolist()
+        if not 0 < len(features) <= TABLE_FEATURES:
+            return None
+        cuts = [np.unique(ends[(tests == f) & np.isfinite(ends)]) for f in features]
+        if math.prod(len(c) + 2 for c in cuts) - math.prod(len(c) + 1 for c in cuts) > TABLE_CELLS:
+            return None
+        return Tables(trees, features, cuts)
+
+    def _leaves(self, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each leaf and feature the cells inside (first, stop) and the share of rows; the leaf's value."""
+        n, m = len(tree.parent), len(self.features)
+        start, stop = np.zeros((n, m), np.int64), np.tile([len(c) + 1 for c in self.cuts], (n, 1))
+        share = np.ones((n, m))
+        which = np.searchsorted(self.features, tree.feature)
+        for a, b in zip(tree.level[1:-1], tree.level[2:]):
+            up = tree.parent[a:b]
+            start[a:b], stop[a:b], share[a:b] = start[up], stop[up], share[up]
+            for k, cuts in enumerate(self.cuts):
+                at = a + np.flatnonzero(which[a:b] == k)
+                start[at, k] = np.where(np.isfinite(tree.low[at]), np.searchsorted(cuts, tree.low[at]) + 1, 0)
+                stop[at, k] = np.maximum(np.searchsorted(cuts, tree.high[at]) + 1, start[at, k])
+                share[at, k] = tree.share[at]
+        stop = np.minimum(stop, [len(c) + 1 for c in self.cuts])
+        leaf = np.ones(n, bool)
+        leaf[tree.parent[1:]] = False
+        return start[leaf], stop[leaf], share[leaf], tree.value[leaf]
+
+    @staticmethod
+    def _boxes(start: np.ndarray, stop: np.ndarray, value: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """The sum of all boxes' values in each cell: signed values at the corners, summed along every axis."""
+        padded = [n + 1 for n in sizes]
+        table = np.zeros(math.prod(padded))
+        steps = [math.prod(padded[k + 1:]) for k in range(len(padded))]
+        for corner in product((0, 1), repeat=len(sizes)):
+            at = np.zeros(len(value), np.int64)
+            for k, c in enumerate(corner):
+                at += (stop if c else start)[:, k] * steps[k]
+            np.add.at(table, at, -value if sum(corner) % 2 else value)
+        table = table.reshape(padded)
+        for k in range(len(sizes)):
+            np.cumsum(table, axis=k, out=table)
+        return np.ascontiguousarray(table[(slice(-1),) * len(sizes)])
+
+    def add(self, x: np.ndarray, phi: np.ndarray) -> None:
+        """Add the trees' Shapley values of the rows ``x`` to ``phi``."""
+        m = len(self.features)
+        cells = [np.searchsorted(c, x[:, f]) for f, c in zip(self.features, self.cuts)]
+        whole = np.zeros(len(x))
+        for tree, left in zip(self.trees, self.left):
+            node = np.zeros(len(x), np.int64)
+            rows = np.arange(len(x))
+            while len(rows := rows[left[node[rows]] >= 0]):
+                low = left[node[rows]]
+                node[rows] = low + (x[rows, tree.feature[low]] > tree.high[low])
+            whole += tree.value[node]
+        weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+        for mask in range(1 << m):
+            known = [k for k in range(m) if mask >> k & 1]
+            got = whole if len(known) == m else self.values[mask][tuple(cells[k] for k in known)]
+            for k, f in enumerate(self.features):
+                if mask >> k & 1:
+                    phi[:, f] += weight[len(known) - 1] * got
+                else:
+                    phi[:, f] -= weight[len(known)] * got
+
+
+_tables: dict[str, Tables | None] = {}
+
+
+def _tables_of(name: str, trees: Sequence[Tree]) -> Tables | None:
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = Tables.fitting(trees)
+    return _tables[name]
+
+
 def _groups(sizes: Sequence[tuple[int, int]], most: int) -> list[list[int]]:
     out, held = [[]], 0
     for tree, n in sizes:
@@ -175,12 +288,15 @@ def _read_trees(table: pa.Table) -> list[Tree]:
 
 def _adder(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        name, trees = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
+            tables = _tables_of(name, trees)
             x, phi = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).copy() for c in ("x", "phi"))
-            for tree in trees:
+            if tables is not None:
+                tables.add(x, phi)
+            for tree in trees if tables is None else ():
                 tree_values(tree, x, phi)
             ends = np.arange(batch.num_rows + 1, dtype=np.int32) * phi.shape[1]
             at = batch.schema.get_field_index("phi")
@@ -204,7 +320,7 @@ def add_tree_values(rows: DataFrame, trees: DataFrame, group_nodes: int = GROUP_
     out = out.repartition(parts, F.xxhash64(*[c for c in out.columns if c != "phi"]))
     for i, group in enumerate(groups):
         held = _read_trees(trees.filter(F.col("tree").isin(group)).toArrow())
-        out = out.mapInArrow(_adder(spark.sparkContext.broadcast(held)), out.schema)
+        out = out.mapInArrow(_adder(spark.sparkContext.broadcast((uuid.uuid4().hex, held))), out.schema)
         if i + 1 < len(groups):
             out = materialize(out, "partial")
     return out, float(sum(b for _, _, b in sizes))

@@ -163,3 +163,37 @@ def test_dependence_and_report(spark):
     paths = attribution.explanation_report(long, "id", 0.0, new_path(spark, "report"), dependence_n=2)
     assert set(paths) == {"global", "local", "dependence_a", "dependence_b"}
     assert spark.read.parquet(paths["local"]).count() == 3
+
+
+def random_tree(rng, features, depth):
+    """Nodes of a random tree that tests features again and again, some thresholds twice."""
+    rows = []
+
+    def grow(cover, level):
+        i = len(rows)
+        rows.append(None)
+        if level == depth or cover < 2 or rng.random() < 0.05:
+            rows[i] = (i, -1, -1, -1, 0.0, float(cover), rng.normal())
+            return i
+        part = int(rng.integers(1, cover))
+        left, right = grow(part, level + 1), grow(cover - part, level + 1)
+        rows[i] = (i, left, right, int(rng.integers(features)) * 2, round(rng.normal(), 1), float(cover), 0.0)
+        return i
+
+    grow(5000, 0)
+    return tree_shap.flatten(pd.DataFrame(rows, columns=["id", "left", "right", "feature", "cut", "cover", "value"]))[0]
+
+
+def test_tables_of_tree_values(spark):
+    """Rows of trees over few features look up sums over all leaves; wider trees visit their leaves."""
+    rng = np.random.default_rng(5)
+    for features in (1, 2, 4):
+        trees = [random_tree(rng, features, 9) for _ in range(3)]
+        x = rng.normal(size=(300, 8)).round(1)
+        expected, got = np.zeros_like(x), np.zeros_like(x)
+        for t in trees:
+            tree_shap.tree_values(t, x, expected)
+        tree_shap.Tables.fitting(trees).add(x, got)
+        np.testing.assert_allclose(got, expected, atol=1e-9)
+    assert tree_shap.Tables.fitting([random_tree(rng, 30, 9)]) is None
+    assert tree_shap.Tables.fitting([random_tree(rng, 3, 0)]) is None
