@@ -3,8 +3,8 @@
 ``percentile`` and ``median`` keep every distinct value of a group in one buffer.
 Here a bounded sketch over a row sample brackets each wanted rank, one counting
 pass over all rows locates the ranks, and only the few values inside a bracket are
-sorted. Brackets that are still too full are narrowed again, so the sample only
-affects the number of passes, never the result. Each pass is a scan with a partial
+sorted. Rows of brackets that are still too full are written on their own and cut again,
+so the sample only affects the number of passes, never the result. Each pass is a scan with a partial
 aggregate; the driver holds a handful of numbers per feature.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from propspark.columns import to_long
-from propspark.session import small_table
+from propspark.session import materialize, small_table
 
 BUDGET = 1 << 18  # most values one bracket may hold before it is sorted
 ACCURACY = 4000  # sketch accuracy: rank error at most n / ACCURACY
@@ -88,30 +88,32 @@ def _counted(long: DataFrame, edges: dict) -> dict:
 def order_statistics(long: DataFrame, wanted: dict, edges: dict, budget: int = BUDGET, counted: dict | None = None) -> dict:
     """``{(feature, rank): value}`` for 0-based ranks, given first bracket edges (and the counts between them, if known)."""
     found: dict = {}
-    edges = {k: sorted(set(v)) for k, v in edges.items()}
-    open_ranks = {k: sorted(set(v)) for k, v in wanted.items() if v}
-    while open_ranks:
-        edges = {k: edges[k] for k in open_ranks}
-        counts, counted = counted or _counted(long, edges), None
-        gather, narrow = {}, {}
-        for k, ranks in open_ranks.items():
-            before = 0
-            for b in sorted(counts[k]):
-                n = counts[k][b]
-                for rank in [r for r in ranks if before <= r < before + n]:
-                    if b % 2:
-                        found[k, rank] = edges[k][b // 2]
-                    else:
-                        (gather if n <= budget else narrow).setdefault((k, b), []).append((rank, rank - before, n))
-                before += n
-        if gather:
-            found.update(_sorted_inside(long, edges, gather))
-        open_ranks = {}
-        if narrow:
-            for k, cuts in _narrow(long, edges, narrow).items():
-                edges[k] = sorted(set(edges[k]) | set(cuts))
-            for (k, _), items in narrow.items():
-                open_ranks.setdefault(k, []).extend(rank for rank, _, _ in items)
+    edges = {k: sorted(set(edges[k])) for k, v in wanted.items() if v}
+    if not edges:
+        return found
+    counts = counted or _counted(long, edges)
+    gather, narrow = {}, {}
+    for k in edges:
+        before, ranks = 0, sorted(set(wanted[k]))
+        for b in sorted(counts[k]):
+            n = counts[k][b]
+            for rank in [r for r in ranks if before <= r < before + n]:
+                if b % 2:
+                    found[k, rank] = edges[k][b // 2]
+                else:
+                    (gather if n <= budget else narrow).setdefault((k, b), []).append((rank, rank - before, n))
+            before += n
+    if gather:
+        found.update(_sorted_inside(long, edges, gather))
+    if narrow:
+        # every cell is a feature of its own from here, so no row is held against the edges of other cells
+        cells = list(narrow)
+        inner = materialize(_cells(long, edges, cells), "brackets")
+        offsets = {i: [offset for _, offset, _ in narrow[c]] for i, c in enumerate(cells)}
+        cuts = _narrow(inner, {i: narrow[c] for i, c in enumerate(cells)})
+        inside = order_statistics(inner, offsets, cuts, budget)
+        for i, (k, b) in enumerate(cells):
+            found.update({(k, rank): inside[i, offset] for rank, offset, _ in narrow[k, b]})
     return found
 
 
@@ -141,15 +143,19 @@ def _sorted_inside(long: DataFrame, edges: dict, gather: dict) -> dict:
     return out
 
 
-def _narrow(long: DataFrame, edges: dict, narrow: dict) -> dict:
+def _cells(long: DataFrame, edges: dict, cells: Sequence[tuple]) -> DataFrame:
+    """Values of the given (feature, bucket) cells, under the cell's number as ``feature``."""
+    number = small_table(long.sparkSession, [(*c, i) for i, c in enumerate(cells)], feature=_kind(long), bucket="int", cell="int")
+    rows = _with_bucket(long, {k: edges[k] for k, _ in cells}).join(F.broadcast(number), ["feature", "bucket"])  # a few cells per feature
+    return rows.select(F.col("cell").alias("feature"), "value")
+
+
+def _narrow(inner: DataFrame, wanted: dict) -> dict:
     grid = [i / GRID for i in range(GRID + 1)]
     cuts: dict = {}
-    rows = (
-        _inside(long, edges, narrow).groupBy("feature", "bucket")
-        .agg(F.percentile_approx("value", grid, ACCURACY).alias("cuts")).collect()
-    )
+    rows = inner.groupBy("feature").agg(F.percentile_approx("value", grid, ACCURACY).alias("cuts")).collect()
     for r in rows:
-        for _, offset, n in narrow[r["feature"], r["bucket"]]:
+        for _, offset, n in wanted[r["feature"]]:
             at = int(offset / n * GRID)
             cuts.setdefault(r["feature"], []).extend(r["cuts"][max(0, at - 2):at + 4])
     return cuts

@@ -89,3 +89,15 @@ def test_distribution_tables(spark):
     assert [r["count"] for r in hist] == [4, 0, 0, 1]
     flat = profile.histogram(spark.createDataFrame([(5.0,)] * 3, "x double"), "x", 2).orderBy("bin").collect()
     assert [r["count"] for r in flat] == [0, 3]
+
+
+def test_narrowing_adds_no_edges(spark, monkeypatch):
+    """However many brackets are too full, no row is held against more edges than in the first pass."""
+    long = spark.range(20_000).selectExpr("'a' AS feature", "CAST((id * 7919) % 20000 AS DOUBLE) AS value")
+    ranks = [i * 2000 for i in range(1, 10)]
+    edges = [float(r + s) for r in ranks for s in (-400, 400)]
+    seen, with_bucket = [], quantiles._with_bucket
+    monkeypatch.setattr(quantiles, "_with_bucket", lambda rows, e: (seen.append(max(map(len, e.values()))), with_bucket(rows, e))[1])
+    got = quantiles.order_statistics(long, {"a": ranks}, {"a": edges}, 20)
+    assert got == {("a", r): float(r) for r in ranks}
+    assert len(seen) >= 3 and max(seen) == len(edges)
