@@ -262,7 +262,11 @@ class ModelTrainer:
             fitted = fit_model(self.estimator(classes, **(best or {})), table)
         bundle = ModelBundle(target, self.model_type, self.engine, self.problem_type, list(features),
                              PipelineModel([fitted]), scaler, best_params=best, ignored_params=list(self.ignored))
-        bundle.metrics = bundle.evaluate(val if val is not None else train)
+        if val is None and tune and self.problem_type == "regression":
+            # the written table has the rows and labels of ``train`` already
+            bundle.metrics = evaluate(fitted.transform(table), "label", "prediction", self.problem_type).first().asDict()
+        else:
+            bundle.metrics = bundle.evaluate(val if val is not None else train)
         return bundle
 
     def _search(self, table: DataFrame, key: str | None, grid: dict | None, tune_rows: int | None, classes: int) -> tuple[dict, object]:

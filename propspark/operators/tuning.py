@@ -95,19 +95,27 @@ def grid_scores(table: DataFrame, points: Sequence[dict], fit: Callable[[DataFra
     """Mean score of every point over the folds of ``table`` (``label``, ``features``, ``fold``).
 
     ``fit`` fits one parameter map on a table. Every fold fits each group of points once and scores all points in one pass.
+    Folds of few groups are worked on together, so that ``AT_ONCE`` fits run side by side.
     """
     spark, groups = table.sparkSession, shared_fits(points)
     totals: list[list[float]] = [[] for _ in points]
+    together = max(1, AT_ONCE // max(len(groups), 1))
     with ThreadPool(AT_ONCE) as pool:
-        for fold in range(folds):
-            train, held = table.where(F.col("fold") != fold), table.where(F.col("fold") == fold)
-            fitted = pool.map(inheritable_thread_target(spark)(lambda g: fit(train, g[0])), groups)
-            models = {}
-            for model, (_, served) in zip(fitted, groups):
-                for i, n in served:
-                    models[i] = model if n is None else tree_prefix(spark, model, n)
-            ordered = dict(sorted(models.items()))
-            for i, score in point_scores(_scored(held.select("label", "features"), ordered), list(ordered), kind).items():
-                if score is not None:
-                    totals[i].append(score)
+        for first in range(0, folds, together):
+            part = range(first, min(folds, first + together))
+            jobs = [(table.where(F.col("fold") != fold), params) for fold in part for params, _ in groups]
+            fitted = pool.map(inheritable_thread_target(spark)(lambda job: fit(*job)), jobs)
+
+            def score(j: int) -> dict[int, float | None]:
+                held, models = table.where(F.col("fold") == part[j]), {}
+                for model, (_, served) in zip(fitted[j * len(groups):], groups):
+                    for i, n in served:
+                        models[i] = model if n is None else tree_prefix(spark, model, n)
+                ordered = dict(sorted(models.items()))
+                return point_scores(_scored(held.select("label", "features"), ordered), list(ordered), kind)
+
+            for scores in pool.map(inheritable_thread_target(spark)(score), range(len(part))):
+                for i, value in scores.items():
+                    if value is not None:
+                        totals[i].append(value)
     return [sum(t) / len(t) if t else None for t in totals]

@@ -1,5 +1,7 @@
 """Grid points that share fits, and their scores, against models and evaluators of Spark."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -85,3 +87,18 @@ def test_default_grid_needs_few_fits():
         trainer = learning.ModelTrainer(engine)
         maps = [learning._spark_params(engine, p)[0] for p in trainer.distinct_points(learning.GRIDS[engine])]
         assert len(tuning.shared_fits(maps)) == fits and len(maps) == 3 * fits
+
+
+def test_folds_of_few_groups_are_fitted_together(spark):
+    """With one fit for each fold, four folds wait for each other; more fits than that never start at once."""
+    df = table(spark).withColumn("fold", F.col("id") % 5)
+    meet, started = threading.Barrier(4, timeout=120), []
+
+    def fit(rows, params):
+        started.append(rows)
+        if len(started) <= 4:
+            meet.wait()
+        return RandomForestRegressor(seed=3, **params).fit(rows)
+
+    got = tuning.grid_scores(df, [{"numTrees": 2, "maxDepth": 2}], fit, "regression", 5)
+    assert len(started) == 5 and got[0] is not None
