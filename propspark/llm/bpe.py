@@ -5,8 +5,9 @@ symbol for each token (the id, moved past the surrogates). The rank map of the v
 joined are a token) is one literal of a fixed size.
 
 The most frequent words of the corpus are folded once, by Spark's higher-order functions, and sent to the workers; their
-number is fixed. Each worker folds the other words by the same rank map when they first come up, and remembers them:
-in higher-order functions that took too long (see the README). Neither texts nor words are shuffled but for the counts.
+number is fixed. Each worker folds the other words by the same rank map when they first come up, those of about 1 MB of
+texts at once, and remembers them: in higher-order functions that took too long (see the README). Neither texts nor
+words are shuffled but for the counts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,17 @@ from propspark.session import materialize
 HOT_WORDS, HOT_BYTES = 1 << 18, 64
 #: Other words and pieces of text that a worker remembers at most.
 CACHED = 1 << 18
+#: Words of up to so many bytes are folded together, so many at once; tokens of a long text that are spelled at once.
+SHORT, FOLDED, SPELLED = 128, 1 << 14, 1 << 20
 BUCKETS = 32_749  # a prime
 BLANKS = r"\t-\r \x85\xa0  -     　"
 #: The split pattern of the rank files (fixed value), its blanks written out.
 SPLIT = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     .replace(r"[^\s", f"[^{BLANKS}").replace(r"\S", f"[^{BLANKS}]").replace(r"\s", f"[{BLANKS}]"))
-#: Blanks that the quick split does not handle: others than space and newline, two in a row, at an end.
-_HARD = re.compile(r"[\t\x0b-\r\x85\xa0  -     　]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+#: Blanks that the quick split does not handle: others than space and newline, two in a row (or at an end).
+_OTHER_BLANK = re.compile(r"[\t\x0b-\r\x85\xa0  -     　]")
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,47 +141,56 @@ def fold_merges(tokens: Column, maps: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), first(t), lambda acc, _: step(acc), lambda acc: acc["t"]))
 
 
-def plain_lines(text: str) -> list[list[str]] | None:
-    """Lines cut at single spaces, or None where blanks stand otherwise.
+def plain_chunks(text: str) -> list[str] | None:
+    """What stands between single blanks, from the second line on with the newline before a line's first; None where
+    blanks stand otherwise.
 
     Between two other characters a space always begins a match and a newline is one, so the matches of such a text
-    are those of its first chunks, of the other chunks with a space before them, and the newlines.
+    are those of its first chunk, of the other chunks with a space before them, and the newlines. The first chunk
+    has a newline too that is not in the text.
     """
-    return None if not text or _HARD.search(text) else [line.split(" ") for line in text.split("\n")]
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(d in text for d in _DOUBLE) or _OTHER_BLANK.search(text):
+        return None
+    return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+
+def chunk_words(chunks: Iterable[str]) -> list[str]:
+    """The matches of plain chunks one after the other, each chunk's first newline (one is added where it has none) before them."""
+    return SPLIT.findall("".join([c if c[0] == "\n" else "\n " + c for c in chunks]))
 
 
 def count_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Distinct words (matches of the split pattern) of all texts and their numbers."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: Counter[str] = Counter()
-        tails: Counter[str] = Counter()
+        chunks: Counter[str] = Counter()
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            for lead, chunks in (("", heads), (" ", tails)):
-                for c, n in chunks.items():
-                    for w in SPLIT.findall(lead + c):
-                        seen[w] += n
-                chunks.clear()
+            lines = sum(n for c, n in chunks.items() if c[0] == "\n")
+            numbers, n = iter(chunks.values()), 0
+            for w in chunk_words(chunks):
+                if w == "\n":
+                    n = next(numbers)
+                else:
+                    seen[w] += n
+            seen["\n"] += lines
+            chunks.clear()
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
             seen.clear()
             return out
 
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
-                first, rest = [], []
+                between = []
                 for body in some.column("text").to_pylist():
-                    lines = plain_lines(body)
-                    if lines is None:
+                    cut = plain_chunks(body)
+                    if cut is None:
                         seen.update(SPLIT.findall(body))
-                        continue
-                    seen["\n"] += len(lines) - 1
-                    for line in lines:
-                        first.append(line[0])
-                        rest += line[1:]
-                heads.update(first)
-                tails.update(rest)
-                if len(tails) + len(heads) + len(seen) > CACHED:
+                    else:
+                        between += cut
+                        seen["\n"] -= 1  # the one before the text
+                chunks.update(between)
+                if len(chunks) + len(seen) > CACHED:
                     yield flush()
         yield flush()
 
@@ -239,21 +252,29 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
         for batch in batches:
             for a, b in _cuts(batch, 1 << 20):
                 some = batch.slice(a, b - a)
-                counts, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
                 coder.trim()
-                for body in some.column("text").to_pylist():
-                    made = coder.encode(body)
-                    counts.append(len(made.coded))
-                    ids_sha.append(hashlib.sha256(made.decimal.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(made.back).hexdigest())
-                    if with_ids:
-                        all_ids.append(token_ids(made.coded).astype(np.int32))
-                    if with_bytes:
-                        decoded.append(made.back)
+                coded = coder.encode(some.column("text").to_pylist())
+                counts = list(map(len, coded))
+                ends = np.cumsum(counts, dtype=np.int64)
+                ids = token_ids("".join(coded))
+                ids_sha, text_sha, decoded = [], [], []
+                for parts in coder.decimal.spell(ids, ends):
+                    sha = hashlib.sha256()
+                    for i, part in enumerate(parts):
+                        sha.update(part if i else part[1:])
+                    ids_sha.append(sha.hexdigest())
+                for parts in coder.pieces.spell(ids, ends):
+                    sha, held = hashlib.sha256(), []
+                    for part in parts:
+                        sha.update(part)
+                        if with_bytes:
+                            held.append(part.tobytes())
+                    text_sha.append(sha.hexdigest())
+                    decoded.append(b"".join(held))
                 cols = [*(some.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *all_ids]))))
+                    edges = np.concatenate([[0], ends]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32))))
                 if with_bytes:
                     cols.append(pa.array(decoded, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=out.names)
@@ -261,68 +282,175 @@ def encode_documents(df: DataFrame, vocabulary: str, text: str = "text", with_id
     return rows.mapInArrow(encode, out)
 
 
-class Chunk(NamedTuple):
-    """A stretch of text as symbols, as decimal ids joined by commas, and as the bytes its ids decode to."""
-
-    coded: str
-    decimal: str
-    back: bytes
-
-
-class _Chunks(dict):
-    """What becomes of the chunks between blanks, with a lead before each."""
-
-    def __init__(self, words: Coder, lead: str):
-        super().__init__()
-        self.words, self.lead = words, lead
-
-    def __missing__(self, chunk: str) -> Chunk:
-        made = self[chunk] = self.words.chunk(self.lead + chunk)
-        return made
-
-
-class Coder(dict):
+class Spelling:
+    """The bytes that stand for each token id."""
+
+    def __init__(self, spelled: dict[int, bytes]):
+        self.long = np.zeros(max(spelled) + 1, np.int64)
+        self.long[list(spelled)] = list(map(len, spelled.values()))
+        self.first = np.zeros(len(self.long), np.int64)
+        self.first[list(spelled)] = np.cumsum([0, *map(len, spelled.values())])[:-1]
+        self.flat = np.frombuffer(b"".join(spelled.values()), np.uint8)
+
+    def write(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's begin (and the last one's end)."""
+        long = self.long[ids]
+        at = np.concatenate([[0], np.cumsum(long)])
+        return self.flat[np.arange(at[-1]) + np.repeat(self.first[ids] - at[:-1], long)], at
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[Iterable[np.ndarray]]:
+        """The bytes of each text, in parts where there is only one; ``ends`` are the texts' numbers of ids summed up."""
+        if len(ends) == 1:
+            yield (self.write(ids[a:a + SPELLED])[0] for a in range(0, len(ids), SPELLED))
+            return
+        raw, at = self.write(ids)
+        edges = [0, *at[ends].tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield [raw[a:b]]
+
+
+class Merges:
+    """The rank map as an open-addressed table, for many pairs at once."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, pairs: dict[int, int]):
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NONE, np.int32)
+        codes, ids = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        slot = self._slot(codes)
+        while len(codes):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = codes[free]
+            put = self.keys[slot] == codes
+            self.ids[slot[put]] = ids[put]
+            codes, ids, slot = codes[~put], ids[~put], (slot[~put] + 1) & self.last
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair merges to, ``NONE`` where it does not."""
+        codes = ((left.astype(np.int64) << 20) + right).ravel()
+        slot = self._slot(codes)
+        found = self.keys[slot]
+        out = np.where(found == codes, self.ids[slot], self.NONE)
+        going = np.flatnonzero((found != codes) & (found >= 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & self.last
+            found = self.keys[slot[going]]
+            hit = going[found == codes[going]]
+            out[hit] = self.ids[slot[hit]]
+            going = going[(found != codes[going]) & (found >= 0)]
+        return out.reshape(left.shape)
+
+
+class Coder:
     """Symbols of words: the frequent ones as sent, each other one folded when it first comes up."""
 
     def __init__(self, frequent: dict[str, str], ranks: dict[bytes, int]):
-        super().__init__(frequent)
         self.frequent, self.most = frequent, len(frequent) + CACHED
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.words, self.chunks = dict(frequent), {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {(a << 20) + b: k for a, b, k in mergeable(ranks)}
-        self.pieces = {symbol(k): t for t, k in ranks.items()}
-        self.decimal = {symbol(k): str(k) for k in ranks.values()}
-        self.heads, self.tails = _Chunks(self, ""), _Chunks(self, " ")
-        self.newline = self.chunk("\n")
-
-    def chunk(self, text: str) -> Chunk:
-        coded = "".join(map(self.__getitem__, SPLIT.findall(text)))
-        return Chunk(coded, ",".join(map(self.decimal.__getitem__, coded)), b"".join(map(self.pieces.__getitem__, coded)))
+        self.merges = Merges(self.pairs)
+        self.pieces = Spelling({k: t for t, k in ranks.items()})
+        self.decimal = Spelling({k: f",{k}".encode() for k in ranks.values()})
+        self.newline = symbol(ranks[b"\n"])
 
     def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.frequent)
-        if len(self.tails) + len(self.heads) > CACHED:
-            self.heads.clear()
-            self.tails.clear()
-
-    def encode(self, text: str) -> Chunk:
-        lines = plain_lines(text)
-        if lines is None:
-            return self.chunk(text)
-        head, tail, parts = self.heads, self.tails.__getitem__, []
-        for line in lines:
-            parts.append(head[line[0]])
-            parts += map(tail, line[1:])
-            parts.append(self.newline)
-        coded, decimal, back = zip(*parts[:-1])
-        return Chunk("".join(coded), ",".join(decimal), b"".join(back))
-
-    def __missing__(self, word: str) -> str:
-        tokens = [self.single[b] for b in word.encode()]
-        ids = fold_short(tokens, self.pairs) if len(tokens) < 200 else fold_long(tokens, self.pairs)
-        made = self[word] = "".join(map(symbol, ids))
-        return made
+        if len(self.words) > self.most:
+            self.words = dict(self.frequent)
+        if len(self.chunks) > 2 * CACHED:
+            self.chunks.clear()
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Fold the words that are not known."""
+        new = list({w for w in words if w not in self.words})
+        raw = [w.encode() for w in new]
+        short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
+        for a in range(0, len(short), FOLDED):
+            some = short[a:a + FOLDED]
+            self.words.update(zip([new[i] for i in some], fold_many([raw[i] for i in some], self.single, self.merges)))
+        for w, r in zip(new, raw):
+            if len(r) > SHORT:
+                tokens = self.single[np.frombuffer(r, np.uint8)].tolist()
+                self.words[w] = "".join(map(symbol, fold_short(tokens, self.pairs) if len(tokens) < 200 else fold_long(tokens, self.pairs)))
+
+    def encode(self, texts: Sequence[str]) -> list[str]:
+        """The symbols of each text."""
+        cut = [plain_chunks(t) for t in texts]
+        every = list(chain.from_iterable(filter(None, cut)))
+        coded = list(map(self.chunks.get, every))
+        gaps = [i for i, made in enumerate(coded) if made is None]
+        new = list({every[i] for i in gaps})
+        words = chunk_words(new)
+        others = [SPLIT.findall(t) if chunks is None else [] for t, chunks in zip(texts, cut)]
+        self.learn(chain(words, *others))
+        symbols_of = self.words.__getitem__
+        # newlines stand only before chunks, and none of their symbols in a word without one
+        for c, made in zip(new, "".join(map(symbols_of, words)).split(self.newline)[1:]):
+            self.chunks[c] = self.newline + made if c[0] == "\n" else made
+        for i in gaps:
+            coded[i] = self.chunks[every[i]]
+        out, a = [], 0
+        for chunks, some in zip(cut, others):
+            if chunks is None:
+                out.append("".join(map(symbols_of, some)))
+            else:
+                b = a + len(chunks)
+                out.append("".join(coded[a:b])[1:])
+                a = b
+        return out
+
+
+def fold_many(words: Sequence[bytes], single: np.ndarray, merges: Merges) -> list[str]:
+    """Symbols of words: the leftmost pair of the lowest rank is merged until no pair has one, in all words of as many
+    tokens at once, beginning with the longest words.
+    """
+    long = np.array(list(map(len, words)))
+    first, flat = np.cumsum(long) - long, single[np.frombuffer(b"".join(words), np.uint8)]
+    by, number = np.argsort(long, kind="stable"), np.bincount(long)
+    upto = np.cumsum(number)
+    out = [""] * len(words)
+
+    def put(which: np.ndarray, t: np.ndarray) -> None:
+        every, n = symbols(t.ravel()), t.shape[1]
+        for k, i in enumerate(which.tolist()):
+            out[i] = every[k * n:(k + 1) * n]
+
+    which = np.empty(0, np.int64)
+    t, m = np.empty((0, len(number) - 1), np.int32), np.empty((0, len(number) - 2), np.int32)
+    for n in range(len(number) - 1, 1, -1):
+        if number[n]:
+            more = by[upto[n] - number[n]:upto[n]]
+            new = flat[first[more][:, None] + np.arange(n)]
+            which, t, m = np.concatenate([which, more]), np.concatenate([t, new]), np.concatenate([m, merges.of(new[:, :-1], new[:, 1:])])
+        rows = np.arange(len(which))
+        p = m.argmin(axis=1)
+        k = m[rows, p]
+        done = k == merges.NONE
+        if done.any():
+            put(which[done], t[done])
+            which, t, m, p, k = (x[~done] for x in (which, t, m, p, k))
+            rows = np.arange(len(which))
+        t[rows, p] = k
+        keep = np.ones(t.shape, bool)
+        keep[rows, p + 1] = False
+        t = t[keep].reshape(len(which), n - 1)
+        keep = np.ones(m.shape, bool)
+        keep[rows, p] = False
+        m = m[keep].reshape(len(which), n - 2)
+        some = np.flatnonzero(p > 0)
+        m[some, p[some] - 1] = merges.of(t[some, p[some] - 1], k[some])
+        some = np.flatnonzero(p < n - 2)
+        m[some, p[some]] = merges.of(k[some], t[some, p[some] + 1])
+    put(which, t)
+    if len(number) > 1 and number[1]:
+        more = by[upto[1] - number[1]:upto[1]]
+        put(more, flat[first[more]][:, None])
+    return out
 
 
 def fold_short(t: list[int], pairs: dict[int, int]) -> list[int]:

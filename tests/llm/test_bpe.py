@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -60,3 +61,33 @@ def test_query(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected(texts[r.doc_id])
+
+
+def test_rare_words_together(monkeypatch):
+    """Rare words are cut and folded for many texts at once, not one by one, and come out as in the library."""
+    rng = random.Random(6)
+    marks = ["", "", ".", ",", "'s", "!?", "9", "é"]
+    texts = [t or "" for t in ODD] + [
+        "\n".join(" ".join("".join(rng.choices("aeinorstßж日", k=rng.randint(1, 70))) + rng.choice(marks) for _ in range(12)) for _ in range(5))
+        for _ in range(60)]
+    calls = []
+
+    class Split:
+        def findall(self, text):
+            calls.append(text)
+            return split.findall(text)
+
+    split = bpe.SPLIT
+    monkeypatch.setattr(bpe, "SPLIT", Split())
+    coder = bpe.Coder({}, RANKS)
+    ids = [MODEL.encode_ordinary(t) for t in texts]
+    for _ in range(2):  # new, then remembered
+        assert [bpe.token_ids(c).tolist() for c in coder.encode(texts)] == ids
+    assert len(calls) <= 2 * (1 + len(ODD))
+    monkeypatch.setattr(bpe, "SPELLED", 3)  # a long text is spelled in parts
+    for t, own in zip(texts, ids):
+        parts = next(coder.pieces.spell(np.array(own, np.int64), np.array([len(own)])))
+        assert b"".join(p.tobytes() for p in parts) == t.encode()
+    ends = np.cumsum(list(map(len, ids)))
+    parts = coder.decimal.spell(np.array([i for own in ids for i in own]), ends)
+    assert [b"".join(p.tobytes() for p in some)[1:].decode() for some in parts] == [",".join(map(str, own)) for own in ids]
