@@ -20,7 +20,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from propspark.session import materialize
 HOT_WORDS, HOT_BYTES = 1 << 18, 64
 #: Other words and pieces of text that a worker remembers at most.
 CACHED = 1 << 18
-#: Words of up to so many bytes are folded together, so many at once; tokens of a long text that are spelled at once.
+#: Words of up to so many bytes are folded together, so many at once (chunks are cut likewise); tokens of a long text that are spelled at once.
 SHORT, FOLDED, SPELLED = 128, 1 << 14, 1 << 20
 BUCKETS = 32_749  # a prime
 BLANKS = r"\t-\r \x85\xa0  -     　"
@@ -168,11 +168,12 @@ def count_words(df: DataFrame, text: str = "text") -> DataFrame:
         def flush() -> pa.RecordBatch:
             lines = sum(n for c, n in chunks.items() if c[0] == "\n")
             numbers, n = iter(chunks.values()), 0
-            for w in chunk_words(chunks):
-                if w == "\n":
-                    n = next(numbers)
-                else:
-                    seen[w] += n
+            for some in batched(chunks, FOLDED):
+                for w in chunk_words(some):
+                    if w == "\n":
+                        n = next(numbers)
+                    else:
+                        seen[w] += n
             seen["\n"] += lines
             chunks.clear()
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -286,17 +287,18 @@ class Spelling:
     """The bytes that stand for each token id."""
 
     def __init__(self, spelled: dict[int, bytes]):
-        self.long = np.zeros(max(spelled) + 1, np.int64)
+        self.long = np.zeros(max(spelled) + 1, np.int32)
         self.long[list(spelled)] = list(map(len, spelled.values()))
-        self.first = np.zeros(len(self.long), np.int64)
+        self.first = np.zeros(len(self.long), np.int32)
         self.first[list(spelled)] = np.cumsum([0, *map(len, spelled.values())])[:-1]
         self.flat = np.frombuffer(b"".join(spelled.values()), np.uint8)
 
     def write(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and where each id's begin (and the last one's end)."""
         long = self.long[ids]
-        at = np.concatenate([[0], np.cumsum(long)])
-        return self.flat[np.arange(at[-1]) + np.repeat(self.first[ids] - at[:-1], long)], at
+        at = np.concatenate([[0], np.cumsum(long, dtype=np.int64)])
+        # ids of about 1 MB of text or ``SPELLED`` ids: places fit 32 bits
+        return self.flat[np.arange(at[-1], dtype=np.int32) + np.repeat(self.first[ids] - at[:-1].astype(np.int32), long)], at
 
     def spell(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[Iterable[np.ndarray]]:
         """The bytes of each text, in parts where there is only one; ``ends`` are the texts' numbers of ids summed up."""
@@ -362,7 +364,7 @@ class Coder:
     def trim(self) -> None:
         if len(self.words) > self.most:
             self.words = dict(self.frequent)
-        if len(self.chunks) > 2 * CACHED:
+        if len(self.chunks) > CACHED:
             self.chunks.clear()
 
     def learn(self, words: Iterable[str]) -> None:
