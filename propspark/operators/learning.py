@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from propspark.columns import WIDE_AGG_LIMIT, numeric_columns
 from propspark.errors import DataError, NotFittedError
 from propspark.functions.hashing import keyed_fold, keyed_uniform
+from propspark.operators import forest_growth
 from propspark.operators.evaluation import (
     CLASSIFICATION_METRICS, REGRESSION_METRICS, evaluate,
 )
@@ -123,8 +124,11 @@ def fit_model(estimator, table: DataFrame):
     """The fitted model without its training summary.
 
     The summary of a classification forest holds the session, which would go to the tasks with the model and cannot be
-    serialized once the session has, for example, observed a metric. A copy leaves it out.
+    serialized once the session has, for example, observed a metric. A copy leaves it out. Deep regression forests are
+    grown by ``forest_growth`` (from a written table, as they take several passes).
     """
+    if forest_growth.grows(estimator):
+        return forest_growth.grow(estimator, table)
     model = estimator.fit(table)
     return model.copy() if isinstance(model, RandomForestClassificationModel) else model
 
@@ -155,7 +159,7 @@ class ModelBundle:
             zeros = array_to_vector(F.array_repeat(F.lit(0.0), len(self.feature_names)))
             ready = ready.withColumn("features", F.when(only, F.col("features")).otherwise(zeros))
             value = F.when(only, value)
-        return self.model.transform(ready).select(*keep, value.alias(output))
+        return forest_growth.transform(self.model, ready).select(*keep, value.alias(output))
 
     def evaluate(self, df: DataFrame) -> dict[str, float]:
         scored = self.predict(df.where(F.col(self.target).isNotNull()), "_pred")
@@ -254,7 +258,7 @@ class ModelTrainer:
         table = self._labelled(train, features, target, scaler).select(*([key] if key else []), "label", "features")
         if key:  # many passes follow: an even spread is worth one shuffle of the narrow table
             table = table.repartition(F.xxhash64(key, "features"))
-        if tune or self._many_fits():
+        if written := tune or self._many_fits() or forest_growth.grows(self.estimator()):
             table = materialize(table, "fit")
         classes = self._classes(table)
         best, fitted = self._search(table, key, grid, tune_rows, classes) if tune else (None, None)
@@ -262,9 +266,9 @@ class ModelTrainer:
             fitted = fit_model(self.estimator(classes, **(best or {})), table)
         bundle = ModelBundle(target, self.model_type, self.engine, self.problem_type, list(features),
                              PipelineModel([fitted]), scaler, best_params=best, ignored_params=list(self.ignored))
-        if val is None and tune and self.problem_type == "regression":
+        if val is None and written and self.problem_type == "regression":
             # the written table has the rows and labels of ``train`` already
-            bundle.metrics = evaluate(fitted.transform(table), "label", "prediction", self.problem_type).first().asDict()
+            bundle.metrics = evaluate(forest_growth.transform(bundle.model, table), "label", "prediction", self.problem_type).first().asDict()
         else:
             bundle.metrics = bundle.evaluate(val if val is not None else train)
         return bundle

@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -31,12 +30,13 @@ from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionMode
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from propspark.errors import DataError
-from propspark.session import materialize, new_path
+from propspark.operators.forest_growth import Walk, saved_at
+from propspark.session import materialize
 
 TREE_MODELS = (RandomForestRegressionModel, RandomForestClassificationModel, GBTRegressionModel, GBTClassificationModel)
 FORESTS = (RandomForestRegressionModel, RandomForestClassificationModel)
 #: Nodes that are sent to the tasks at once (about 60 bytes each; one tree at least).
-GROUP_NODES = 1 << 20
+GROUP_NODES = 1 << 21
 #: Numbers in an array of a block: rows times nodes.
 BLOCK = 1 << 18
 #: Tables are made for at most so many features and cells (8 bytes each, held by every Python worker).
@@ -105,8 +105,7 @@ def flat_trees(spark: SparkSession, model, label: int | None = None) -> DataFram
     """
     if not isinstance(model, TREE_MODELS):
         raise DataError(f"not a tree ensemble: {type(model).__name__}")
-    path = new_path(spark, "model")
-    model.write().save(path)
+    path = saved_at(spark, model)
     shares = isinstance(model, RandomForestClassificationModel)
     stats = F.col("nodeData.impurityStats")
     cover = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if shares else stats[0]
@@ -166,6 +165,16 @@ def tree_values(tree: Tree, x: np.ndarray, phi: np.ndarray) -> None:
         phi[s:s + step, used] += np.add.reduceat(change[order], starts, axis=0).T
 
 
+def _walk_of(trees: Sequence[Tree]) -> Walk:
+    """The trees one after the other; the tests of two brothers belong to the node above them."""
+    starts = np.cumsum([0, *[len(t.parent) for t in trees]])
+    feature, cut, down = np.zeros(starts[-1], np.int64), np.full(starts[-1], np.inf), np.arange(starts[-1])
+    for tree, first in zip(trees, starts.tolist()):
+        up = first + tree.parent[1::2]
+        feature[up], cut[up], down[up] = tree.feature[1::2], tree.high[1::2], first + np.arange(1, len(tree.parent), 2)
+    return Walk(starts[:-1], feature, cut, down, np.concatenate([t.value for t in trees]))
+
+
 class Tables:
     """What a group of trees predicts from each set of known features, cell by cell between the thresholds.
 
@@ -174,20 +183,19 @@ class Tables:
     """
 
     def __init__(self, trees: Sequence[Tree], features: list[int], cuts: list[np.ndarray]):
-        self.trees, self.features, self.cuts = trees, features, cuts
-        start, stop, share, value = (np.concatenate(c) for c in zip(*[self._leaves(t) for t in trees]))
+        self.features, self.cuts = features, cuts
+        *sides, value = (np.concatenate(c) for c in zip(*[self._leaves(t) for t in trees]))
+        start, stop, share = (np.ascontiguousarray(s.T) for s in sides)
         m, self.values = len(features), {}
         for mask in range(1 << m):
             known = [k for k in range(m) if mask >> k & 1]
             if len(known) < m:
-                rest = value * np.prod([share[:, k] for k in range(m) if k not in known], axis=0)
-                self.values[mask] = self._boxes(start[:, known], stop[:, known], rest, [len(cuts[k]) + 1 for k in known])
-        # a tree goes on at the left one of two brothers, or not at all
-        self.left = []
-        for tree in trees:
-            left = np.full(len(tree.parent), -1)
-            left[tree.parent[1::2]] = np.arange(1, len(tree.parent), 2)
-            self.left.append(left)
+                rest = value.copy()
+                for k in range(m):
+                    if k not in known:
+                        rest *= share[k]
+                self.values[mask] = self._boxes(start[known], stop[known], rest, [len(cuts[k]) + 1 for k in known])
+        self.walk = _walk_of(trees)
 
     @staticmethod
     def fitting(trees: Sequence[Tree]) -> Tables | None:
@@ -227,11 +235,18 @@ class Tables:
         padded = [n + 1 for n in sizes]
         table = np.zeros(math.prod(padded))
         steps = [math.prod(padded[k + 1:]) for k in range(len(padded))]
-        for corner in product((0, 1), repeat=len(sizes)):
-            at = np.zeros(len(value), np.int64)
-            for k, c in enumerate(corner):
-                at += (stop if c else start)[:, k] * steps[k]
-            np.add.at(table, at, -value if sum(corner) % 2 else value)
+
+        def corners(k: int, at: np.ndarray | int, signed: tuple[np.ndarray, np.ndarray]) -> None:
+            if k == len(ends):
+                np.add.at(table, at, signed[0])
+                return
+            corners(k + 1, at + ends[k][0], signed)
+            corners(k + 1, at + ends[k][1], signed[::-1])
+
+        for s in range(0, len(value), 1 << 14):  # as many as stay in the processor's cache
+            part = value[s:s + (1 << 14)]
+            ends = [(a[s:s + len(part)] * step, b[s:s + len(part)] * step) for a, b, step in zip(start, stop, steps)]
+            corners(0, np.zeros(len(part), np.int64), (part, -part))
         table = table.reshape(padded)
         for k in range(len(sizes)):
             np.cumsum(table, axis=k, out=table)
@@ -242,13 +257,8 @@ class Tables:
         m = len(self.features)
         cells = [np.searchsorted(c, x[:, f]) for f, c in zip(self.features, self.cuts)]
         whole = np.zeros(len(x))
-        for tree, left in zip(self.trees, self.left):
-            node = np.zeros(len(x), np.int64)
-            rows = np.arange(len(x))
-            while len(rows := rows[left[node[rows]] >= 0]):
-                low = left[node[rows]]
-                node[rows] = low + (x[rows, tree.feature[low]] > tree.high[low])
-            whole += tree.value[node]
+        for rows, node in self.walk.ends(x):
+            whole[rows] += self.walk.value[node]
         weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
         for mask in range(1 << m):
             known = [k for k in range(m) if mask >> k & 1]
@@ -282,8 +292,8 @@ def _groups(sizes: Sequence[tuple[int, int]], most: int) -> list[list[int]]:
 
 
 def _read_trees(table: pa.Table) -> list[Tree]:
-    ints = {"level": np.int64, "parent": np.int64, "feature": np.int64, "before": np.int64}
-    return [Tree(*(np.array(row[c], ints.get(c, np.float64)) for c in Tree._fields)) for row in table.select(list(Tree._fields)).to_pylist()]
+    columns = [[row.values.to_numpy() for row in table.column(c)] for c in Tree._fields]
+    return [Tree(*arrays) for arrays in zip(*columns)]
 
 
 def _adder(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
