@@ -407,13 +407,14 @@ def _saved_nodes(first_ids: dict[tuple[int, int], int]) -> Callable[[Iterable[pa
                 down = np.where(left >= 0, left + (first_ids[tree, at] - 1 if at >= 0 else 0), -1)
                 keep = np.flatnonzero(feature != APART)
                 ids, down, feature, cut, n, s, q, gain = (a[keep] for a in (ids, down, feature, cut, n, s, q, gain))
-                k, inner, mean = len(keep), feature >= 0, s / n
+                k, inner, some = len(keep), feature >= 0, np.maximum(n, 1.0)
+                mean = s / some
                 stats = pa.ListArray.from_arrays(np.arange(k + 1, dtype=np.int32) * 3, np.stack([n, s, q], axis=1).ravel())
                 at_cut = pa.ListArray.from_arrays(np.append(0, np.cumsum(inner)).astype(np.int32), cut[inner])
                 split = pa.StructArray.from_arrays([pa.array(feature, pa.int32()), at_cut, pa.array(np.full(k, -1), pa.int32())], ["featureIndex", "leftCategoriesOrThreshold", "numCategories"])
                 right = np.where(down >= 0, down + 1, -1)
                 columns = {
-                    "id": pa.array(ids, pa.int32()), "prediction": pa.array(mean), "impurity": pa.array(np.maximum(q / n - mean * mean, 0.0)), "impurityStats": stats,
+                    "id": pa.array(ids, pa.int32()), "prediction": pa.array(mean), "impurity": pa.array(np.maximum(q / some - mean * mean, 0.0)), "impurityStats": stats,
                     "rawCount": pa.array(n.astype(np.int64)), "gain": pa.array(gain), "leftChild": pa.array(down, pa.int32()), "rightChild": pa.array(right, pa.int32()), "split": split,
                 }
                 node = pa.StructArray.from_arrays(list(columns.values()), list(columns))
@@ -457,6 +458,8 @@ def grow(estimator: RandomForestRegressor, table: DataFrame) -> RandomForestRegr
         ends[r["tree"]] += r["size"] - 1
     above = []
     for t, top in enumerate(tops):
+        if top.feature[0] == APART and (t, 0) not in first_ids:
+            top.feature[0] = LEAF  # the tree drew none of the few rows
         row = {"tree": t, "at": -1} | _subtree(plan, *(np.array(a) for a in (top.feature, top.cut, top.left, top.gain)), np.array(top.sums))
         above.append(tuple(row[c] for c in SUBTREE))
     nodes = small_table(spark, above, **SUBTREE).unionByName(below).mapInArrow(_saved_nodes(first_ids), NODE)
@@ -487,6 +490,10 @@ class GrownRandomForest(RandomForestRegressionModel):
     def _java_obj(self, other):
         self._loaded = RandomForestRegressionModel(other)
 
+    @classmethod
+    def read(cls):
+        return RandomForestRegressionModel.read()
+
     def __del__(self):
         pass  # what was loaded goes on its own
 

@@ -110,6 +110,23 @@ def test_constant_columns_and_labels(spark):
         assert b.model.stages[-1].totalNumNodes == 3 and len(set(predictions(b, flat).round(9))) == 1
 
 
+def test_trees_that_draw_no_row(spark):
+    _, df = frame(spark, 1)
+    b = learning.ModelTrainer("random_forest", "regression", {"n_estimators": 12}).train(df, NAMES, "y", key="id")
+    model = b.model.stages[-1]
+    assert model.totalNumNodes == 12 and [t.numNodes for t in model.trees] == [1] * 12
+    y = df.first()["y"]
+    assert 0 < predictions(b, df)[0] / y < 1
+
+
+def test_deep_grid(spark):
+    _, df = frame(spark, 300)
+    b = learning.ModelTrainer("random_forest", "regression", {"min_samples_leaf": 1}, cv_folds=2).train(
+        df, NAMES, "y", key="id", tune=True, grid={"n_estimators": [2, 3], "max_depth": [11]})
+    assert b.best_params["n_estimators"] in (2, 3) and b.metrics["r2"] > 0.9
+    assert len(b.model.stages[-1].copy().trees) == b.best_params["n_estimators"]
+
+
 def test_thresholds():
     assert fg.thresholds(np.array([3.0, 1.0, 3.0, 2.0]), 31).tolist() == [1.5, 2.5]
     assert fg.thresholds(np.full(9, 4.0), 31).tolist() == []
