@@ -190,10 +190,11 @@ class Tables:
         for mask in range(1 << m):
             known = [k for k in range(m) if mask >> k & 1]
             if len(known) < m:
-                rest = value.copy()
+                rest = np.ones(len(value))
                 for k in range(m):
                     if k not in known:
                         rest *= share[k]
+                rest *= value
                 self.values[mask] = self._boxes(start[known], stop[known], rest, [len(cuts[k]) + 1 for k in known])
         self.walk = _walk_of(trees)
 
